@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -26,23 +26,31 @@ def _orientations() -> list[list[int]]:
     return [[cell for row in view for cell in row] for view in views]
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_grid(grid: Column | str) -> Column:
     """The lexicographically largest of the eight orientations of a 9x9 grid of grey values."""
-    g = _c(grid)
-    views = [F.transform(F.array(*map(F.lit, cells)), lambda i: F.get(g, i)) for cells in _orientations()]
-    return F.array_max(F.array(*views))
+    def largest(g: Column) -> Column:
+        return F.array_max(F.array(*[F.transform(F.lit(cells), lambda i: F.get(g, i)) for cells in _orientations()]))
+
+    return _bind(_c(grid), largest)
 
 
 def dhash(grid: Column | str) -> Column:
     """Sixteen hex digits: bit 8y+x tells whether cell (x,y) is brighter than its right neighbour, x and y below 8."""
-    g = _c(grid)
+    cells = F.lit([SIDE * (n // 8) + n % 8 for n in reversed(range(64))])  # highest bit first
 
-    def bit(n: int) -> Column:
-        cell = SIDE * (n // 8) + n % 8
-        brighter = (F.get(g, F.lit(cell)) > F.get(g, F.lit(cell + 1))).cast("bigint")
-        return F.shiftleft(brighter, n)
+    def word(g: Column) -> Column:
+        return F.aggregate(
+            cells,
+            F.lit(0).cast("bigint"),
+            lambda bits, c: F.shiftleft(bits, 1).bitwiseOR((F.get(g, c) > F.get(g, c + 1)).cast("bigint")),
+        )
 
-    return word_hex(reduce(lambda a, b: a.bitwiseOR(b), [bit(n) for n in range(64)]))
+    return word_hex(_bind(_c(grid), word))
 
 
 def grid9(pixels: Column | str, width: Column | str, height: Column | str) -> Column:

@@ -59,36 +59,35 @@ def hamming_blocking(words: list[str], bits: int, k: int, nodes: int) -> Blockin
     """Blocking of fingerprints held in 64-bit word columns, for distances up to k."""
     m, r = choose_bands(bits, k, nodes)
     masks = _band_masks(bits, m)
+    choices = list(combinations(range(m), r))
     buckets = []
-    for number, chosen in enumerate(combinations(range(m), r)):
-        # Bands in front of the last chosen one that were not chosen: if one of them agrees as well, an earlier
-        # choice has already brought the pair together.
-        skipped = sum(1 << b for b in range(chosen[-1]) if b not in chosen)
+    for number, chosen in enumerate(choices):
         kept = [reduce(lambda a, b: a | b, [masks[b][w] for b in chosen]) for w in range(len(words))]
-        parts = [
-            F.col(word).bitwiseAND(F.lit(mask).cast("bigint")).alias(f"k{i}")
-            for i, (word, mask) in enumerate(zip(words, kept))
-        ]
-        buckets.append(
-            F.struct(F.lit(number).alias("no"), F.lit(skipped).cast("bigint").alias("skipped"), *parts)
-        )
+        parts = ", ".join(f"{word} & {mask}L AS k{i}" for i, (word, mask) in enumerate(zip(words, kept)))
+        buckets.append(f"struct({number} AS no, {parts})")
+    bands = ", ".join(f"array({', '.join(f'{mask}L' for mask in band)})" for band in masks)
+    # Bands in front of the last chosen one that were not chosen: where one of them agrees as well, an earlier
+    # choice has already brought the pair together.
+    skipped = ", ".join(
+        f"cast(array({', '.join(str(b) for b in range(chosen[-1]) if b not in chosen)}) AS array<int>)"
+        for chosen in choices
+    )
+    bands, skipped = F.expr(f"array({bands})"), F.expr(f"array({skipped})")
 
     def similar(a: Callable[[str], Column], b: Callable[[str], Column], bucket: Column) -> Column:
         left, right = [a(w) for w in words], [b(w) for w in words]
-        agreeing = []
-        for number, band in enumerate(masks):
-            touched = [
-                x.bitwiseXOR(y).bitwiseAND(F.lit(mask).cast("bigint")) == 0
-                for x, y, mask in zip(left, right, band)
-                if mask
+
+        def agrees(band: Column) -> Column:
+            same = [
+                x.bitwiseXOR(y).bitwiseAND(F.get(F.get(bands, band), F.lit(i))) == 0
+                for i, (x, y) in enumerate(zip(left, right))
             ]
-            same = reduce(lambda p, q: p & q, touched)
-            agreeing.append(F.when(same, F.lit(1 << number).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        agreed = reduce(lambda p, q: p.bitwiseOR(q), agreeing)
-        first_meeting = agreed.bitwiseAND(bucket["skipped"]) == 0
-        return (hamming(left, right) <= k) & first_meeting
+            return reduce(lambda p, q: p & q, same)
+
+        met_before = F.exists(F.get(skipped, bucket["no"]), agrees)
+        return (hamming(left, right) <= k) & ~met_before
 
-    return Blocking(words, F.array(*buckets), similar, len(buckets))
+    return Blocking(words, F.expr(f"array({', '.join(buckets)})"), similar, len(choices))
 
 
 def tolerance_blocking(key: str, value: str, tolerance: float) -> Blocking:

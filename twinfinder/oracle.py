@@ -35,7 +35,7 @@ ranked AS (
 LOG = """
 log AS (
   SELECT 'events' AS repo, event_id AS seq, event_type AS hash, user_id::VARCHAR AS path,
-         floor(value)::BIGINT AS size, epoch_ms(ts) AS last_modified, event_type = 'error' AS missing
+         floor(value)::BIGINT AS size, epoch_us(ts) // 1000 AS last_modified, event_type = 'error' AS missing
   FROM events
 )"""
 
@@ -93,7 +93,7 @@ emb AS (
 
 def _hamming_clusters(words: list[str], bits: int, threshold: int, kind: str) -> str:
     """Greedy leaders in row order: the recursion carries the list of leaders."""
-    distance = " + ".join(f"bit_count(xor(l.{w}, n.{w}))" for w in words)
+    distance = " + ".join(f"bit_count(xor(l.{w}, n.{w}))::INTEGER" for w in words)
     fields = ", ".join(f"{w}: n.{w}" for w in words)
     shown = " || ".join(_hex16(f"leader.{w}") for w in words)
     return f"""{EMB},

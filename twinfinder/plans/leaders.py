@@ -60,8 +60,11 @@ def bucket_pairs(nodes: DataFrame, blocking: Blocking) -> DataFrame:
 
 
 def leader_clusters(nodes: DataFrame, blocking: Blocking, heads: int = HEADS, small: int = SMALL_GRAPH) -> DataFrame:
-    """(pos, leader) for every node; a leader is its own leader. `nodes` has a unique `pos` and the features."""
-    nodes = checkpointed(nodes.select("pos", *blocking.features))
+    """(pos, leader) for every node; a leader is its own leader.
+
+    `nodes` has a unique `pos` and the features. It is read several times and should come from a checkpoint.
+    """
+    nodes = nodes.select("pos", *blocking.features)
     undecided, taken, first = nodes, None, True
     while True:
         spread = blocking.spread(undecided)

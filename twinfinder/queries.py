@@ -138,9 +138,11 @@ def order_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bits(test: Callable[[Column], Column]) -> Column:
     """64 tests on the values of an embedding as sixteen hex digits, the first value in the lowest bit."""
-    word = F.lit(0).cast("bigint")
-    for i in range(64):
-        word = word.bitwiseOR(F.shiftleft(test(F.get("embedding", F.lit(i)).cast("double")).cast("bigint"), i))
+    word = F.aggregate(
+        F.reverse("embedding"),
+        F.lit(0).cast("bigint"),
+        lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(test(x.cast("double")).cast("bigint")),
+    )
     return hashing.word_hex(word)
 
 
