@@ -13,6 +13,7 @@ FALLBACK_SKIP = 1024 * 1024
 FALLBACK_PREFIX = "fallback:"
 ID3_HEADER = 10
 EMPTY_FRAME = "0" * 16
+WHITESPACE = " \t\n\x0b\f\r"
 
 
 def _c(col: Column | str) -> Column:
@@ -38,9 +39,9 @@ def text_hash(text: Column | str, max_chars: int | None = None) -> Column:
     t = _c(text)
     if max_chars is not None:
         t = F.substring(t, 1, max_chars)
-    squeezed = F.regexp_replace(F.lower(t), r"\s+", "")
-    blank = t.rlike(r"^\p{javaWhitespace}*$") | (squeezed == "")
-    return F.when(~blank, F.sha2(squeezed, 256))
+    squeezed = reduce(lambda rest, space: F.replace(rest, F.lit(space), F.lit("")), WHITESPACE, F.lower(t))
+    # Any other character is enough: what counts as blank includes all that is squeezed out.
+    return F.when(t.rlike(r"\P{javaWhitespace}"), F.sha2(squeezed, 256))
 
 
 def fallback_hash(content: Column | str) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 UNITS = "KMGTPE"
-# A file name whose last dot is not its first character: everything before that dot is group 1.
-_WITH_SUFFIX = r"(?s)^((?:.*/)?[^/]+)\.[^./]*$"
 
 
 def _c(col: Column | str) -> Column:
@@ -36,12 +34,14 @@ def file_name(path: Column | str) -> Column:
 
 def parent(path: Column | str) -> Column:
     """Directory part of a path; empty for a file at the root."""
-    return F.regexp_extract(_c(path), r"(?s)^(.*)/[^/]*$", 1)
+    p = _c(path)
+    return F.left(p, F.length(p) - F.length(file_name(p)) - 1)
 
 
 def join_path(base: Column | str, relative: Column | str) -> Column:
-    b = F.lit(base) if isinstance(base, str) else base
-    return F.concat_ws("/", F.regexp_replace(b, r"(?<=.)/+$", ""), _c(relative))
+    """`relative` below `base`; an empty base adds nothing."""
+    b, r = F.lit(base) if isinstance(base, str) else base, _c(relative)
+    return F.when(b == "", r).otherwise(F.concat(F.regexp_replace(b, "/+$", ""), F.lit("/"), r))
 
 
 def replace_suffix(path: Column | str, suffix: str | None) -> Column:
@@ -50,5 +50,7 @@ def replace_suffix(path: Column | str, suffix: str | None) -> Column:
     if suffix is None:
         return p
     dotted = F.lit(suffix if suffix.startswith(".") else "." + suffix)
-    stem = F.regexp_extract(p, _WITH_SUFFIX, 1)
-    return F.concat(F.when(p.rlike(_WITH_SUFFIX), stem).otherwise(p), dotted)
+    name = file_name(p)
+    has_suffix = F.contains(F.substring(name, F.lit(2), F.length(name)), F.lit("."))
+    stem = F.left(p, F.length(p) - F.length(F.substring_index(p, ".", -1)) - 1)
+    return F.concat(F.when(has_suffix, stem).otherwise(p), dotted)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from twinfinder.functions.hashing import is_fallback
 from twinfinder.operators.filters import dim_filter
 from twinfinder.operators.index import live
-from twinfinder.plans.skew import HotKeys, skewed_join
+from twinfinder.plans.skew import HotKeys, find_hot_keys
 
 GROUP = ["kind", "group_key"]
 ROW = ["repo", "path"]
@@ -37,10 +37,17 @@ def content_keys(rows: DataFrame) -> DataFrame:
 def repeated(keyed: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Rows whose group has more than one member, with the number of `copies`.
 
-    Groups are counted with partial aggregation; only keys that repeat are joined back.
+    One shuffle by group, which ranking can go on to use. Rows of hot groups stay where they are: their counts
+    are pre-aggregated, at most as many as there are hot keys, and broadcast to them.
     """
-    counts = keyed.groupBy(*GROUP).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    return skewed_join(keyed, counts, GROUP, "inner", ROW, hot)
+    hot = find_hot_keys(keyed, GROUP) if hot is None else hot
+    counted = F.count("*").over(Window.partitionBy(*GROUP))
+    if not hot:
+        return keyed.withColumn("copies", counted).filter(F.col("copies") > 1)
+    cold, large = hot.split(keyed)
+    sizes = large.groupBy(*GROUP).agg(F.count("*").alias("copies"))
+    parts = cold.withColumn("copies", counted).unionByName(large.join(F.broadcast(sizes), GROUP))
+    return parts.filter(F.col("copies") > 1)
 
 
 def exact_groups(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinfinder.functions.hashing import hamming, hex_words, is_fallback, max_distance, word_hex
 from twinfinder.functions.media import parse_duration
 from twinfinder.operators.exact import candidates, exact_groups, text_groups
-from twinfinder.plans.leaders import HEADS, SMALL_GRAPH, Blocking, bucket_pairs, leader_clusters
+from twinfinder.plans.leaders import SMALL_GRAPH, Blocking, bucket_pairs, leader_clusters
 from twinfinder.plans.numbering import numbered
 from twinfinder.plans.skew import find_hot_keys, skewed_join
 from twinfinder.schema import FILE_RECORD
@@ -175,7 +175,7 @@ def hamming_groups(
     threshold: float,
     kind: str,
     order: list[str] | None = None,
-    heads: int = HEADS,
+    heads: int | None = None,
     small: int = SMALL_GRAPH,
 ) -> DataFrame:
     """Leader clusters of fingerprints; `group_key` is the leader's fingerprint."""
@@ -186,7 +186,8 @@ def hamming_groups(
         # Nothing reaches such a threshold, not even equal fingerprints.
         clusters = nodes.select("pos", F.col("pos").alias("leader")).limit(0)
     else:
-        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, nodes.count()), heads, small)
+        count = nodes.count()
+        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, count), heads, small, count)
     return _grouped(usable, nodes, clusters, words, kind, F.concat(*[word_hex(w) for w in words]))
 
 
@@ -207,7 +208,7 @@ def tolerance_groups(
     tolerance: float,
     kind: str,
     order: list[str] | None = None,
-    heads: int = HEADS,
+    heads: int | None = None,
     small: int = SMALL_GRAPH,
 ) -> DataFrame:
     """Leader clusters of rows with an equal key and values at most `tolerance` from the leader's."""

@@ -23,6 +23,11 @@ from twinfinder.plans.skew import HotKeys, find_hot_keys, skewed_join
 from twinfinder.session import checkpointed
 
 HEADS = 512
+# With few nodes more of each bucket is looked at in the first round, up to this many candidate pairs in total.
+CANDIDATES = 1_000_000_000
+MOST_HEADS = 8192
+PAIRS_PER_TASK = 10_000_000
+MOST_TASKS = 100_000
 # A remainder of at most this many pairs is decided in one task instead of by further rounds.
 SMALL_GRAPH = 200_000
 
@@ -43,35 +48,59 @@ class Blocking:
     def spread(self, nodes: DataFrame) -> DataFrame:
         return nodes.select("pos", *self.features, F.explode(self.buckets).alias("bucket"))
 
-    def pairs(self, later: DataFrame, earlier: DataFrame, hot: HotKeys) -> DataFrame:
-        """(pos, earlier) of similar nodes, from two spread frames."""
+    def pairs(
+        self, later: DataFrame, earlier: DataFrame, hot: HotKeys | None = None, partitions: int | None = None
+    ) -> DataFrame:
+        """(pos, earlier) of similar nodes, from two spread frames; `partitions` fits the number of candidates."""
         renamed = earlier.select(
             F.col("bucket"), F.col("pos").alias("earlier"), *[F.col(c).alias(f"_e_{c}") for c in self.features]
         )
-        joined = skewed_join(later, renamed, ["bucket"], "inner", ["pos"], hot)
+        if partitions is not None:
+            later, renamed = later.repartition(partitions, "bucket"), renamed.repartition(partitions, "bucket")
+        joined = skewed_join(later, renamed, ["bucket"], "inner", ["pos"], hot or HotKeys(["bucket"], {}))
         test = self.similar(lambda c: F.col(c), lambda c: F.col(f"_e_{c}"), F.col("bucket"))
         return joined.filter((F.col("earlier") < F.col("pos")) & test).select("pos", "earlier")
 
 
+def _load(spread: DataFrame, heads: int) -> tuple[int, int]:
+    """Size of the largest bucket, and how many tasks the pairs of the first `heads` nodes of all buckets need.
+
+    The shuffled nodes are few bytes but many pairs, so the tasks are sized by pairs.
+    """
+    n = F.least(F.col("n"), F.lit(heads)).cast("double")
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"))
+    row = sizes.agg(F.max("n").alias("largest"), F.sum(n * n).alias("pairs")).first()
+    least = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return row["largest"] or 0, max(least, min(MOST_TASKS, int((row["pairs"] or 0) / PAIRS_PER_TASK) + 1))
+
+
 def bucket_pairs(nodes: DataFrame, blocking: Blocking) -> DataFrame:
     """All similar pairs (pos, earlier). Hot buckets are cut into slices."""
     spread = blocking.spread(nodes)
-    return blocking.pairs(spread, spread, find_hot_keys(spread, ["bucket"], rows_per_task=20_000))
+    largest, tasks = _load(spread, MOST_HEADS)
+    if largest <= MOST_HEADS:
+        return blocking.pairs(spread, spread, partitions=tasks)
+    return blocking.pairs(spread, spread, find_hot_keys(spread, ["bucket"], rows_per_task=MOST_HEADS))
 
 
-def leader_clusters(nodes: DataFrame, blocking: Blocking, heads: int = HEADS, small: int = SMALL_GRAPH) -> DataFrame:
-    """(pos, leader) for every node; a leader is its own leader.
+def leader_clusters(
+    nodes: DataFrame, blocking: Blocking, heads: int | None = None, small: int = SMALL_GRAPH, count: int | None = None
+) -> DataFrame:
+    """(pos, leader) for every node; a leader is its own leader. `count` is the number of nodes, if known.
 
     `nodes` has a unique `pos` and the features. It is read several times and should come from a checkpoint.
     """
     nodes = nodes.select("pos", *blocking.features)
+    if heads is None:
+        count = nodes.count() if count is None else count
+        heads = max(HEADS, min(MOST_HEADS, CANDIDATES // max(1, count * blocking.per_node)))
     undecided, taken, first = nodes, None, True
     while True:
         spread = blocking.spread(undecided)
-        crowded = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > heads)
-        if crowded.isEmpty():
+        largest, tasks = _load(spread, heads)
+        if largest <= heads:
             decidable = undecided.select("pos")
-            edges = checkpointed(blocking.pairs(spread, spread, HotKeys(["bucket"], {})))
+            edges = checkpointed(blocking.pairs(spread, spread, partitions=tasks))
             whole = True
         else:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("pos"))
@@ -81,7 +110,7 @@ def leader_clusters(nodes: DataFrame, blocking: Blocking, heads: int = HEADS, sm
             )
             decidable = checkpointed(decidable)
             later = front.join(decidable, "pos", "left_semi")
-            edges = checkpointed(blocking.pairs(later, front, HotKeys(["bucket"], {})))
+            edges = checkpointed(blocking.pairs(later, front, partitions=tasks))
             whole = False
         leaders = _decide(decidable, edges, small, whole)
         if whole and first:

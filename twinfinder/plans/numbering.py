@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twinfinder.plans.skew import _SLICES, HotKeys, find_hot_keys
+from twinfinder.plans.skew import HotKeys, find_hot_keys
 from twinfinder.session import checkpointed
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33 and the row below
@@ -47,10 +47,8 @@ def row_numbers(
     window = Window.partitionBy(*keys).orderBy(*order)
     if not hot:
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    tagged = hot.attach(df, keys)
-    cold = tagged.filter(F.col(_SLICES).isNull()).drop(_SLICES)
+    cold, large = hot.split(df)
     cold = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
-    large = tagged.filter(F.col(_SLICES).isNotNull()).drop(_SLICES)
     large = numbered(large, [F.col(k).asc() for k in keys] + order, "_pos")
     starts = large.groupBy(*keys).agg(F.min("_pos").alias("_first"))
     large = large.join(F.broadcast(starts), keys).withColumn(name, F.col("_pos") - F.col("_first") + 1)

@@ -38,6 +38,14 @@ class HotKeys:
         tagged = df.withColumn(_KEY, key_hash(keys or self.keys))
         return tagged.join(F.broadcast(table), _KEY, "left").drop(_KEY)
 
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows of ordinary keys, rows of hot keys)."""
+        tagged = self.attach(df)
+        return (
+            tagged.filter(F.col(_SLICES).isNull()).drop(_SLICES),
+            tagged.filter(F.col(_SLICES).isNotNull()).drop(_SLICES),
+        )
+
 
 def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])

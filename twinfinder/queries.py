@@ -458,7 +458,7 @@ def q_hamming_clusters(spark, sf):
 
 def q_hamming_clusters_crowded(spark, sf):
     """The same clusters with room for only a few nodes per bucket, so that the search proceeds in rounds."""
-    return _clusters(similar.image_groups(embedding_index(spark, sf), 70, order=["seq"], heads=48, small=0))
+    return _clusters(similar.image_groups(embedding_index(spark, sf), 70, order=["seq"], heads=48))
 
 
 def q_temporal_clusters(spark, sf):
