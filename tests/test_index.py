@@ -70,7 +70,7 @@ def test_latest_is_idempotent_and_order_free(make, spark):
     assert rows(index.latest(log.orderBy(F.rand(3)).repartition(5)), "path", "hash", "missing") == once
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 3), st.booleans()), min_size=1, max_size=12))
 def test_latest_and_stats_against_loop(make, entries):
     log = make(*[{"path": p, "hash": f"h{h}", "size": h, "missing": d} for p, h, d in entries])

@@ -87,7 +87,7 @@ def _act(action: str, source: str, target: str | None, overwrite: bool) -> tuple
         return ("done", "") if action == "move" and os.path.exists(target) else ("error", "source is missing")
     if os.path.exists(target) and not overwrite:
         a, b = os.stat(source), os.stat(target)
-        if action == "copy" and (a.st_size, int(a.st_mtime)) == (b.st_size, int(b.st_mtime)):
+        if action == "copy" and (a.st_size, a.st_mtime_ns) == (b.st_size, b.st_mtime_ns):
             return "done", ""
         return "skipped", "target exists"
     os.makedirs(os.path.dirname(target), exist_ok=True)

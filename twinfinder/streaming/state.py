@@ -56,7 +56,11 @@ def contents_stream(records: DataFrame) -> DataFrame:
 
 
 def first_seen_within(records: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """The first record of every (hash, size), recognising repeats that follow within `delay` of event time."""
+    """The first record of every (hash, size), with bounded state.
+
+    Repeats that follow within `delay` of event time are always recognised; later ones count as first again as soon
+    as the watermark has passed the one held.
+    """
     return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["hash", "size"])
 
 
