@@ -1,4 +1,7 @@
-"""Row predicates: the filter expression, the dimension filter, and name validity."""
+"""Row predicates: the filter expression, the dimension filter, and name validity.
+
+Predicates are true or false, never null, and made of comparisons that file scans can evaluate.
+"""
 
 from __future__ import annotations
 
@@ -28,13 +31,9 @@ def compare(column: Column, expression: str, bits: int = LONG) -> Column:
     if value is None:
         return F.lit(False)
     bound = F.lit(value).cast("bigint")
-    result = {
-        ">=": column >= bound,
-        "<=": column <= bound,
-        ">": column > bound,
-        "<": column < bound,
-    }.get(op, column == bound)
-    return F.coalesce(result, F.lit(False))
+    tests = {">=": column >= bound, "<=": column <= bound, ">": column > bound, "<": column < bound}
+    result = tests.get(op, column == bound)
+    return column.isNotNull() & result
 
 
 def parse_filter(expression: str | None) -> Column:
@@ -44,9 +43,9 @@ def parse_filter(expression: str | None) -> Column:
     kind, colon, rest = expression.partition(":")
     rest = rest.strip(_TRIM)
     if colon and kind == "mime":
-        return F.coalesce(F.col("mime").contains(rest), F.lit(False))
+        return F.col("mime").isNotNull() & F.col("mime").contains(rest)
     if colon and kind == "name":
-        return F.coalesce(F.col("path").contains(rest), F.lit(False))
+        return F.col("path").isNotNull() & F.col("path").contains(rest)
     if colon and kind == "size":
         return compare(F.col("size"), rest)
     return F.lit(False)

@@ -30,6 +30,9 @@ def choose_bands(bits: int, k: int, nodes: int) -> tuple[int, int]:
     With at most k differing bits at least m-k bands agree, so any r <= m-k finds all pairs. More selective keys
     cost more copies of each node but pair up fewer strangers; the choice minimises both together.
     """
+    if not 0 <= k < bits:
+        raise ValueError("a threshold above 0 and up to 100 percent is needed")
+
     def cost(m: int, r: int) -> float:
         copies = comb(m, r)
         return copies * nodes + copies * nodes * nodes / 2 ** (1 + r * (bits // m))

@@ -55,19 +55,18 @@ class Blocking:
         renamed = earlier.select(
             F.col("bucket"), F.col("pos").alias("earlier"), *[F.col(c).alias(f"_e_{c}") for c in self.features]
         )
-        if partitions is not None:
-            later, renamed = later.repartition(partitions, "bucket"), renamed.repartition(partitions, "bucket")
-        joined = skewed_join(later, renamed, ["bucket"], "inner", ["pos"], hot or HotKeys(["bucket"], {}))
+        hot = HotKeys(["bucket"], {}) if hot is None else hot
+        joined = skewed_join(later, renamed, ["bucket"], "inner", ["pos"], hot, partitions)
         test = self.similar(lambda c: F.col(c), lambda c: F.col(f"_e_{c}"), F.col("bucket"))
         return joined.filter((F.col("earlier") < F.col("pos")) & test).select("pos", "earlier")
 
 
-def _load(spread: DataFrame, heads: int) -> tuple[int, int]:
-    """Size of the largest bucket, and how many tasks the pairs of the first `heads` nodes of all buckets need.
+def _load(spread: DataFrame, heads: int | None) -> tuple[int, int]:
+    """Size of the largest bucket, and how many tasks the pairs of (the first `heads` nodes of) all buckets need.
 
     The shuffled nodes are few bytes but many pairs, so the tasks are sized by pairs.
     """
-    n = F.least(F.col("n"), F.lit(heads)).cast("double")
+    n = (F.col("n") if heads is None else F.least(F.col("n"), F.lit(heads))).cast("double")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"))
     row = sizes.agg(F.max("n").alias("largest"), F.sum(n * n).alias("pairs")).first()
     least = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -77,10 +76,9 @@ def _load(spread: DataFrame, heads: int) -> tuple[int, int]:
 def bucket_pairs(nodes: DataFrame, blocking: Blocking) -> DataFrame:
     """All similar pairs (pos, earlier). Hot buckets are cut into slices."""
     spread = blocking.spread(nodes)
-    largest, tasks = _load(spread, MOST_HEADS)
-    if largest <= MOST_HEADS:
-        return blocking.pairs(spread, spread, partitions=tasks)
-    return blocking.pairs(spread, spread, find_hot_keys(spread, ["bucket"], rows_per_task=MOST_HEADS))
+    largest, tasks = _load(spread, None)
+    hot = find_hot_keys(spread, ["bucket"], rows_per_task=MOST_HEADS) if largest > MOST_HEADS else None
+    return blocking.pairs(spread, spread, hot, tasks)
 
 
 def leader_clusters(
@@ -118,7 +116,7 @@ def leader_clusters(
         else:
             everyone = blocking.spread(nodes)
             chosen = blocking.spread(nodes.join(leaders, "pos", "left_semi"))
-            found = blocking.pairs(everyone, chosen, find_hot_keys(everyone, ["bucket"]))
+            found = blocking.pairs(everyone, chosen, find_hot_keys(everyone, ["bucket"]), tasks)
         found = found.select("pos", F.col("earlier").alias("leader"))
         own = leaders.select("pos", F.col("pos").alias("leader"))
         found = found.unionByName(own)

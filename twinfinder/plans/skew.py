@@ -76,18 +76,25 @@ def skewed_join(
     how: str,
     spread: list[str],
     hot: HotKeys | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Equi-join of a side that may be skewed with a side that has few rows per key.
 
     Rows of `many` with a hot key are spread over slices by their `spread` columns and meet a copy of the
     matching rows of `one` in each slice. Without hot keys this is a plain join. `how` is one of inner, left,
-    left_semi, left_anti.
+    left_semi, left_anti. With `partitions` both sides are shuffled into that many, whatever their size.
     """
     hot = find_hot_keys(many, keys) if hot is None else hot
+
+    def join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        if partitions is None:
+            return left.join(right, on, how)
+        return left.repartition(partitions, *on).join(right.repartition(partitions, *on).hint("merge"), on, how)
+
     if not hot:
-        return many.join(one, keys, how)
+        return join(many, one, keys)
     salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col(_SLICES)), F.lit(0).cast("bigint"))
     left = hot.attach(many, keys).withColumn(_SALT, salt).drop(_SLICES)
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(_SLICES), F.lit(1)) - F.lit(1).cast("bigint"))
     right = hot.attach(one, keys).withColumn(_SALT, F.explode(copies)).drop(_SLICES)
-    return left.join(right, [*keys, _SALT], how).drop(_SALT)
+    return join(left, right, [*keys, _SALT]).drop(_SALT)
