@@ -162,13 +162,24 @@ def sync_counters(plan: DataFrame, results: DataFrame | None = None) -> DataFram
 
 
 def apply_sync_to_log(
-    target_log: DataFrame, source: DataFrame, target: DataFrame, plan: DataFrame, seq: int | None = None
+    target_log: DataFrame,
+    source: DataFrame,
+    target: DataFrame,
+    plan: DataFrame,
+    seq: int | None = None,
+    repo: str | None = None,
 ) -> DataFrame:
-    """The target's log after a sync: copied rows live under the target's name, deleted rows as deletion records."""
+    """The target's log after a sync: copied rows live under the target's name, deleted rows as deletion records.
+
+    The name is taken from the target's rows unless `repo` gives it, as it must for an empty target.
+    """
     copied = source.join(plan.filter("action = 'copy'").select(*ROW), ROW, "left_semi")
-    name = target.select("repo").first()
-    if name is not None:
-        copied = copied.withColumn("repo", F.lit(name["repo"]))
+    if repo is None:
+        first = target.select("repo").first()
+        if first is None:
+            raise ValueError("name the repo of an empty target")
+        repo = first["repo"]
+    copied = copied.withColumn("repo", F.lit(repo))
     deleted = target.join(plan.filter("action = 'delete'").select(*ROW), ROW, "left_semi")
     records = copied.withColumn("missing", F.lit(False)).unionByName(deleted.withColumn("missing", F.lit(True)))
     return with_records(target_log, records, seq)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinfinder.functions.text import file_name, format_date, join_path, parent, replace_suffix
 from twinfinder.operators.index import live
+from twinfinder.plans.skew import HotKeys, skewed_join
 
 RESULT = "action string, repo string, path string, target string, status string, message string"
 
@@ -49,6 +50,7 @@ def files_cp_plan(
     suffix: str | None = None,
     where: Column | None = None,
     action: str = "copy",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Copy the selected files below a directory, optionally with another suffix.
 
@@ -57,7 +59,7 @@ def files_cp_plan(
     rows = _kept(state, where).withColumn("target", join_path(directory, replace_suffix("path", suffix)))
     owner = rows.groupBy("target").agg(F.min(F.struct("repo", "path")).alias("_first"), F.count("*").alias("_n"))
     clash = owner.filter(F.col("_n") > 1).select("target", "_first")
-    joined = rows.select("repo", "path", "target").join(clash, "target", "left")
+    joined = skewed_join(rows.select("repo", "path", "target"), clash, ["target"], "left", ["repo", "path"], hot)
     first = F.col("_first").isNull() | (F.struct("repo", "path") == F.col("_first"))
     return joined.select(
         F.when(first, action).otherwise("conflict").alias("action"),

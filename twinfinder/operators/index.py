@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from twinfinder.plans.skew import HotKeys, skewed_join
 from twinfinder.schema import DEFAULT_BUCKETS, bucket_of
 
 COUNTERS = ["Lines", "Changes", "files", "missing", "duplicates"]
@@ -47,9 +48,10 @@ def lookup_hash(state: DataFrame, content_hash: str, size: int | None = None) ->
     return rows if size is None else rows.filter(F.col("size") == size)
 
 
-def lookup_contents(state: DataFrame, wanted: DataFrame) -> DataFrame:
+def lookup_contents(state: DataFrame, wanted: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Current records whose (hash, size) occurs in `wanted`."""
-    return state.join(wanted.select("hash", "size").distinct(), ["hash", "size"], "left_semi")
+    content = ["hash", "size"]
+    return skewed_join(state, wanted.select(*content).distinct(), content, "left_semi", ["repo", "path"], hot)
 
 
 def index_stats(log: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:

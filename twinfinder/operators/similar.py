@@ -16,6 +16,7 @@ from twinfinder.plans.leaders import SMALL_GRAPH, Blocking, bucket_pairs, leader
 from twinfinder.plans.numbering import numbered
 from twinfinder.plans.skew import find_hot_keys, skewed_join
 from twinfinder.schema import FILE_RECORD
+from twinfinder.session import checkpointed
 
 DURATION_TOLERANCE = 2.0
 IMAGE_BITS = 64
@@ -240,7 +241,7 @@ def find_similar(
     """
     if threshold is None or threshold <= 0:
         return exact_groups(state, width, height)
-    rows = candidates(state, width, height)
+    rows = checkpointed(candidates(state, width, height))  # every kind reads it several times
     parts = [
         image_groups(rows, threshold, order=order),
         video_groups(rows, threshold, order=order),

@@ -58,17 +58,17 @@ def reappeared(changes: DataFrame, state: DataFrame, keys: list[str] | None = No
 
 
 def _below_failed(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """Rows that do not lie under one of the directories in `failed(path)`: an equi-join on their ancestors."""
+    """Rows that do not lie under one of the directories in `failed(path)`: an equi-join on their ancestors.
+
+    Every path has the root as an ancestor, which makes it a hot key.
+    """
     pieces = F.split("path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(pieces) - 1), lambda n: F.concat_ws("/", F.slice(pieces, F.lit(1), n))
     )
-    under = (
-        rows.select("path", F.explode(ancestors).alias("_dir"))
-        .join(failed.select(F.col("path").alias("_dir")).distinct(), "_dir", "left_semi")
-        .select("path")
-        .distinct()
-    )
+    spread = rows.select("path", F.explode(ancestors).alias("_dir"))
+    bad = failed.select(F.col("path").alias("_dir")).distinct()
+    under = skewed_join(spread, bad, ["_dir"], "left_semi", ["path"]).select("path").distinct()
     return rows.join(under, "path", "left_anti")
 
 
@@ -126,22 +126,19 @@ def enrich(files: DataFrame, seq: Column | None = None) -> DataFrame:
     )
 
 
-def update_stats(changes: DataFrame, mimes: DataFrame | None = None) -> DataFrame:
+def update_stats(changes: DataFrame, mimes: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """(counter, value): rows per status, and rows per type among the added ones when `mimes(path, mime)` is given.
 
     `changed` and `reappeared` rows are written again and therefore count as added.
     """
+    keys = keys or ["path"]
     status = F.when(F.col("status").isin("changed", "reappeared"), "added").otherwise(F.col("status"))
-    rows = changes.select("path", status.alias("counter"))
+    rows = changes.select(*keys, status.alias("counter"))
+    counted = rows.groupBy("counter").agg(F.count("*").alias("value"))
     if mimes is None:
-        return rows.groupBy("counter").agg(F.count("*").alias("value"))
-    added = rows.filter(F.col("counter") == "added").join(mimes.select("path", "mime"), "path")
-    return (
-        rows.select("counter")
-        .unionByName(added.select(F.col("mime").alias("counter")))
-        .groupBy("counter")
-        .agg(F.count("*").alias("value"))
-    )
+        return counted
+    added = rows.filter(F.col("counter") == "added").join(mimes.select(*keys, "mime"), keys)
+    return counted.unionByName(added.groupBy(F.col("mime").alias("counter")).agg(F.count("*").alias("value")))
 
 
 def mime_histogram(rows: DataFrame) -> DataFrame:

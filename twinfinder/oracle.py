@@ -346,6 +346,16 @@ ORACLE: dict[str, str] = {
     "lookup_contents": f"""
     WITH {TWO} SELECT repo, path, hash, missing FROM a
     WHERE EXISTS (SELECT 1 FROM b WHERE b.hash = a.hash AND b.size = a.size)""",
+    "json_log": f"WITH {IDX} SELECT path, hash, size, last_modified, mime, FALSE AS missing FROM idx",
+    "quarantine": f"""
+    WITH {IDX}
+    SELECT hash, size, count(*) AS n, min(path) AS path FROM idx WHERE mime <> 'text/fr' GROUP BY hash, size
+    UNION ALL SELECT 'bad', 0, count(*), '' FROM idx WHERE mime = 'text/fr'""",
+    "parquet_log": f"WITH {STATE} SELECT path, seq, hash, size % 7 AS bucket FROM state WHERE NOT missing",
+    "catalog": f"""
+    WITH {DOCS}
+    SELECT CASE repo WHEN 'a' THEN 'first' ELSE 'third' END AS repo, path, hash, size, missing FROM docs
+    WHERE repo = 'b' OR NOT missing""",
     "filter_mime": f"WITH {IDX} {_PLAIN} WHERE contains(mime, '/fr')",
     "filter_name": f"WITH {IDX} {_PLAIN} WHERE contains(path, 'src1/')",
     "filter_size": f"WITH {IDX} {_PLAIN} WHERE size >= 2000",
@@ -382,6 +392,15 @@ ORACLE: dict[str, str] = {
           FROM changes WHERE status IS NOT NULL)
     SELECT counter, count(*) AS value FROM c GROUP BY counter
     UNION ALL SELECT mime, count(*) FROM c WHERE counter = 'added' GROUP BY mime""",
+    "enrich": f"""
+    SELECT doc_id::VARCHAR AS path, {HASH.format(t='text')} AS hash,
+           CASE WHEN lang = 'es' THEN sha1(source) END AS fingerprint,
+           CASE WHEN lang = 'fr' THEN md5(source) END AS video_hash,
+           CASE WHEN lang = 'en' THEN {TEXT_HASH.format(t='text')} END AS pdf_hash,
+           CASE WHEN lang = 'de' AND strlen(text) > 10
+                THEN sha256(unhex(substr(hex(encode(text)), 21, 204800))) END AS audio_hash,
+           FALSE AS missing
+    FROM documents""",
     "mime_histogram": "SELECT 'text/' || lang AS mime, count(*) AS value FROM documents GROUP BY lang",
     "needs_fingerprint": "SELECT vec_id::VARCHAR AS path, 'image/l0' AS mime FROM embeddings WHERE label = 0",
     "diff_status": f"""

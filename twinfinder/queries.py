@@ -13,7 +13,7 @@ from twinfinder.operators import diff, exact, files, filters, index, rank, simil
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.schema import records
 from twinfinder.session import checkpoint_folder, checkpointed, configure
-from twinfinder.sources import report as reports
+from twinfinder.sources import catalog, log as logs, report as reports
 from twinfinder.sources.table import from_table
 from twinfinder.streaming import state as streams
 
@@ -296,6 +296,61 @@ def q_lookup_contents(spark, sf):
     return index.lookup_contents(a, b).select("repo", "path", "hash", "missing")
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def q_json_log(spark, sf):
+    """Records written as a compressed JSON-lines log and read back; each path occurs once, in some file."""
+    folder = _new_folder(spark)
+    logs.write_json_log(records(document_index(spark, sf)), folder, compress=True)
+    state = index.latest(logs.read_log(spark, folder, "json"), shard="shard")
+    return state.select("path", "hash", "size", "last_modified", "mime", "missing")
+
+
+def q_quarantine(spark, sf):
+    """A log whose French records were cut off in the middle: the others survive."""
+    line = F.to_json(F.struct(F.col("hash").alias("h"), F.col("path").alias("p"), F.col("size").alias("s")))
+    lines = document_index(spark, sf).select(
+        F.when(F.col("mime") == "text/fr", F.left(line, F.lit(12))).otherwise(line).alias("value")
+    )
+    folder = _new_folder(spark)
+    lines.write.text(folder)
+    good, bad = logs.quarantine(logs.read_json_log(spark, folder, "r"))
+    kept = good.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    cut = bad.groupBy().agg(F.count("*").alias("n"))
+    return kept.unionByName(
+        cut.select(F.lit("bad").alias("hash"), F.lit(0).cast("bigint").alias("size"), "n", F.lit("").alias("path"))
+    )
+
+
+def q_parquet_log(spark, sf):
+    """Events appended to a stored log by type, pruned there to other buckets, and read back."""
+    folder = _new_folder(spark)
+    events = event_log(spark, sf)
+    for kinds in (["view", "purchase"], ["click", "error", "signup"]):
+        logs.append_log(events.filter(F.col("hash").isin(kinds)), folder)
+    logs.prune_log(spark, folder, buckets=7)
+    return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
+
+
+def q_catalog(spark, sf):
+    """Two repos registered in the catalog, filled, opened together and pruned there."""
+    database = f"twinfinder_{uuid.uuid4().hex}"
+    a, b = two_repos(spark, sf)
+    for name, part in (("first", a), ("second", b)):
+        catalog.create_repo(spark, name, f"/data/{name}", database=database)
+        catalog.append_records(spark, name, part, database)
+    catalog.prune_repo(spark, "first", buckets=3, database=database)
+    catalog.rename_repo(spark, "second", "third", database)
+    logs_of_both = catalog.open_repos(spark, database=database)
+    result = checkpointed(index.latest(logs_of_both).select("repo", "path", "hash", "size", "missing"))
+    for name in ("first", "third"):
+        catalog.drop_repo(spark, name, database)
+    spark.sql(f"DROP DATABASE {database}")
+    return result
+
+
 def _filtered(expression: str) -> Query:
     def run(spark, sf):
         rows = from_documents_metadata(spark, sf)
@@ -369,9 +424,28 @@ def q_tombstones_failed_dir(spark, sf):
 
 def q_update_stats(spark, sf):
     listing, state = listing_and_state(spark, sf)
-    listing = listing.withColumn("path", F.concat_ws("/", "repo", "path"))
-    state = state.withColumn("path", F.concat_ws("/", "repo", "path"))
-    return update.update_stats(update.classify_changes(listing, state), listing)
+    keys = ["repo", "path"]
+    return update.update_stats(update.classify_changes(listing, state, keys), listing, keys)
+
+
+def q_enrich(spark, sf):
+    """Documents as contents of four media types by language."""
+    kinds = F.create_map(*[F.lit(x) for x in (
+        "en", "application/pdf", "de", "audio/x", "fr", "video/x", "es", "image/x"
+    )])
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("path"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        F.col("doc_id").alias("last_modified"),
+        F.try_element_at(kinds, "lang").alias("mime"),
+        F.col("text").cast("binary").alias("content"),
+        "text",
+        F.sha1("source").alias("image_fingerprint"),
+        F.md5("source").alias("video_fingerprint"),
+    )
+    return update.enrich(docs).select(
+        "path", "hash", "fingerprint", "video_hash", "pdf_hash", "audio_hash", "missing"
+    )
 
 
 def q_mime_histogram(spark, sf):
@@ -571,7 +645,7 @@ def _event_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The events table as a stream of log records, and a new folder for what is kept of it."""
     schema = table(spark, sf, "events").schema
     stream = streams.read_stream(spark, sf, schema, "events.parquet")
-    return event_records(stream), f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    return event_records(stream), _new_folder(spark)
 
 
 def q_latest_stream(spark, sf):
@@ -615,6 +689,10 @@ QUERIES: dict[str, Query] = {
     "lookup_hash": q_lookup_hash,
     "lookup_hash_size": q_lookup_hash_size,
     "lookup_contents": q_lookup_contents,
+    "json_log": q_json_log,
+    "quarantine": q_quarantine,
+    "parquet_log": q_parquet_log,
+    "catalog": q_catalog,
     "filter_mime": _filtered("mime:/fr"),
     "filter_name": _filtered("name:src1/"),
     "filter_size": _filtered("size:>=2000"),
@@ -632,6 +710,7 @@ QUERIES: dict[str, Query] = {
     "tombstones": q_tombstones,
     "tombstones_failed_dir": q_tombstones_failed_dir,
     "update_stats": q_update_stats,
+    "enrich": q_enrich,
     "mime_histogram": q_mime_histogram,
     "needs_fingerprint": q_needs_fingerprint,
     "diff_status": q_diff_status,

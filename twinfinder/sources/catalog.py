@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinfinder.operators.index import prune
 from twinfinder.schema import DEFAULT_BUCKETS, FILE_RECORD, bucket_of, normalise, records
 
 DATABASE = "twinfinder"
@@ -153,7 +155,7 @@ def configure_repo(
     new_compressed = (found["compressed"] == "true") if compressed is None else compressed
     if (new_codec, new_compressed) == (found["codec"], found["compressed"] == "true"):
         return
-    other = f"{name}_rewritten"
+    other = f"{name}_{uuid.uuid4().hex}"
     create_repo(spark, other, found["path"], int(found["buckets"]), new_codec, new_compressed, database)
     append_records(spark, other, spark.table(table).drop("bucket"), database)
     drop_repo(spark, name, database)
@@ -183,12 +185,10 @@ def prune_repo(
     spark: SparkSession, name: str, buckets: int | None = None, keep_deleted: bool = False, database: str = DATABASE
 ) -> int:
     """Rewrite a repo's log to its last state, optionally with another number of buckets; the records kept."""
-    from twinfinder.operators.index import prune
-
     table = _require(spark, name, database)
     found = _properties(spark, table)
     n = int(found["buckets"]) if buckets is None else buckets
-    other = f"{name}_pruned"
+    other = f"{name}_{uuid.uuid4().hex}"
     create_repo(spark, other, found["path"], n, found["codec"], found["compressed"] == "true", database)
     append_records(spark, other, prune(read_repo(spark, name, database), n, keep_deleted).drop("bucket"), database)
     drop_repo(spark, name, database)
