@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from twinfinder.functions import hashing, media
 from twinfinder.operators import diff, files, filters, index, rank, update
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.session import checkpointed
@@ -99,7 +100,8 @@ def test_scan_hash_and_update(spark, make, tmp_path):
     assert {r["path"] for r in quick.collect()} >= {"a.txt", "sub/b.png", "sub/deep/c.mp3"}
 
     changes = update.classify_changes(listed, make({"path": "a.txt", "size": 6, "last_modified": 1 << 50}))
-    read = scan.read_contents(spark, str(root), update.to_read(changes))
+    read = checkpointed(scan.hash_files(str(root), update.to_read(changes), partitions=2))
+    assert read.filter("message is not null").count() == 0
     records = update.enrich(read.withColumn("image_fingerprint", F.lit("f" * 16)))
     got = {r["path"]: r for r in records.collect()}
     assert set(got) >= {"sub/b.png", "sub/deep/c.mp3"} and "a.txt" not in got
@@ -108,6 +110,26 @@ def test_scan_hash_and_update(spark, make, tmp_path):
     assert got["sub/deep/c.mp3"]["hash"] == (b"ID3\x04\0\0\0\0\0\x02ttsound").hex()
 
 
+def test_hash_files_agrees_with_the_columns(spark, tmp_path):
+    contents = {
+        "empty": b"", "tiny": b"abc", "edge": b"x" * 20, "tag.mp3": b"ID3\x04\0\0\0\0\x01\x00" + b"t" * 128 + b"sound" * 9,
+        "short.mp3": b"ID3\x04\0\0\0\0\x01\x00ttt", "big.avi": os.urandom((1 << 20) + 5000), "plain.mp3": os.urandom(200_000),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    rows_ = [(n, len(d), 1, bytearray(d)) for n, d in contents.items()]
+    table = spark.createDataFrame(rows_, "path string, size bigint, last_modified bigint, content binary")
+    hashed = scan.hash_files(str(tmp_path), table.unionByName(
+        spark.createDataFrame([("nope", 1, 1, None)], table.schema)), partitions=2)
+    expected = table.select(
+        "path", hashing.content_hash("content"), hashing.fallback_hash("content"), hashing.audio_chunk_hash("content"),
+        media.detect_mime(F.substring("content", 1, 64), "path"),
+    )
+    got = hashed.filter("message is null").select("path", "hash", "fallback_hash", "audio_hash", "mime")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, expected.collect())))
+    assert rows(hashed.filter("message is not null"), "path", "hash") == [("nope", None)]
+
+
 # --- rolling rate ------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [False, True])

@@ -97,31 +97,35 @@ def needs_fingerprint(state: DataFrame) -> DataFrame:
 def enrich(files: DataFrame, seq: Column | None = None) -> DataFrame:
     """Hash read files: content hash for all, media hashes by type.
 
-    Expects `path, size, last_modified, mime, content`, and uses `image_fingerprint`, `video_fingerprint`,
-    `image_size`, `text` and `attributes` where decoders have supplied them.
+    Expects `path, size, last_modified, mime` and either `content` or the columns of `sources.files.hash_files`, and
+    uses `image_fingerprint`, `video_fingerprint`, `image_size`, `text` and `attributes` where decoders have
+    supplied them.
     """
     have = set(files.columns)
 
     def given(name: str, kind: str) -> Column:
         return F.col(name) if name in have else F.lit(None).cast(kind)
 
+    def hashed(name: str, function) -> Column:
+        return F.col(name) if name in have else function("content")
+
     image = F.col("mime").startswith("image/")
     video = F.col("mime").startswith("video/")
     audio = F.col("mime").startswith("audio/")
     pdf = F.col("mime") == "application/pdf"
     attributes = given("attributes", "map<string,string>")
-    video_hash = F.coalesce(given("video_fingerprint", "string"), fallback_hash("content"))
+    video_hash = F.coalesce(given("video_fingerprint", "string"), hashed("fallback_hash", fallback_hash))
     passed = [c for c in ("repo", "path", "size", "last_modified", "mime") if c in have]
     return files.select(
         *passed,
         *([seq.alias("seq")] if seq is not None else []),
-        content_hash("content").alias("hash"),
+        hashed("hash", content_hash).alias("hash"),
         F.lit(False).alias("missing"),
         F.when(image, given("image_fingerprint", "string")).alias("fingerprint"),
         F.when(image, given("image_size", "struct<width:int,height:int>")).alias("image_size"),
         F.when(video, video_hash).alias("video_hash"),
         F.when(pdf, text_hash(given("text", "string"))).alias("pdf_hash"),
-        F.when(audio, audio_chunk_hash("content")).alias("audio_hash"),
+        F.when(audio, hashed("audio_hash", audio_chunk_hash)).alias("audio_hash"),
         F.when(video | audio | pdf, attributes).alias("attributes"),
     )
 

@@ -2,53 +2,93 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from functools import reduce
+from typing import BinaryIO
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinfinder.functions.hashing import CHUNK_BYTES, FALLBACK_PREFIX, FALLBACK_SKIP, ID3_HEADER, INLINE_LIMIT
 from twinfinder.functions.media import detect_mime
 from twinfinder.session import checkpointed
 
+HEAD_BYTES = 64
+_HASHED = (
+    "path string, size bigint, last_modified bigint, hash string, head binary, fallback_hash string, "
+    "audio_hash string, message string"
+)
 _ENTRY = "kind string, path string, size bigint, last_modified bigint, message string"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Listing through Spark's file source: path below the root, size, epoch milliseconds.
+    """Listing through Spark's file source, on any storage: path below the root, size, epoch milliseconds.
 
     Contents are never read. Names that start with "_" or "." are hidden by the source and links are followed;
     use `scan_files` where that matters.
     """
+    base = (urlparse(root).path if "://" in root else os.path.abspath(root)).rstrip("/") + "/"
+    start = F.locate(base, F.col("path")) + len(base)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return reader.load(root).select(
-        _below(root).alias("path"),
+        F.substring("path", start, F.length("path")).alias("path"),
         F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("last_modified"),
     )
 
 
-def _below(root: str):
-    base = os.path.abspath(root).rstrip("/") + "/"
-    decoded = F.regexp_replace("path", r"^file:/+", "/")
-    return F.substring(decoded, F.lit(len(base) + 1), F.length(decoded))
+def _read_at(file: BinaryIO, position: int) -> bytes:
+    file.seek(position)
+    return file.read(CHUNK_BYTES)
+
+
+def _hashes(path: str) -> tuple[str, bytes, str | None, str | None]:
+    """Content hash, first bytes, fallback hash and audio hash of a file of any size, read in pieces."""
+    digest, size = hashlib.sha1(), 0
+    with open(path, "rb") as file:
+        head = file.read(HEAD_BYTES)
+        file.seek(0)
+        while piece := file.read(1 << 20):
+            digest.update(piece)
+            size += len(piece)
+        tag = 0
+        if len(head) >= ID3_HEADER and head.startswith(b"ID3"):
+            tag = sum((b & 0x7F) << shift for b, shift in zip(head[6:10], (21, 14, 7, 0)))
+        late, sound = _read_at(file, FALLBACK_SKIP), _read_at(file, ID3_HEADER + tag)
+    return (
+        head[:size].hex() if size < INLINE_LIMIT else digest.hexdigest(),
+        head,
+        FALLBACK_PREFIX + hashlib.sha256(late).hexdigest() if late else None,
+        hashlib.sha256(sound).hexdigest() if sound else None,
+    )
 
 
-def read_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Contents and types of the `wanted(path)` files, for hashing what changed.
+def hash_files(root: str, wanted: DataFrame, partitions: int = 64) -> DataFrame:
+    """Hash the `wanted(path, size, last_modified)` files below a mounted directory, and no others.
 
-    The listing is joined on its metadata first; only the selected files' bytes leave the scan.
+    Adds `hash`, `mime`, `fallback_hash`, `audio_hash` and `message` (why a file could not be read). Files are
+    streamed inside the tasks, so their size is no limit and no contents are shuffled. `update.enrich` picks what
+    applies to each type.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.load(root).select(
-        _below(root).alias("path"),
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("last_modified"),
-        "content",
-    )
-    chosen = files.join(wanted.select("path").distinct(), "path", "left_semi")
-    return chosen.withColumn("mime", detect_mime(F.substring("content", 1, 64), "path"))
+    base = os.path.abspath(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            results = []
+            for path in batch["path"]:
+                try:
+                    results.append((*_hashes(os.path.join(base, path)), None))
+                except OSError as e:
+                    results.append((None, None, None, None, repr(e)))
+            found = pd.DataFrame(results, columns=["hash", "head", "fallback_hash", "audio_hash", "message"])
+            yield pd.concat([batch.reset_index(drop=True), found], axis=1)
+
+    spread = wanted.select("path", "size", "last_modified").repartition(partitions, "path")
+    hashed = spread.mapInPandas(read, _HASHED)
+    return hashed.withColumn("mime", detect_mime("head", "path")).drop("head")
 
 
 def scan_files(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
