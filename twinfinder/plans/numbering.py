@@ -13,13 +13,13 @@ _PART_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number all rows 0, 1, 2, … in a total order.
 
-    The rows are range-partitioned and sorted, then fixed by a checkpoint; each partition starts where the
-    ones before it end. Only one row count per partition reaches the driver.
+    The rows are range-partitioned and sorted, then stored with their partition and their place in it; each
+    partition starts where the ones before it end. Only one row count per partition reaches the driver.
     """
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    row = F.monotonically_increasing_id()
-    part = F.shiftright(row, _PART_BITS)
-    counts = ranged.select(part.alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = checkpointed(sorted_rows.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", _PART_BITS)
+    counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
     starts, total = [], 0
     for part_no, n in sorted((r["part"], r["n"]) for r in counts):
         starts.append((part_no, total))
@@ -27,8 +27,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
     within = F.col("_row").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
     return (
-        ranged.withColumn("_row", row)
-        .withColumn("_part", F.shiftright("_row", _PART_BITS))
+        ranged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_start") + within)
         .drop("_row", "_part", "_start")

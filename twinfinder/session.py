@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return a frame that reads it back.
+    """Write `df` as a table in the shared checkpoint folder and return a frame that reads it back.
 
-    Cuts lineage, fixes the content of every partition, and survives the loss of executors.
+    Cuts lineage and survives the loss of executors. Being Parquet, later steps read only the columns they use, and
+    the planner knows the real size.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
