@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from textwrap import dedent
 
+from twinfinder.sources.report import STYLE
+
 HASH = "CASE WHEN strlen({t}) < 20 THEN lower(hex(encode({t}))) ELSE sha1({t}) END"
 TEXT_HASH = (
     "CASE WHEN regexp_replace(lower({t}), '\\s+', '', 'g') <> '' "
@@ -204,6 +206,11 @@ def _eta(key: str, n: int) -> str:
     FROM b"""
 
 
+_AXIS = "greatest(0::DOUBLE, least(({n} + 0.5::DOUBLE) * 8::DOUBLE / 9::DOUBLE - 0.5::DOUBLE, 7::DOUBLE))"
+_HTML_TOP = "\n".join([
+    "<!DOCTYPE html>", "<html>", "<head>", "<title>Duplicate/Similar Files Report</title>", "<style>", *STYLE, "</style>",
+    "</head>", "<body>", "<h1>Duplicate/Similar Files Report</h1>", "<p>Type: Similarity (Threshold: 70%)</p>",
+])
 _PLAIN = "SELECT repo, path, size, mime FROM idx"
 _SYNC = f"""
     WITH {TWO},
@@ -481,6 +488,22 @@ ORACLE: dict[str, str] = {
     "canonical_grid": f"WITH {CANONICAL} SELECT vec_id, array_to_string(best, ',') AS canonical FROM canonical",
     "dhash": f"""
     WITH {CANONICAL} SELECT vec_id, {_dhash('grid')} AS raw, {_dhash('best')} AS fingerprint FROM canonical""",
+    "grid9": f"""
+    WITH p AS (
+      SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 1000) % 256)::INTEGER) AS px
+      FROM embeddings
+    ),
+    c AS (SELECT vec_id, px, i, {_AXIS.format(n='i % 9')} AS cx, {_AXIS.format(n='i // 9')} AS cy FROM p, range(81) t(i)),
+    d AS (
+      SELECT *, floor(cx)::INTEGER AS x0, floor(cy)::INTEGER AS y0, least(floor(cx)::INTEGER + 1, 7) AS x1,
+             least(floor(cy)::INTEGER + 1, 7) AS y1, cx - floor(cx) AS fx, cy - floor(cy) AS fy FROM c
+    ),
+    e AS (
+      SELECT vec_id, i, fy, px[y0 * 8 + x0 + 1] * (1 - fx) + px[y0 * 8 + x1 + 1] * fx AS top,
+             px[y1 * 8 + x0 + 1] * (1 - fx) + px[y1 * 8 + x1 + 1] * fx AS bottom FROM d
+    )
+    SELECT vec_id, string_agg(floor(top * (1 - fy) + bottom * fy + 0.5::DOUBLE)::INTEGER::VARCHAR, ',' ORDER BY i) AS grid
+    FROM e GROUP BY vec_id""",
     "formatting": f"""
     WITH t AS (
       SELECT l_orderkey, l_linenumber, floor(pow(l_extendedprice, 2))::BIGINT + l_orderkey AS n, l_shipdate,
@@ -512,10 +535,28 @@ ORACLE: dict[str, str] = {
            || {_size_text('size')} || E'\\n  - **Modified:** ' || {_date_text('last_modified')} || chr(10)
            || CASE WHEN rank = copies THEN E'\\n---\\n' ELSE '' END
     FROM numbered""",
+    "report_html": f"""
+    WITH RECURSIVE {_hamming_clusters(['w0'], 64, 70, 'image')},
+    numbered AS (
+      SELECT *, dense_rank() OVER (ORDER BY group_key) AS group_no,
+             row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rank,
+             'file:/data/embeddings/' || seq AS link
+      FROM clusters
+    )
+    SELECT 0::BIGINT AS group_no, 0::BIGINT AS rank, '{_HTML_TOP}' AS text
+    UNION ALL SELECT 9223372036854775807::BIGINT, 0::BIGINT, E'</body>\\n</html>'
+    UNION ALL
+    SELECT group_no, rank,
+           CASE WHEN rank = 1 THEN E'<div class="group">\\n<h2>Group ' || group_no || E'</h2>\\n' ELSE '' END
+           || E'<div class="file">\\n<strong>Repo:</strong> embeddings<br>\\n<strong>Path:</strong> <code>' || seq
+           || E'</code><br>\\n<strong>Size:</strong> 64 B<br>\\n<strong>Modified:</strong> ' || {_date_text('(seq * 1000)')}
+           || E'<br>\\n<a href="' || link || E'" target="_blank">Open original</a><br>\\n<img src="' || link
+           || E'" alt="thumbnail">\\n</div>' || CASE WHEN rank = copies THEN E'\\n</div>' ELSE '' END
+    FROM numbered""",
     "latest_stream": f"WITH {STATE} SELECT path, seq, hash, size, missing FROM state",
     "duplicates_stream": f"""
     WITH {LOG}
     SELECT path, seq, hash, size, min(seq) OVER (PARTITION BY hash, size) AS first_seq
     FROM log QUALIFY seq > first_seq""",
 }
-ORACLE = {name: dedent(sql).strip() for name, sql in ORACLE.items()}
+ORACLE = {name: sql if "<style>" in sql else dedent(sql).strip() for name, sql in ORACLE.items()}
