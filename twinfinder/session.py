@@ -29,7 +29,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if not folder:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
