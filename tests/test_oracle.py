@@ -6,11 +6,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from twinfinder.oracle import ORACLE as SQL
+from twinfinder.queries import all_queries
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = entry_module.oracle_sql()
-QUERIES = entry_module.queries()
+QUERIES = all_queries()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -39,6 +40,7 @@ def test_query(spark, tables, name):
 
 def test_every_query_is_checked():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 def test_entry(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Keep "first n rows per key" trimmed on the map side for every n used in plans.leaders.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(1 << 20),
+    # Whole texts go to Python in these batches, so that a worker holds a few thousand of them at most.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
@@ -25,16 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session's checkpoints; a temporary one only for local sessions without a setting."""
+    """The folder of the session's checkpoints, which all executors share.
+
+    It is the one in `spark.checkpoint.dir`. Where that is unset, it is a folder of the warehouse, which a cluster
+    shares as well.
+    """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if not folder:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="twinfinder-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         folder = sc.getCheckpointDir()
     return folder
 
