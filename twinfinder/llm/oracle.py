@@ -1,0 +1,136 @@
+"""SQL counterparts of the queries that SQL can express."""
+
+from __future__ import annotations
+
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP4 = r"""
+WITH p AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), o AS (
+  SELECT host, (quality = 0)::INT AS bad
+  FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[/.]|$)', 1) AS BIGINT) AS doc_id FROM p)
+  JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+), h AS (
+  SELECT host, count(*) AS n, sum(bad) AS bad, split_part(host, '.', -1) AS suffix,
+         CASE WHEN host LIKE '%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS dom
+  FROM o GROUP BY host
+), t AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, t GROUP BY suffix),
+s1 AS (
+  SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
+    sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM s0
+),
+s AS (SELECT suffix, (m * w + bad) / (w + n) AS m FROM s0, s1),
+d0 AS (SELECT dom, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h JOIN s USING (suffix) GROUP BY dom, suffix),
+d1 AS (
+  SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
+    sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM d0
+),
+d AS (SELECT dom, (m * w + bad) / (w + n) AS m FROM d0, d1),
+h0 AS (SELECT host, n, bad, m FROM h JOIN d USING (dom)),
+h1 AS (
+  SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
+    sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM h0
+),
+b AS (SELECT host, (m * w + bad) / (w + n) AS m, w + n AS size FROM h0, h1),
+r AS (
+  SELECT page_id, p.host, path,
+    CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    m - 1.645 * sqrt(m * (1 - m) / (size + 1)) AS bound
+  FROM p LEFT JOIN b ON p.host = b.host
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def _fill(parents: str, name: str, weight: str, source: str) -> str:
+    """Children of `source` (with room and allot of the parent) with their own allot."""
+    part = f"PARTITION BY {parents} " if parents else ""
+    return f"""
+  SELECT * EXCLUDE (allot, w, ratio, level, full_), least(room, CASE WHEN full_ THEN room WHEN w > 0 THEN
+         floor(w * max(level) FILTER (NOT full_) OVER ({part}))::BIGINT ELSE 0 END)::BIGINT AS allot
+  FROM (SELECT *, coalesce(room <= w * level, false) AS full_ FROM (
+    SELECT *, CASE WHEN w > 0 THEN
+             (allot - coalesce(sum(room) OVER ({part}ORDER BY ratio NULLS LAST, {name}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+             / sum(w) OVER ({part}ORDER BY ratio NULLS LAST, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+           END AS level
+    FROM (SELECT *, CASE WHEN w > 0 THEN room::DOUBLE / w END AS ratio FROM (
+      SELECT *, CASE WHEN room > 0 THEN {weight} ELSE 0.0::DOUBLE END AS w FROM {source}))))"""
+
+
+_DOMAIN = "CASE domain WHEN 'd0' THEN 1.0::DOUBLE WHEN 'd1' THEN 2.0 WHEN 'd2' THEN 3.0 ELSE 1.0 END"
+_LANG = "CASE l WHEN 'en' THEN 2.0::DOUBLE WHEN 'de' THEN 1.0 WHEN 'fr' THEN 1.0 WHEN 'es' THEN 4.0 ELSE 1.0 END"
+
+OP6 = f"""
+WITH r AS (
+  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+         'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INT), 0) % 3) AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents
+), leaf AS (SELECT domain, l, s, sum(n_tokens)::BIGINT AS supply, 3 * sum(n_tokens)::BIGINT AS room FROM r GROUP BY ALL),
+b AS (SELECT least(floor(sum(supply)::BIGINT * 0.6::DOUBLE), sum(room))::BIGINT AS budget FROM leaf),
+t0 AS (SELECT domain, sum(room)::BIGINT AS room, any_value(budget) AS allot FROM leaf, b GROUP BY domain),
+t1 AS ({_fill("", "domain", _DOMAIN, "t0")}),
+u0 AS (SELECT domain, l, sum(leaf.room)::BIGINT AS room, any_value(allot) AS allot FROM leaf JOIN t1 USING (domain) GROUP BY ALL),
+u1 AS ({_fill("domain", "l", _LANG, "u0")}),
+v0 AS (SELECT domain, l, s, leaf.supply, leaf.room, allot FROM leaf JOIN u1 USING (domain, l)),
+v1 AS ({_fill("domain, l", "s", "1.0::DOUBLE", "v0")}),
+plan AS (
+  SELECT domain, l, s, floor(allot / greatest(supply, 1))::INT AS whole,
+         allot - floor(allot / greatest(supply, 1)) * greatest(supply, 1) AS rest FROM v1
+), k AS (
+  SELECT r.*, whole, rest, md5('7|' || whole || '|' || coalesce(doc_id::VARCHAR, '')) AS key FROM r JOIN plan USING (domain, l, s)
+), c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY key) AS so_far FROM k),
+d AS (SELECT *, whole + (rest > 0 AND so_far <= rest)::INT AS times FROM c)
+SELECT doc_id, domain, lang, source, unnest(range(times))::INT AS epoch, n_tokens::BIGINT AS n_tokens FROM d WHERE times > 0
+"""
+
+_CONTROL = r"\[/?(?:SYS|INST)\]|</?s>|\[TURN [0-9A-F]*\]|\[/TURN\]"
+
+OP7 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), u AS (
+  SELECT *, CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                 ELSE 14 + 2 * strlen(role) END + 3 + length(text)
+            + len(regexp_extract_all(text, '{_CONTROL}')) AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_exact_topk": OP1,
+    "op4_url_filter": OP4,
+    "op6_mixing": OP6,
+    "op7_chat": OP7,
+}

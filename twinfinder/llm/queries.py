@@ -1,0 +1,123 @@
+"""The registered queries of this subpackage: each operator on its whole table, and the pipeline."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from twinfinder.llm import bpe, chat, digest, mixing, topk, url_reputation
+from twinfinder.llm.common import table
+from twinfinder.llm.oracle import ORACLE  # noqa: F401  (read by the driver's entry)
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+# The rules of the URL filter.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+BAD_PAGES = 0.3
+
+
+def op1_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 256)
+    # A double of 2^53 or more is whole already, and its floor need not fit into a long.
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    vectors = table(spark, sf, "embeddings").select("vec_id", whole.alias("embedding"))
+    return topk.top_k(vectors, "vec_id % 50 = 0", 5)
+
+
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages show a document, whose number is in their path: its quality label is the outcome of the page."""
+    pages = table(spark, sf, "pages")
+    number = F.regexp_extract(url_reputation.url_path(F.col("url")), r"/([0-9]{1,18})(?:[/.]|$)", 1)
+    shown = pages.select(
+        url_reputation.url_host(F.col("url")).alias("host"),
+        F.when(number != "", number).cast("bigint").alias("doc_id"),
+    )
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
+    outcomes = shown.join(labels, "doc_id")
+    reputation = url_reputation.host_reputation(outcomes)
+    judged = url_reputation.judge_urls(pages.select("page_id", "url"), reputation, URL_RULES, BAD_PAGES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+DOMAINS = {"d0": 1.0, "d1": 2.0, "d2": 3.0}
+LANGUAGES = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 4.0}
+MIXTURE = mixing.Mixture({"domain": DOMAINS, "lang": LANGUAGES, "source": {}}, share=0.6, epochs=3, seed=7)
+
+
+def mix_levels() -> dict:
+    """Documents have no domain: the number of their source, modulo three, stands for one."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    domain = F.concat(F.lit("d"), (F.when(number != "", number).otherwise("0").cast("int") % 3).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    levels = mix_levels()
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", levels["domain"].alias("domain"), mixing.count_words(F.col("text")).alias("n_tokens")
+    )
+    chosen = mixing.mix(docs, {**levels, "domain": F.col("domain")}, MIXTURE, tokens=F.col("n_tokens"))
+    return chosen.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"), "n_tokens")
+
+
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    read = chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("fingerprint", digest.fingerprint("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    pairs = digest.with_next(docs, "doc_id", {"text": F.col("text"), "fingerprint": F.col("fingerprint")})
+    third = F.expr("cast(n_chars div 3 as int)")
+    edited = F.concat(
+        F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)
+    )
+    pairs = pairs.withColumn("edited", edited).withColumn("edited_fingerprint", digest.fingerprint("edited"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        digest.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        digest.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe_digests(bpe.encoded(docs, public_tokenizers.path(RANKS)))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op4_url_filter": op4_url_filter,
+    "op6_mixing": op6_mixing,
+    "op7_chat": op7_chat,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_byte_bpe": op10_byte_bpe,
+}
