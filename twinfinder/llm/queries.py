@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfinder.llm import bpe, chat, digest, mixing, topk, url_reputation
-from twinfinder.llm.common import table
+from twinfinder.llm import bpe, chat, digest, language, lm, mixing, quality, topk, url_reputation
+from twinfinder.llm.common import fold, table
 from twinfinder.llm.oracle import ORACLE  # noqa: F401  (read by the driver's entry)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op1_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, "vec_id % 50 = 0", 5)
 
 
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    network = language.language_model(docs, fold("doc_id") > 0)
+    found = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), language.language_of(network, "text").alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
+
+
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Pages show a document, whose number is in their path: its quality label is the outcome of the page."""
     pages = table(spark, sf, "pages")
@@ -43,6 +50,15 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = lm.score_texts(docs, (fold("doc_id") >= 0) & (fold("doc_id") != 1))
+    return found.select(
+        F.col("_id").alias("doc_id"), (fold("_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 DOMAINS = {"d0": 1.0, "d1": 2.0, "d2": 3.0}
 LANGUAGES = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 4.0}
 MIXTURE = mixing.Mixture({"domain": DOMAINS, "lang": LANGUAGES, "source": {}}, share=0.6, epochs=3, seed=7)
@@ -83,6 +99,16 @@ def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+GOOD = 0.3  # the least probability of a document that is kept
+
+
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.quality_model(docs, table(spark, sf, "labels"))
+    found = docs.select("doc_id", quality.quality_of(model).alias("score"))
+    return found.withColumn("keep", F.col("score") >= GOOD)
+
+
 def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("fingerprint", digest.fingerprint("text")).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -115,9 +141,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
+    "op5_lm_score": op5_lm_score,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
