@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfinder.llm import bpe, chat, digest, language, lm, mixing, quality, topk, url_reputation
+from twinfinder.llm import bpe, chat, digest, language, lm, mixing, ngram_join, quality, topk, url_reputation
 from twinfinder.llm.common import fold, table
 from twinfinder.llm.oracle import ORACLE  # noqa: F401  (read by the driver's entry)
+from twinfinder.llm.settings import GOOD, MIXTURE, RANKS, bpe_digests, mix_levels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
-
 # The rules of the URL filter.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 BAD_PAGES = 0.3
@@ -28,6 +28,11 @@ def op1_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, "vec_id % 50 = 0", 5)
 
 
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = ngram_join.similar_texts(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(F.col("_doc").alias("doc_id"), "class_id", "links", "copies", "keep")
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     network = language.language_model(docs, fold("doc_id") > 0)
@@ -59,18 +64,6 @@ def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-DOMAINS = {"d0": 1.0, "d1": 2.0, "d2": 3.0}
-LANGUAGES = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 4.0}
-MIXTURE = mixing.Mixture({"domain": DOMAINS, "lang": LANGUAGES, "source": {}}, share=0.6, epochs=3, seed=7)
-
-
-def mix_levels() -> dict:
-    """Documents have no domain: the number of their source, modulo three, stands for one."""
-    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
-    domain = F.concat(F.lit("d"), (F.when(number != "", number).otherwise("0").cast("int") % 3).cast("string"))
-    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
-
-
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     levels = mix_levels()
     docs = table(spark, sf, "documents").select(
@@ -99,9 +92,6 @@ def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-GOOD = 0.3  # the least probability of a document that is kept
-
-
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = quality.quality_model(docs, table(spark, sf, "labels"))
@@ -130,17 +120,9 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_digests(bpe.encoded(docs, public_tokenizers.path(RANKS)))
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_ngram_join": op2_ngram_join,
     "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
     "op5_lm_score": op5_lm_score,
@@ -149,4 +131,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
