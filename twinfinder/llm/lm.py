@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinfinder.session import checkpointed
 
 END = b"\n"  # cannot be a word
-HEAD, HEAD_BYTES = 131_072, 48  # words with broadcast counts, and the longest of them
+HEAD, HEAD_BYTES = 131_072, 48  # most words with broadcast counts, and the longest of them
+STEPS = 16  # of a doubling of the count
 INPUTS, CLASS_WORDS, ENDINGS = 4096, 192, 64
 CONTEXT, DIMS = 4, 16
 DISCOUNT = 0.5
@@ -112,7 +113,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """The head and the totals; only HEAD words of at most HEAD_BYTES bytes reach the driver."""
     totals = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     short = counts.filter(F.octet_length("word") <= HEAD_BYTES)
-    head = short.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()
+    # The least count of a word of the head, by steps of a logarithmic scale: whole steps while they fit.
+    step = F.floor(F.log2("n") * STEPS)
+    sizes = sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, held = None, 0
+    for r in sizes:
+        held += r["words"]
+        if held > HEAD:
+            break
+        least = r["step"]
+    head = [] if least is None else short.filter(step >= least).collect()
+    head.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     words = tuple(bytes(r["word"]) for r in head)
     singles = min(CLASS_WORDS, len(words))
 
