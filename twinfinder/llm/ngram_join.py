@@ -31,14 +31,17 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 PLACES = 64  # of a sketch
 FAN = 3  # places that a bucket chooses
-SMALL = 512  # buckets of up to so many nodes are compared
-SLICE = 512  # nodes of a slice of a large bucket
+SMALL = 1024  # buckets of up to so many nodes are compared
+SLICE = 1024  # nodes of a slice of a large bucket
 DENSE = 0.5  # share of places at which two nodes of a bucket agree, from which it is not split
 DEEPEST = 12  # levels; buckets that are still large then are compared as they are
 # A pair is compared if so many places of its sketches agree. A pair at the threshold has this number at least with a
 # probability of more than 0.9999999.
 AGREE = PLACES // 2
 PAIRS_TOGETHER = 100_000
+LARGE = 48  # cells of so many rows are compared as matrices
+# Small tables of components are kept in as few files as hold so many rows each.
+ROWS_PER_FILE = 250_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -121,16 +124,16 @@ def signatures(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
                 for tokens in shingle_sets(texts[a:b], words):
                     names.append(set_name(tokens) if len(tokens) else None)
                     sizes.append(len(tokens) or None)
-                    sketches.append(sketch(tokens).astype(np.int64) if len(tokens) else None)
+                    sketches.append(sketch(tokens).view(np.int32) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(sketches, pa.list_(pa.int64()))],
+                 pa.array(sketches, pa.list_(pa.int32()))],
                 names=["_doc", "_text_hash", "_set", "_size", "_sketch"],
             )
 
     rows = docs.select(F.col(doc).alias("_doc"), F.xxhash64(F.col(text)).alias("_text_hash"), F.col(text).alias("_text"))
     kind = docs.schema[doc].dataType.simpleString()
-    return rows.mapInArrow(sign, f"_doc {kind}, _text_hash bigint, _set binary, _size bigint, _sketch array<bigint>")
+    return rows.mapInArrow(sign, f"_doc {kind}, _text_hash bigint, _set binary, _size bigint, _sketch array<int>")
 
 
 # --- paths -------------------------------------------------------------------------------------------------------
@@ -161,33 +164,42 @@ def leaves_of(nodes: DataFrame, runs: int) -> DataFrame:
     """(`_leaf`, `_node`, `_members`): the buckets to compare, of all runs. `nodes` has `_node` and `_sketch`."""
     roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(r), F.lit("run")), F.col("_sketch")) for r in range(runs)]))
     rows = nodes.select("_node", F.explode(F.array_distinct(roots)).alias("_leaf"))
-    found = []
-    for depth in range(DEEPEST):
-        sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
-        sized = checkpointed(rows.join(sizes, "_leaf"))
-        small = F.col("_members") <= SMALL
-        found.append(sized.filter(small))
-        open_rows = sized.filter(~small)
-        if open_rows.isEmpty():
-            break
-        if depth == DEEPEST - 1:
-            found.append(open_rows)
-            break
-        below = open_rows.join(nodes.select("_node", "_sketch"), "_node")
-        below = checkpointed(below.select(
-            "_node", F.col("_leaf").alias("_path"), "_members",
+    sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
+    sized = checkpointed(rows.join(sizes, "_leaf").select("_leaf", "_node", "_members"))
+    small = F.col("_members") <= SMALL
+    found = [sized.filter(small)]
+    # Rows of buckets to split carry their sketches from here on. There are few of them, so they go into few files.
+    large = sized.filter(~small)
+    files = 1 + FAN * large.count() // ROWS_PER_FILE
+    large = checkpointed(large.join(nodes.select("_node", "_sketch"), "_node").coalesce(files))
+    for _ in range(DEEPEST):
+        count = large.count()
+        if count == 0:
+            return _all_of(found)
+        files = 1 + FAN * count // ROWS_PER_FILE
+        below = large.select(
+            "_node", "_sketch", F.col("_leaf").alias("_path"), F.col("_members").alias("_before"),
             F.explode(_children(F.col("_leaf"), F.col("_sketch"))).alias("_leaf"),
-        ))
-        # How likely two nodes of a bucket agree at a place, from the sizes of its children.
-        n = F.col("_n").cast("double")
-        alike = below.groupBy("_path", "_members", "_leaf").agg(F.count("*").alias("_n")).groupBy("_path").agg(
-            (F.sum(n * n) / F.sum(n * F.col("_members"))).alias("_alike")
         )
-        dense = checkpointed(alike.filter(F.col("_alike") >= DENSE).select("_path"))
-        found.append(open_rows.join(dense.withColumnRenamed("_path", "_leaf"), "_leaf", "left_semi"))
-        rows = below.join(dense, "_path", "left_anti").select("_node", "_leaf")
-    result = found[0]
-    for more in found[1:]:
+        sizes = below.groupBy("_path", "_before", "_leaf").agg(F.count("*").alias("_members"))
+        # How likely two nodes of a bucket agree at a place, from the sizes of its children.
+        n = F.col("_members").cast("double")
+        alike = sizes.groupBy("_path").agg((F.sum(n * n) / F.sum(n * F.col("_before"))).alias("_alike"))
+        dense = alike.filter(F.col("_alike") >= DENSE).select(F.col("_path").alias("_leaf"))
+        dense = checkpointed(dense.coalesce(files))
+        found.append(large.join(dense, "_leaf", "left_semi").select("_leaf", "_node", "_members"))
+        split = below.join(dense.withColumnRenamed("_leaf", "_path"), "_path", "left_anti")
+        sizes = split.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
+        split = split.select("_node", "_sketch", "_leaf").join(sizes, "_leaf")
+        split = checkpointed(split.coalesce(files))
+        found.append(split.filter(small).select("_leaf", "_node", "_members"))
+        large = split.filter(~small)
+    return _all_of([*found, large.select("_leaf", "_node", "_members")])
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for more in parts[1:]:
         result = result.unionByName(more)
     return result
 
@@ -205,9 +217,8 @@ def _cells(members: DataFrame) -> DataFrame:
     return spread.withColumns({"_i": F.least("_slice", "_o"), "_j": F.greatest("_slice", "_o")}).drop("_o", "_members")
 
 
-def _pairs_within(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same cell; cells follow each other with `sizes` rows. In portions."""
-    starts = np.cumsum(sizes) - sizes
+def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same cell, in portions; cells begin at `starts` and have `sizes` rows."""
     for size in np.unique(sizes[sizes > 1]).tolist():
         a, b = np.triu_indices(size, 1)
         of = starts[sizes == size]
@@ -218,6 +229,23 @@ def _pairs_within(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield left[m : m + PAIRS_TOGETHER], right[m : m + PAIRS_TOGETHER]
 
 
+def _pairs_of_large(values: np.ndarray, leaves: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one cell with enough agreement that have not met in an earlier leaf, by whole matrices."""
+    n = len(values)
+    agree = np.zeros((n, n), dtype=np.uint8)
+    for column in np.ascontiguousarray(values.T):
+        agree += column[:, None] == column[None, :]
+    open_pairs = np.triu(agree >= AGREE, 1)
+    row, place = np.nonzero(leaves < leaf)
+    earlier = leaves[row, place]
+    order = np.argsort(earlier, kind="stable")
+    groups = np.split(row[order], np.flatnonzero(np.diff(earlier[order])) + 1)
+    for group in groups:
+        if len(group) > 1:
+            open_pairs[np.ix_(group, group)] = False
+    return np.nonzero(open_pairs)
+
+
 def new_pairs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that meet here first, and whose sizes and sketches allow a link.
 
@@ -231,10 +259,14 @@ def new_pairs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[np.ndar
     size, values, leaves = rows["size"], rows["sketch"], rows["leaves"]
     part, within = rows["slice"], rows["i"] == rows["j"]
     left, right = [], []
-    for a, b in _pairs_within(sizes):
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         keep = low * threshold.denominator >= high * threshold.numerator
-        keep &= (within[a] | (part[a] != part[b])) & (rows["node"][a] != rows["node"][b])
+        return keep & (within[a] | (part[a] != part[b])) & (rows["node"][a] != rows["node"][b])
+
+    for a, b in _pairs_within(np.where(sizes < LARGE, sizes, 0), np.cumsum(sizes) - sizes):
+        keep = fits(a, b)
         a, b = a[keep], b[keep]
         keep = (values[a] == values[b]).sum(axis=1) >= AGREE
         a, b = a[keep], b[keep]
@@ -245,6 +277,11 @@ def new_pairs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[np.ndar
             fresh = ~(shared & earlier).any(axis=(1, 2))
             left.append(x[fresh])
             right.append(y[fresh])
+    for start, n in zip((np.cumsum(sizes) - sizes)[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist()):
+        a, b = _pairs_of_large(values[start : start + n], leaves[start : start + n], rows["leaf"][start])
+        keep = fits(a + start, b + start)
+        left.append(a[keep] + start)
+        right.append(b[keep] + start)
     empty = np.zeros(0, dtype=np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
@@ -252,7 +289,8 @@ def new_pairs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[np.ndar
 def _read(table: pa.Table) -> dict[str, np.ndarray]:
     rows = {n[1:]: table[n].to_numpy() for n in (*CELL, "_slice", "_node", "_size")}
     sketches = table["_sketch"].combine_chunks()
-    rows["sketch"] = sketches.values.to_numpy()[sketches.offsets[0].as_py() :][: PLACES * len(table)].reshape(-1, PLACES).astype(np.uint32)
+    # The lowest byte of each value tells nearly as much, and never less agreement than there is.
+    rows["sketch"] = sketches.values.to_numpy()[sketches.offsets[0].as_py() :][: PLACES * len(table)].reshape(-1, PLACES).astype(np.uint8)
     lists = table["_leaves"].to_pylist()
     most = max(map(len, lists), default=0)
     filled = np.full((len(lists), max(1, most)), np.iinfo(np.int64).max)
@@ -379,18 +417,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest part among the neighbours, and then the part of that part, so paths shorten fast.
     """
-    both = edges.unionByName(edges.select(F.col("_to").alias("_node"), F.col("_node").alias("_to"))).distinct()
-    both = checkpointed(both)
-    parts = checkpointed(both.groupBy("_node").agg(F.least(F.min("_to"), F.first("_node")).alias("_part")))
+    both = edges.unionByName(edges.select(F.col("_to").alias("_node"), F.col("_node").alias("_to")))
+    files = 1 + 2 * edges.count() // ROWS_PER_FILE
+    both = checkpointed(both.distinct().coalesce(files))
+    parts = both.groupBy("_node").agg(F.least(F.min("_to"), F.first("_node")).alias("_part")).coalesce(files)
+    parts = checkpointed(parts)
     while True:
         near = both.join(parts.select(F.col("_node").alias("_to"), "_part"), "_to").groupBy("_node")
         near = near.agg(F.min("_part").alias("_near"))
         better = parts.join(near, "_node").select("_node", F.col("_part").alias("_old"), F.least("_part", "_near").alias("_part"))
-        better = checkpointed(better)
+        better = checkpointed(better.coalesce(files))
         above = better.select(F.col("_node").alias("_part"), F.col("_part").alias("_above"))
         jumped = better.join(above, "_part", "left")
         jumped = jumped.select("_node", "_old", F.least("_part", F.coalesce("_above", "_part")).alias("_part"))
-        jumped = checkpointed(jumped)
+        jumped = checkpointed(jumped.coalesce(files))
         parts = jumped.select("_node", "_part")
         if jumped.filter(F.col("_old") != F.col("_part")).isEmpty():
             return parts
@@ -415,13 +455,12 @@ def similar_texts(
     signed = checkpointed(signatures(docs, doc, text, words).withColumn("_row", F.monotonically_increasing_id()))
     filled = signed.filter(F.col("_set").isNotNull())
     owner = F.min(F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_text_hash").alias("hash")))
-    sets = filled.groupBy("_set").agg(F.min("_row").alias("_node"), F.count("*").alias("_rows"), owner.alias("_owner"))
-    sets = checkpointed(sets)
-    first = sets.select("_node", F.col("_node").alias("_row"))
-    nodes = filled.join(first, "_row").select("_node", "_doc", "_text_hash", "_size", "_sketch")
-    nodes = checkpointed(nodes)
+    first = F.min(F.struct("_row", "_doc", "_text_hash", "_size", "_sketch")).alias("_first")
+    sets = filled.groupBy("_set").agg(F.count("*").alias("_rows"), owner.alias("_owner"), first)
+    sets = checkpointed(sets.select("_set", "_rows", "_owner", F.col("_first._row").alias("_node"), "_first.*").drop("_row"))
+    nodes = sets.select("_node", "_doc", "_text_hash", "_size", "_sketch")
 
-    leaves = checkpointed(leaves_of(nodes, runs_needed(threshold, recall)))
+    leaves = leaves_of(nodes, runs_needed(threshold, recall))
     lists = leaves.groupBy("_node").agg(F.collect_list(F.struct("_leaf", "_members")).alias("_in"))
     met = lists.join(nodes, "_node").withColumn("_leaves", F.sort_array(F.transform("_in", lambda x: x["_leaf"])))
     met = checkpointed(met)
@@ -444,7 +483,7 @@ def similar_texts(
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *rest], names=["_tokens", *batch.schema.names[1:]])
 
     schema = (
-        "_tokens binary, _node bigint, _size bigint, _sketch array<bigint>, _leaves array<bigint>, "
+        "_tokens binary, _node bigint, _size bigint, _sketch array<int>, _leaves array<bigint>, "
         "_places array<struct<_leaf: bigint, _i: int, _j: int, _slice: int>>"
     )
     known = asked.mapInArrow(tokens, schema).withColumn("_p", F.explode("_places"))
