@@ -33,7 +33,7 @@ PLACES = 64  # of a sketch
 FAN = 3  # places that a bucket chooses
 SMALL = 1024  # buckets of up to so many nodes are compared
 SLICE = 1024  # nodes of a slice of a large bucket
-DENSE = 0.5  # share of places at which two nodes of a bucket agree, from which it is not split
+DENSE = 0.5  # mean share of places at which nodes agree with one of them, from which a bucket is not split
 DEEPEST = 12  # levels; buckets that are still large then are compared as they are
 # A pair is compared if so many places of its sketches agree. A pair at the threshold has this number at least with a
 # probability of more than 0.9999999.
@@ -41,7 +41,7 @@ AGREE = PLACES // 2
 PAIRS_TOGETHER = 100_000
 LARGE = 48  # cells of so many rows are compared as matrices
 # Small tables of components are kept in as few files as hold so many rows each.
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 8192
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -177,23 +177,21 @@ def leaves_of(nodes: DataFrame, runs: int) -> DataFrame:
         if count == 0:
             return _all_of(found)
         files = 1 + FAN * count // ROWS_PER_FILE
-        below = large.select(
-            "_node", "_sketch", F.col("_leaf").alias("_path"), F.col("_members").alias("_before"),
-            F.explode(_children(F.col("_leaf"), F.col("_sketch"))).alias("_leaf"),
-        )
-        sizes = below.groupBy("_path", "_before", "_leaf").agg(F.count("*").alias("_members"))
-        # How likely two nodes of a bucket agree at a place, from the sizes of its children.
-        n = F.col("_members").cast("double")
-        alike = sizes.groupBy("_path").agg((F.sum(n * n) / F.sum(n * F.col("_before"))).alias("_alike"))
-        dense = alike.filter(F.col("_alike") >= DENSE).select(F.col("_path").alias("_leaf"))
-        dense = checkpointed(dense.coalesce(files))
+        # A bucket is dense if its nodes agree with one of them at most places.
+        pivots = large.groupBy("_leaf").agg(F.min(F.struct("_node", "_sketch")).alias("_p"))
+        pivots = pivots.select("_leaf", F.col("_p._sketch").alias("_pivot"))
+        equal = F.size(F.filter(F.zip_with("_sketch", "_pivot", lambda x, y: x == y), lambda e: e))
+        alike = large.join(pivots, "_leaf").groupBy("_leaf").agg(F.avg(equal / PLACES).alias("_alike"))
+        dense = checkpointed(alike.filter(F.col("_alike") >= DENSE).select("_leaf").coalesce(files))
         found.append(large.join(dense, "_leaf", "left_semi").select("_leaf", "_node", "_members"))
-        split = below.join(dense.withColumnRenamed("_leaf", "_path"), "_path", "left_anti")
-        sizes = split.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
-        split = split.select("_node", "_sketch", "_leaf").join(sizes, "_leaf")
-        split = checkpointed(split.coalesce(files))
+        below = large.join(dense, "_leaf", "left_anti").select(
+            "_node", "_sketch", F.explode(_children(F.col("_leaf"), F.col("_sketch"))).alias("_leaf")
+        )
+        below = checkpointed(below.coalesce(files))
+        sizes = below.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
+        split = below.join(sizes, "_leaf")
         found.append(split.filter(small).select("_leaf", "_node", "_members"))
-        large = split.filter(~small)
+        large = checkpointed(split.filter(~small).coalesce(files))
     return _all_of([*found, large.select("_leaf", "_node", "_members")])
 
 
