@@ -102,7 +102,12 @@ def sync_plan(
     if copy_new:
         held = live(target).select(*CONTENT).distinct().withColumn("held", F.lit(True))
         taken = (live(target) if occupied is None else occupied).select("path").distinct()
-        wanted = live(rows).select(*ROW, *CONTENT).join(taken.withColumn("taken", F.lit(True)), "path", "left")
+        wanted = live(rows).select(*ROW, *CONTENT)
+        # A path that several repos want belongs to the first of them; it is taken for the others.
+        owners = wanted.groupBy("path").agg(F.min("repo").alias("owner"))
+        wanted = wanted.join(owners, "path").join(taken.withColumn("taken", F.lit(True)), "path", "left")
+        wanted = wanted.withColumn("taken", F.when(F.col("repo") == F.col("owner"), F.col("taken")).otherwise(True))
+        wanted = wanted.drop("owner")
         # The first row that can be copied decides for its content; counted per content before joining back.
         free = F.min(F.when(F.col("taken").isNull(), F.struct("path", "repo"))).alias("first")
         contents = wanted.groupBy(*CONTENT).agg(free).join(held, CONTENT, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfinder.functions.hashing import is_fallback
 from twinfinder.operators.filters import dim_filter
@@ -19,14 +19,24 @@ def candidates(state: DataFrame, width: str | None = None, height: str | None =
     return rows if width is None and height is None else rows.filter(dim_filter(width, height))
 
 
+def was_read() -> Column:
+    """Whether a record has the hash of its content; only that of an empty one is empty."""
+    return F.col("hash").isNotNull() & ((F.col("hash") != "") | (F.col("size") == 0))
+
+
 def content_keys(rows: DataFrame) -> DataFrame:
-    """Give each record its content group, and a second one to records with a fallback video hash."""
-    exact = F.struct(F.lit("exact").alias("kind"), F.col("hash").alias("h"))
+    """Give each record its content group, and a second one to records with a fallback video hash.
+
+    A record without a hash (its content was never read) is in no group of equal contents.
+    """
+    exact = F.when(was_read(), F.struct(F.lit("exact").alias("kind"), F.col("hash").alias("h")))
     if "video_hash" in rows.columns:
         fallback = F.struct(F.lit("fallback").alias("kind"), F.col("video_hash").alias("h"))
         keys = F.explode(F.array_compact(F.array(exact, F.when(is_fallback("video_hash"), fallback))))
+        rows = rows.filter(was_read() | is_fallback("video_hash"))
     else:
         keys = exact
+        rows = rows.filter(was_read())
     return (
         rows.withColumn("_key", keys)
         .withColumns({"kind": F.col("_key.kind"), "group_key": F.concat_ws(":", "_key.h", "size")})

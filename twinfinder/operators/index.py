@@ -35,11 +35,11 @@ def live(state: DataFrame) -> DataFrame:
 
 
 def lookup_path(state: DataFrame, path: str) -> DataFrame:
-    """Newest record of a path, by modification time and then log order; may be a tombstone."""
+    """Newest record of a path in each repo, by modification time and then log order; may be a tombstone."""
     rows = state.filter(F.col("path") == path)
     names = rows.columns
     newest = F.max_by(F.struct(*names), F.struct("last_modified", "seq")).alias("r")
-    return rows.groupBy("path").agg(newest).select("r.*")
+    return rows.groupBy("repo", "path").agg(newest).select("r.*")
 
 
 def lookup_hash(state: DataFrame, content_hash: str, size: int | None = None) -> DataFrame:

@@ -58,18 +58,20 @@ def reappeared(changes: DataFrame, state: DataFrame, keys: list[str] | None = No
 
 
 def _below_failed(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """Rows that do not lie under one of the directories in `failed(path)`: an equi-join on their ancestors.
+    """Rows that do not lie under one of the directories in `failed(path)` or `failed(repo, path)`.
 
-    Every path has the root as an ancestor, which makes it a hot key.
+    An equi-join on their ancestors, within the same repo if `failed` has one. Every path has the root as an ancestor,
+    which makes it a hot key.
     """
+    of = [c for c in ("repo",) if c in failed.columns]
     pieces = F.split("path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(pieces) - 1), lambda n: F.concat_ws("/", F.slice(pieces, F.lit(1), n))
     )
-    spread = rows.select("path", F.explode(ancestors).alias("_dir"))
-    bad = failed.select(F.col("path").alias("_dir")).distinct()
-    under = skewed_join(spread, bad, ["_dir"], "left_semi", ["path"]).select("path").distinct()
-    return rows.join(under, "path", "left_anti")
+    spread = rows.select(*of, "path", F.explode(ancestors).alias("_dir"))
+    bad = failed.select(*of, F.col("path").alias("_dir")).distinct()
+    under = skewed_join(spread, bad, [*of, "_dir"], "left_semi", ["path"]).select(*of, "path").distinct()
+    return rows.join(under, [*of, "path"], "left_anti")
 
 
 def tombstones(
@@ -94,6 +96,11 @@ def needs_fingerprint(state: DataFrame) -> DataFrame:
     return live(state).filter(F.col("mime").startswith("image/") & F.col("fingerprint").isNull())
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """The rows of `sources.files.hash_files` that could not be read; `enrich` leaves them out."""
+    return files.filter(F.col("message").isNotNull() | F.col("hash").isNull())
+
+
 def enrich(files: DataFrame, seq: Column | None = None) -> DataFrame:
     """Hash read files: content hash for all, media hashes by type.
 
@@ -116,6 +123,10 @@ def enrich(files: DataFrame, seq: Column | None = None) -> DataFrame:
     attributes = given("attributes", "map<string,string>")
     video_hash = F.coalesce(given("video_fingerprint", "string"), hashed("fallback_hash", fallback_hash))
     passed = [c for c in ("repo", "path", "size", "last_modified", "mime") if c in have]
+    # What could not be read has no hash, and must not be taken for a content: see `unreadable`.
+    files = files.filter(hashed("hash", content_hash).isNotNull())
+    if "message" in have:
+        files = files.filter(F.col("message").isNull())
     return files.select(
         *passed,
         *([seq.alias("seq")] if seq is not None else []),

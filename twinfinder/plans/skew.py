@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROWS_PER_TASK = 2_000_000
 # Share of rows looked at when searching for hot keys.
 SAMPLE = 1 / 1024
-# The k-th largest key holds at most 1/k of all rows, so keys beyond the first 1024 are no threat to balance.
-MAX_HOT = 1024
-
 _KEY = "_key_hash"
 _SALT = "_salt"
 _SLICES = "_slices"
 
 
 class HotKeys:
-    """At most MAX_HOT key hashes with the number of slices each should be cut into.
+    """Key hashes with the number of slices each should be cut into: at most one for every ROWS_PER_TASK rows.
 
     Read once by the driver and then fixed, so that both sides of a join agree on it. It only steers the
     distribution of work: missing or additional entries never change a result.
@@ -62,8 +59,6 @@ def find_hot_keys(
         .groupBy(_KEY)
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > rows_per_task * share)
-        .orderBy(F.col("n").desc(), _KEY)
-        .limit(MAX_HOT)
         .collect()
     )
     return HotKeys(keys, {r[_KEY]: int(r["n"] / share / rows_per_task) + 1 for r in found})

@@ -19,9 +19,6 @@ from twinfinder.streaming import state as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-EVEN_SOURCES = ["src0", "src2", "src4", "src6", "src8", "src10", "src12", "src14", "src16", "src18"]
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -66,21 +63,24 @@ def event_log(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as records with their labels, paths shared between even and odd sources."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    size = F.octet_length("text").cast("bigint")
+    # Texts are hashed where they are read; only narrow rows are joined.
+    docs = table(spark, sf, "documents").select(
+        F.when(F.col("source").rlike("[02468]$"), "a").otherwise("b").alias("repo"),
+        "doc_id",
+        hashing.content_hash("text").alias("hash"),
+        F.concat("lang", F.lit("/"), F.expr("doc_id div 2"), F.lit(".txt")).alias("path"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        (F.col("doc_id") * 1000).alias("last_modified"),
+        F.concat(F.lit("text/"), "lang").alias("mime"),
+        "lang",
+        "n_chars",
+    )
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    missing = (F.coalesce("toxic", F.lit(0)) == 1).alias("missing")
     return checkpointed(
-        docs.select(
-            F.when(F.col("source").isin(EVEN_SOURCES), "a").otherwise("b").alias("repo"),
-            F.col("doc_id").alias("seq"),
-            hashing.content_hash("text").alias("hash"),
-            F.concat("lang", F.lit("/"), F.expr("doc_id div 2"), F.lit(".txt")).alias("path"),
-            size.alias("size"),
-            (F.col("doc_id") * 1000).alias("last_modified"),
-            (F.coalesce("toxic", F.lit(0)) == 1).alias("missing"),
-            F.concat(F.lit("text/"), "lang").alias("mime"),
-            "lang",
-            "quality",
-            "n_chars",
+        docs.join(labels, "doc_id", "left").select(
+            "repo", F.col("doc_id").alias("seq"), "hash", "path", "size", "last_modified", missing, "mime", "lang",
+            "quality", "n_chars",
         )
     )
 
@@ -328,8 +328,9 @@ def q_parquet_log(spark, sf):
     """Events appended to a stored log by type, pruned there to other buckets, and read back."""
     folder = _new_folder(spark)
     events = event_log(spark, sf)
-    for kinds in (["view", "purchase"], ["click", "error", "signup"]):
-        logs.append_log(events.filter(F.col("hash").isin(kinds)), folder)
+    early = F.coalesce(F.col("hash").isin("view", "purchase"), F.lit(False))
+    for part in (early, ~early):
+        logs.append_log(events.filter(part), folder)
     logs.prune_log(spark, folder, buckets=7)
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
