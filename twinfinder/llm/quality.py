@@ -119,9 +119,11 @@ class CoTrained:
 
 def co_train(views: list[np.ndarray], labels: np.ndarray, pool: list[np.ndarray]) -> CoTrained:
     """Two feature tables of the labelled rows, their labels, and the same two tables of the unlabelled rows."""
-    held = np.arange(len(labels)) % HELD_OUT == 0
-    if held.all() or len(set(labels[~held].tolist())) < 2:
-        held = np.zeros(len(labels), dtype=bool)
+    held = np.zeros(len(labels), dtype=bool)
+    for label in (0, 1):  # both kinds in the same proportion, whatever their order
+        held[np.flatnonzero(labels == label)[HELD_OUT - 1 :: HELD_OUT]] = True
+    if len(set(labels[held].tolist())) < 2:
+        held[:] = False
     known, y = [v[~held] for v in views], labels[~held]
     taught: list[list[np.ndarray]] = [[], []]  # rows of the pool that each view has been given, and their labels
     answers: list[list[np.ndarray]] = [[], []]
