@@ -131,10 +131,8 @@ def with_next(docs: DataFrame, key: str, columns: dict[str, Column]) -> DataFram
         )
     )
     rows = rows.withColumn("_place", F.explode(places))
-    named = {f"_next_{name}": column for name, column in columns.items()}
-    rows = rows.withColumns(named)
-    order = [F.col("_place.tail"), F.col("_key").desc(), *[F.col(name) for name in named]]
+    order = [F.col("_place.tail"), F.col("_key").desc(), *columns.values()]
     window = Window.partitionBy("_place.range").orderBy(*order)
-    rows = rows.withColumns({f"next_{name}": F.lead(f"_next_{name}").over(window) for name in columns})
+    rows = rows.withColumns({f"next_{name}": F.lead(column).over(window) for name, column in columns.items()})
     kept = [c for c in docs.columns if c not in {f"next_{name}" for name in columns}]
     return rows.filter(F.col("_place.tail") == 0).select(*kept, *[f"next_{name}" for name in columns])
