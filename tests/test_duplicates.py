@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 from twinfinder.functions.hashing import max_distance
 from twinfinder.operators import exact, index, rank, similar
 from twinfinder.plans import leaders
+from twinfinder.session import checkpointed
 from twinfinder.plans.numbering import numbered, row_numbers
 from twinfinder.plans.skew import HotKeys, find_hot_keys, skewed_join
 from twinfinder.sources import report as reports
@@ -84,25 +85,34 @@ def greedy(n, similar_to):
     return leader
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("seed, n, p", [(1, 60, 0.05), (2, 80, 0.2), (3, 40, 0.0), (4, 50, 0.7)])
-def test_leaders_from_pairs(spark, seed, n, p, small):
+def test_leaders_from_pairs(spark, seed, n, p):
     rng = random.Random(seed)
     pairs = {(b, a) for a in range(n) for b in range(a) if rng.random() < p}
     expected = greedy(n, lambda a, b: (a, b) in pairs)
     nodes = spark.range(n).withColumnRenamed("id", "pos")
     frame = spark.createDataFrame([(b, a) for a, b in pairs], "pos bigint, earlier bigint")
-    got = leaders.clusters_from_pairs(nodes, frame, small)
+    got = leaders.clusters_from_pairs(nodes, frame)
     assert dict(rows(got, "pos", "leader")) == expected
 
 
 def test_leaders_of_a_chain(spark):
     nodes = spark.range(9).withColumnRenamed("id", "pos")
     chain = spark.createDataFrame([(i + 1, i) for i in range(8)], "pos bigint, earlier bigint")
-    got = dict(rows(leaders.clusters_from_pairs(nodes, chain, small=0), "pos", "leader"))
+    got = dict(rows(leaders.clusters_from_pairs(nodes, chain), "pos", "leader"))
     assert got == greedy(9, lambda a, b: b == a + 1)
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, stored = 100_000, []
+    monkeypatch.setattr(leaders, "checkpointed", lambda df: stored.append(1) or checkpointed(df))
+    nodes = spark.range(n).withColumnRenamed("id", "pos")
+    chain = nodes.filter("pos > 0").select("pos", (F.col("pos") - 1).alias("earlier"))
+    got = leaders.clusters_from_pairs(nodes, chain)
+    assert got.filter(F.col("leader") != F.col("pos") - F.col("pos") % 2).isEmpty() and got.count() == n
+    assert len(stored) <= 40
+
+
 def fingerprints(seed, n, bits, spread):
     rng = random.Random(seed)
     centres = [rng.getrandbits(bits) for _ in range(5)]
@@ -126,9 +136,9 @@ def test_hamming_pairs_find_everything(spark, make, bits, threshold, spread):
     assert rows(similar.hamming_pairs(df, "video_hash", bits, threshold), "earlier", "later") == expected
 
 
-@pytest.mark.parametrize("heads, small", [(None, 10**6), (3, 10**6), (3, 0)])
+@pytest.mark.parametrize("heads", [None, 3])
 @pytest.mark.parametrize("threshold", [90, 75])
-def test_hamming_groups_equal_the_loop(make, heads, small, threshold):
+def test_hamming_groups_equal_the_loop(make, heads, threshold):
     values = fingerprints(threshold, 90, 64, 20)
     df = make(*[{"path": f"{i:03}", "fingerprint": v} for i, v in enumerate(values)])
     k = max_distance(64, threshold)
@@ -136,7 +146,7 @@ def test_hamming_groups_equal_the_loop(make, heads, small, threshold):
     expected = {}
     for i, h in leader.items():
         expected.setdefault(h, []).append(f"{i:03}")
-    got = similar.image_groups(df, threshold, heads=heads, small=small)
+    got = similar.image_groups(df, threshold, heads=heads)
     assert grouped(got) == sorted(g for g in expected.values() if len(g) > 1)
 
 

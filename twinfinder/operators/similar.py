@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinfinder.functions.hashing import hamming, hex_words, is_fallback, max_distance, word_hex
 from twinfinder.functions.media import parse_duration
 from twinfinder.operators.exact import candidates, exact_groups, text_groups
-from twinfinder.plans.leaders import SMALL_GRAPH, Blocking, bucket_pairs, leader_clusters
+from twinfinder.plans.leaders import Blocking, bucket_pairs, leader_clusters
 from twinfinder.plans.numbering import numbered
 from twinfinder.plans.skew import find_hot_keys, skewed_join
 from twinfinder.schema import FILE_RECORD
@@ -180,7 +180,6 @@ def hamming_groups(
     kind: str,
     order: list[str] | None = None,
     heads: int | None = None,
-    small: int = SMALL_GRAPH,
 ) -> DataFrame:
     """Leader clusters of fingerprints; `group_key` is the leader's fingerprint."""
     usable, words = with_words(rows, fingerprint, bits)
@@ -191,7 +190,7 @@ def hamming_groups(
         clusters = nodes.select("pos", F.col("pos").alias("leader")).limit(0)
     else:
         count = nodes.count()
-        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, count), heads, small, count)
+        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, count), heads, count)
     return _grouped(usable, nodes, clusters, words, kind, F.concat(*[word_hex(w) for w in words]))
 
 
@@ -213,12 +212,11 @@ def tolerance_groups(
     kind: str,
     order: list[str] | None = None,
     heads: int | None = None,
-    small: int = SMALL_GRAPH,
 ) -> DataFrame:
     """Leader clusters of rows with an equal key and values at most `tolerance` from the leader's."""
     usable = rows.filter(F.abs(value) < float("inf"))  # neither NaN nor infinite: those are close to nothing
     nodes = distinct_nodes(usable, [key, value], order or DEFAULT_ORDER)
-    clusters = leader_clusters(nodes, tolerance_blocking(key, value, tolerance), heads, small)
+    clusters = leader_clusters(nodes, tolerance_blocking(key, value, tolerance), heads)
     return _grouped(usable, nodes, clusters, [key, value], kind, F.concat_ws("@", key, F.to_json("first_row")))
 
 

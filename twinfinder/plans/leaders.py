@@ -13,10 +13,10 @@ doubles from round to round, so the number of rounds stays logarithmic.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfinder.plans.skew import HotKeys, find_hot_keys, skewed_join
@@ -27,9 +27,6 @@ HEADS = 512
 CANDIDATES = 1_000_000_000
 MOST_HEADS = 8192
 PAIRS_PER_TASK = 10_000_000
-MOST_TASKS = 100_000
-# A remainder of at most this many pairs is decided in one task instead of by further rounds.
-SMALL_GRAPH = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +67,7 @@ def _load(spread: DataFrame, heads: int | None) -> tuple[int, int]:
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"))
     row = sizes.agg(F.max("n").alias("largest"), F.sum(n * n).alias("pairs")).first()
     least = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return row["largest"] or 0, max(least, min(MOST_TASKS, int((row["pairs"] or 0) / PAIRS_PER_TASK) + 1))
+    return row["largest"] or 0, max(least, int((row["pairs"] or 0) / PAIRS_PER_TASK) + 1)
 
 
 def bucket_pairs(nodes: DataFrame, blocking: Blocking) -> DataFrame:
@@ -82,7 +79,7 @@ def bucket_pairs(nodes: DataFrame, blocking: Blocking) -> DataFrame:
 
 
 def leader_clusters(
-    nodes: DataFrame, blocking: Blocking, heads: int | None = None, small: int = SMALL_GRAPH, count: int | None = None
+    nodes: DataFrame, blocking: Blocking, heads: int | None = None, count: int | None = None
 ) -> DataFrame:
     """(pos, leader) for every node; a leader is its own leader. `count` is the number of nodes, if known.
 
@@ -110,11 +107,13 @@ def leader_clusters(
             later = front.join(decidable, "pos", "left_semi")
             edges = checkpointed(blocking.pairs(later, front, partitions=tasks))
             whole = False
-        leaders = _decide(decidable, edges, small, whole)
+        leaders = _decide(decidable, edges)
         if whole and first:
             found = edges.join(leaders.withColumnRenamed("pos", "earlier"), "earlier", "left_semi")
         else:
-            everyone = blocking.spread(nodes)
+            # New leaders lie behind the first undecided node, so what an earlier one has taken is final.
+            final = [] if taken is None else [taken.filter(F.col("leader") < undecided.agg(F.min("pos")).first()[0])]
+            everyone = blocking.spread(reduce(lambda left, done: left.join(done, "pos", "left_anti"), final, nodes))
             chosen = blocking.spread(nodes.join(leaders, "pos", "left_semi"))
             found = blocking.pairs(everyone, chosen, find_hot_keys(everyone, ["bucket"]), tasks)
         found = found.select("pos", F.col("earlier").alias("leader"))
@@ -131,69 +130,82 @@ def leader_clusters(
         heads, first = 2 * heads, False
 
 
-def clusters_from_pairs(nodes: DataFrame, pairs: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def clusters_from_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pos, leader) for every node when the similar pairs (pos, earlier) are already known."""
     pairs = checkpointed(pairs.select("pos", "earlier"))
-    leaders = _decide(nodes.select("pos"), pairs, small)
+    leaders = _decide(nodes.select("pos"), pairs)
     taken = pairs.join(leaders.withColumnRenamed("pos", "earlier"), "earlier", "left_semi")
     taken = taken.groupBy("pos").agg(F.min("earlier").alias("leader"))
     return taken.unionByName(leaders.select("pos", F.col("pos").alias("leader")))
 
 
-def _decide(nodes: DataFrame, edges: DataFrame, small: int, whole: bool = True) -> DataFrame:
+def _decide(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Leaders among `nodes`, given all pairs with an earlier node for each of them.
 
-    Unless `nodes` are the `whole` graph, earlier nodes outside of it are unknown and block: what depends on
-    them stays undecided.
+    Earlier nodes outside of `nodes` are unknown: what depends on them stays undecided.
+
+    An edge blocks its node if the earlier one leads, or, with `inv`, if it does not; a node leads when nothing blocks
+    it. A node with one edge leads exactly if that edge does not block, so edges to it may point to its own earlier
+    node instead, with `inv` adjusted. All edges jump at once, so a chain of n nodes takes about log2(n) rounds.
+
+    Every round is one stored table of (`pos`, `earlier`, `inv`, `moved`); a null `earlier` tells that `pos` has just been
+    decided, and `inv` then whether it leads.
     """
-    # Nodes without an earlier neighbour lead in any case.
-    free_nodes = [nodes.join(edges, "pos", "left_anti")]
-    if whole:
-        edges = edges.withColumn("known", F.lit(True))
-    else:
-        inside = nodes.select(F.col("pos").alias("earlier"), F.lit(True).alias("known"))
-        marked = edges.join(inside, "earlier", "left")
-        edges = checkpointed(marked.select("pos", "earlier", F.coalesce("known", F.lit(False)).alias("known")))
+    free = nodes.join(edges, "pos", "left_anti").select("pos")
+    nothing = F.lit(None).cast(edges.schema["earlier"].dataType)
+    rows = edges.select("pos", "earlier", F.lit(False).alias("inv"), F.lit(True).alias("moved"))
+    rows = rows.unionByName(free.select("pos", nothing.alias("earlier"), F.lit(True).alias("inv"), F.lit(True).alias("moved")))
+    leaders = []
     while True:
-        left = edges.count()
-        if left == 0:
-            break
-        if left <= small:
-            rest = edges.coalesce(1).mapInPandas(_greedy, "pos bigint")
-            free_nodes.append(rest)
-            break
-        heads = edges.filter("known").select(F.col("earlier").alias("pos")).distinct()
-        ready = checkpointed(heads.join(edges.select("pos").distinct(), "pos", "left_anti"))
-        if ready.isEmpty():
+        rows = checkpointed(rows)
+        decided = F.col("earlier").isNull()
+        leaders.append(rows.filter(decided & F.col("inv")).select("pos"))
+        seen = rows.agg(F.count_if(~decided).alias("edges"), F.count_if(F.col("moved")).alias("moved")).first()
+        if not seen["edges"] or not seen["moved"]:
             break
-        members = edges.join(ready.withColumnRenamed("pos", "earlier"), "earlier", "left_semi").select("pos").distinct()
-        members = checkpointed(members)
-        rest = edges.join(members, "pos", "left_anti").join(
-            members.withColumnRenamed("pos", "earlier"), "earlier", "left_anti"
-        )
-        rest = checkpointed(rest.select("pos", "earlier", "known"))
-        # Whoever lost its last earlier neighbour without being taken leads now.
-        freed = edges.select("pos").distinct().join(members, "pos", "left_anti").join(rest, "pos", "left_anti")
-        free_nodes.append(checkpointed(freed))
-        edges = rest
-    result = free_nodes[0]
-    for more in free_nodes[1:]:
+        rows = _jump(rows)
+    result = leaders[0]
+    for more in leaders[1:]:
         result = result.unionByName(more)
     return checkpointed(result)
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leaders of a small set of pairs, visited in order; nodes that wait for an unknown one are left out."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("pos")
-    leaders: set[int] = set()
-    members: set[int] = set()
-    inner = set(rows["pos"])
-    seen: dict[int, list[tuple[int, bool]]] = {}
-    for pos, earlier, known in zip(rows["pos"], rows["earlier"], rows["known"]):
-        seen.setdefault(pos, []).append((earlier, known))
-    for pos, before in seen.items():
-        if any(known and (e in leaders or e not in inner) for e, known in before):
-            members.add(pos)
-        elif all(known and e in members for e, known in before):
-            leaders.add(pos)
-    yield pd.DataFrame({"pos": pd.Series(sorted(leaders), dtype="int64")})
+def _jump(rows: DataFrame) -> DataFrame:
+    """One round of `_decide`: edges end at decided nodes, and pass nodes with one edge.
+
+    Before and after it edges end at nodes that are undecided, or whose decision is among `rows`.
+    """
+    edges = rows.filter(F.col("earlier").isNotNull()).select("pos", "earlier", "inv")
+    alone = rows.groupBy("pos").agg(
+        F.count("*").alias("n"), F.first("earlier").alias("_up"), F.first("inv").alias("_value")
+    )
+    alone = alone.filter(F.col("n") == 1).select(F.col("pos").alias("earlier"), "_up", "_value")
+    # A decision is stored for one round only, so what hangs on a decided node is decided here and not jumped to.
+    known = rows.filter(F.col("earlier").isNull()).select(F.col("pos").alias("_up"), F.col("inv").alias("_leads"))
+    alone = skewed_join(alone, known, ["_up"], "left", ["earlier"]).select(
+        "earlier",
+        F.when(F.col("_leads").isNull(), F.col("_up")).alias("_up"),
+        F.when(F.col("_leads").isNull(), F.col("_value")).otherwise(F.col("_leads") == F.col("_value")).alias("_value"),
+    )
+    joined = skewed_join(edges, alone, ["earlier"], "left", ["pos"])
+    same = F.col("_value") == F.col("inv")
+    ended = F.col("_value").isNotNull() & F.col("_up").isNull()
+    led = joined.select(
+        "pos",
+        F.when(F.col("_value").isNull(), F.col("earlier")).otherwise(F.col("_up")).alias("earlier"),
+        F.when(F.col("_up").isNotNull(), same).otherwise(F.col("inv")).alias("inv"),
+        F.col("_up").isNotNull().alias("moved"),
+        (ended & ~same).alias("blocked"),
+    )
+    # Two edges to one node of which just one blocks, whatever that node is, block for sure.
+    led = led.groupBy("pos", "earlier").agg(
+        F.min("inv").alias("inv"),
+        F.max("moved").alias("moved"),
+        (F.max("blocked") | (F.col("earlier").isNotNull() & (F.min("inv") != F.max("inv")))).alias("blocked"),
+    )
+    ends = led.groupBy("pos").agg(F.max("blocked").alias("blocked"), F.count("earlier").alias("left"))
+    ends = ends.filter(F.col("blocked") | (F.col("left") == 0)).select("pos", (~F.col("blocked")).alias("inv"))
+    left = skewed_join(led.filter(F.col("earlier").isNotNull()), ends, ["pos"], "left_anti", ["earlier"])
+    nothing = F.lit(None).cast(rows.schema["earlier"].dataType)
+    ended_now = ends.select("pos", nothing.alias("earlier"), "inv", F.lit(True).alias("moved"))
+    return left.select("pos", "earlier", "inv", "moved").unionByName(ended_now)
