@@ -1,10 +1,13 @@
 """What must never be deleted, lost or overwritten."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from conftest import rows
 from twinfinder.operators import diff, exact, index, rank, update
 from twinfinder.plans.skew import find_hot_keys
+from twinfinder.session import checkpointed
 from twinfinder.sources import log as logs
 
 
@@ -59,3 +62,52 @@ def test_lookup_path_keeps_repos_apart(make):
 def test_all_hot_keys_are_found(spark):
     df = spark.range(4000).select((F.col("id") % 1500).alias("k"))
     assert len(find_hot_keys(df, ["k"], rows_per_task=1, sample=1).slices) == 1500
+
+
+def test_update_repo_over_two_scans(spark, make, tmp_path):
+    root = tmp_path / "root"
+    (root / "sub").mkdir(parents=True)
+    for name, data in {"same": b"1", "changed": b"old", "gone": b"g", "sub/back": b"b", "picture.png": b"\x89PNG\r\n\x1a\n"}.items():
+        (root / name).write_bytes(data)
+    empty = make({"path": "other", "hash": "9", "size": 1}, repo="another")
+    first, counts, problems = update.update_repo(spark, str(root), empty, "r")
+    assert dict(rows(counts, "counter", "value")) == {"added": 5} and problems.count() == 0
+    log = checkpointed(empty.unionByName(first))
+    assert rows(index.latest(log).filter("repo = 'r'"), "path", "hash")[0] == ("changed", b"old".hex())
+
+    log = checkpointed(log.unionByName(first.filter("path = 'sub/back'").withColumns({"missing": F.lit(True), "seq": F.col("seq") + 1})))
+    (root / "changed").write_bytes(b"newer")
+    (root / "gone").unlink()
+    (root / "sub" / "new").write_bytes(b"n")
+    with open(os.fsencode(str(root)) + b"/\xff\xfe", "wb") as file:
+        file.write(b"x")
+    second, counts, problems = update.update_repo(
+        spark, str(root), log, "r", lambda files: files.withColumn("image_fingerprint", F.lit("f" * 16)))
+    assert rows(second, "path", "missing", "hash") == [
+        ("changed", False, b"newer".hex()), ("gone", True, "67"), ("picture.png", False, b"\x89PNG\r\n\x1a\n".hex()),
+        ("sub/back", False, "62"), ("sub/new", False, "6e")]
+    assert dict(rows(counts, "counter", "value")) == {"added": 3, "deleted": 1, "unchanged": 2}
+    assert rows(problems, "path", "message") == [("??", "UnicodeEncodeError")]
+    state = index.latest(log.unionByName(second))
+    assert rows(index.live(state).filter("repo = 'r'"), "path") == [("changed",), ("picture.png",), ("same",), ("sub/back",), ("sub/new",)]
+    assert rows(state.filter("repo = 'another'"), "path", "missing") == [("other", False)]
+
+
+def test_changes_below_failed_directories_are_unknown(spark, make):
+    state = make({"path": "d/x", "size": 1}, {"path": "e", "size": 1}, {"path": "f", "size": 1})
+    failed = spark.createDataFrame([("d",), ("f",)], "path string")
+    listing = state.filter("false").select("path", "size", "last_modified")
+    changes = update.classify_changes(listing, state, failed=failed)
+    assert rows(changes, "path", "status") == [("e", "deleted")]
+    assert rows(update.tombstones(state, listing, failed=failed), "path") == [("e",)]
+
+
+def test_only_what_was_done_is_logged(spark, make):
+    state = make({"path": "a", "hash": "1", "size": 1}, {"path": "b", "hash": "1", "size": 1}, {"path": "c", "hash": "1", "size": 1})
+    result = "action string, repo string, path string, status string"
+    done = spark.createDataFrame([("remove", "r", "b", "done"), ("remove", "r", "c", "error")], result)
+    assert rows(rank.plan_records(state, done), "path", "missing") == [("b", True)]
+    assert rows(index.live(index.latest(rank.apply_plan_to_log(state, state, done))), "path") == [("a",), ("c",)]
+    target = make({"path": "z", "hash": "9", "size": 9}, repo="t")
+    done = spark.createDataFrame([("copy", "r", "a", "done"), ("copy", "r", "b", "error"), ("delete", "t", "z", "skipped")], result)
+    assert rows(diff.sync_records(state, target, done), "repo", "path", "missing") == [("t", "a", False)]

@@ -166,6 +166,26 @@ def sync_counters(plan: DataFrame, results: DataFrame | None = None) -> DataFram
     return planned.withColumns({c: F.lit(done[c]).cast("bigint") for c in ("copied", "removed", "errors")})
 
 
+def sync_records(source: DataFrame, target: DataFrame, done: DataFrame, repo: str | None = None) -> DataFrame:
+    """Records to append to the target's log: copied rows live under its name, deleted rows as deletion records.
+
+    `done` holds the results of `files.apply_plan`, of which only rows with status `done` count; a plan, without a
+    `status`, is taken as carried out. The name is taken from the target's rows unless `repo` gives it, as it must for
+    an empty target.
+    """
+    if "status" in done.columns:
+        done = done.filter("status = 'done'")
+    if repo is None:
+        first = target.select("repo").first()
+        if first is None:
+            raise ValueError("name the repo of an empty target")
+        repo = first["repo"]
+    copied = source.join(done.filter("action = 'copy'").select(*ROW), ROW, "left_semi")
+    copied = copied.withColumns({"repo": F.lit(repo), "missing": F.lit(False)})
+    deleted = target.join(done.filter("action = 'delete'").select(*ROW), ROW, "left_semi")
+    return copied.unionByName(deleted.withColumn("missing", F.lit(True)))
+
+
 def apply_sync_to_log(
     target_log: DataFrame,
     source: DataFrame,
@@ -174,17 +194,5 @@ def apply_sync_to_log(
     seq: int | None = None,
     repo: str | None = None,
 ) -> DataFrame:
-    """The target's log after a sync: copied rows live under the target's name, deleted rows as deletion records.
-
-    The name is taken from the target's rows unless `repo` gives it, as it must for an empty target.
-    """
-    copied = source.join(plan.filter("action = 'copy'").select(*ROW), ROW, "left_semi")
-    if repo is None:
-        first = target.select("repo").first()
-        if first is None:
-            raise ValueError("name the repo of an empty target")
-        repo = first["repo"]
-    copied = copied.withColumn("repo", F.lit(repo))
-    deleted = target.join(plan.filter("action = 'delete'").select(*ROW), ROW, "left_semi")
-    records = copied.withColumn("missing", F.lit(False)).unionByName(deleted.withColumn("missing", F.lit(True)))
-    return with_records(target_log, records, seq)
+    """The target's log after a sync plan, or after the results of its execution: see `sync_records`."""
+    return with_records(target_log, sync_records(source, target, plan, repo), seq)

@@ -13,6 +13,7 @@ from twinfinder.functions.text import file_name, format_date, join_path, parent,
 from twinfinder.operators.index import live
 from twinfinder.plans.skew import HotKeys, skewed_join
 
+ACTIONS_PER_TASK = 1000
 RESULT = "action string, repo string, path string, target string, status string, message string"
 
 
@@ -107,13 +108,14 @@ def apply_plan(
     dry_run: bool = True,
     overwrite: bool = False,
     target_root: str | None = None,
-    partitions: int = 64,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Carry out a plan on storage that all executors mount; one result row per action.
 
     `roots` maps repos to their base paths; relative targets lie below `target_root`. Nothing is touched while
     `dry_run` is on. Read the result once and store it: every evaluation performs the plan again, which is
-    harmless because finished actions are recognised. Switch speculation off, so that no action runs twice at a time.
+    harmless because finished actions are recognised. Without `partitions` there is a task for every ACTIONS_PER_TASK
+    actions, and the plan is counted. Switch speculation off, so that no action runs twice at a time.
     """
     spark = plan.sparkSession
     if not dry_run and spark.conf.get("spark.speculation", "false") == "true":
@@ -134,5 +136,6 @@ def apply_plan(
                 results.append((row.action, row.repo, row.path, target, *status))
             yield pd.DataFrame(results, columns=["action", "repo", "path", "target", "status", "message"])
 
+    partitions = partitions or 1 + plan.count() // ACTIONS_PER_TASK
     spread = plan.select("action", "repo", "path", "target").repartition(partitions, "repo", "path")
     return spread.mapInPandas(run, RESULT)

@@ -54,15 +54,18 @@ def _others(groups: DataFrame) -> DataFrame:
 
 
 def removal_plan(groups: DataFrame) -> DataFrame:
-    """Keep the first copy of each group and remove the others; what one group keeps no other group removes."""
-    kept = survivors(groups).select(*ROW).distinct().select(
-        F.lit("keep").alias("action"), *ROW, F.lit(None).cast("string").alias("target"), F.lit("first").alias("reason")
-    )
-    removed = _others(groups).select(
-        F.lit("remove").alias("action"), *ROW, F.lit(None).cast("string").alias("target"),
-        F.col("_turn.group_key").alias("reason"),
+    """Keep the first copy of each group and remove the others; what one group keeps no other group removes.
+
+    With a `rank` in `groups` (as from `rank_group`) this is one aggregation of rows, without one it is ranked first.
+    """
+    ranked = groups if "rank" in groups.columns else rank_group(groups)
+    turn = F.min(F.struct(*GROUP, *keep_order(ranked))).alias("_turn")
+    rows = ranked.groupBy(*ROW).agg(F.min("rank").alias("_best"), turn)
+    first = F.col("_best") == 1
+    return rows.select(
+        F.when(first, "keep").otherwise("remove").alias("action"), *ROW, F.lit(None).cast("string").alias("target"),
+        F.when(first, "first").otherwise(F.col("_turn.group_key")).alias("reason"),
     )
-    return kept.unionByName(removed)
 
 
 def move_plan(
@@ -105,11 +108,21 @@ def keep_plan(ranked: DataFrame, keep: DataFrame) -> DataFrame:
     )
 
 
+def plan_records(state: DataFrame, done: DataFrame) -> DataFrame:
+    """Deletion records for what was removed or moved, to be appended to the log.
+
+    `done` holds the results of `files.apply_plan`, of which only rows with status `done` count; a plan, without a
+    `status`, is taken as carried out.
+    """
+    if "status" in done.columns:
+        done = done.filter("status = 'done'")
+    gone = done.filter(F.col("action").isin("remove", "move", "delete")).select(*ROW).distinct()
+    return live(state).join(gone, ROW, "left_semi").withColumn("missing", F.lit(True))
+
+
 def apply_plan_to_log(log: DataFrame, state: DataFrame, plan: DataFrame, seq: int | None = None) -> DataFrame:
-    """The log after a plan: a deletion record for each removed or moved row."""
-    done = plan.filter(F.col("action").isin("remove", "move", "delete")).select(*ROW).distinct()
-    gone = live(state).join(done, ROW, "left_semi").withColumn("missing", F.lit(True))
-    return with_records(log, gone, seq)
+    """The log after a plan, or after the results of its execution: see `plan_records`."""
+    return with_records(log, plan_records(state, plan), seq)
 
 
 def number_groups(groups: DataFrame, hot: HotKeys | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from twinfinder.functions.hashing import (
     audio_chunk_hash,
@@ -10,20 +12,26 @@ from twinfinder.functions.hashing import (
     fallback_hash,
     text_hash,
 )
-from twinfinder.operators.index import live
+from twinfinder.operators.index import latest, live, next_seq
 from twinfinder.plans.numbering import row_numbers
 from twinfinder.plans.skew import HotKeys, find_hot_keys, skewed_join
+from twinfinder.schema import normalise, records as file_records
+from twinfinder.session import checkpointed
+from twinfinder.sources.files import hash_files, scan_files
 
 RATE_WINDOW = 1000
 WARM_UP_MILLIS = 5000
 
 
-def classify_changes(listing: DataFrame, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def classify_changes(
+    listing: DataFrame, state: DataFrame, keys: list[str] | None = None, failed: DataFrame | None = None
+) -> DataFrame:
     """Compare files found with the current index, one row per path.
 
     `added`: not in the index. `changed`: other size or newer. `unchanged`: same size, not newer, live.
     `reappeared`: the same for a deleted entry. `deleted`: live in the index but not found. Deleted entries that
-    were not found stay out. Paths are unique on both sides, so the join cannot be skewed.
+    were not found stay out, and so do those below the directories `failed(path)` or `failed(repo, path)`, of which
+    nothing is known. Paths are unique on both sides, so the join cannot be skewed.
     """
     keys = keys or ["path"]
     found = listing.select(*keys, "size", "last_modified", F.lit(True).alias("_found"))
@@ -43,7 +51,11 @@ def classify_changes(listing: DataFrame, state: DataFrame, keys: list[str] | Non
         .otherwise("unchanged")
     )
     joined = found.join(held, keys, "full_outer").withColumn("status", status)
-    return joined.filter(F.col("status").isNotNull()).drop("_found")
+    joined = joined.filter(F.col("status").isNotNull()).drop("_found")
+    if failed is None:
+        return joined
+    lost = F.col("status") == "deleted"
+    return joined.filter(~lost).unionByName(_below_failed(joined.filter(lost), failed))
 
 
 def to_read(changes: DataFrame) -> DataFrame:
@@ -58,15 +70,15 @@ def reappeared(changes: DataFrame, state: DataFrame, keys: list[str] | None = No
 
 
 def _below_failed(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """Rows that do not lie under one of the directories in `failed(path)` or `failed(repo, path)`.
+    """Rows that neither are nor lie under one of the paths in `failed(path)` or `failed(repo, path)`.
 
-    An equi-join on their ancestors, within the same repo if `failed` has one. Every path has the root as an ancestor,
+    An equi-join on themselves and their ancestors, within the same repo if `failed` has one. Every path has the root as an ancestor,
     which makes it a hot key.
     """
     of = [c for c in ("repo",) if c in failed.columns]
     pieces = F.split("path", "/")
     ancestors = F.transform(
-        F.sequence(F.lit(0), F.size(pieces) - 1), lambda n: F.concat_ws("/", F.slice(pieces, F.lit(1), n))
+        F.sequence(F.lit(0), F.size(pieces)), lambda n: F.concat_ws("/", F.slice(pieces, F.lit(1), n))
     )
     spread = rows.select(*of, "path", F.explode(ancestors).alias("_dir"))
     bad = failed.select(*of, F.col("path").alias("_dir")).distinct()
@@ -156,6 +168,45 @@ def update_stats(changes: DataFrame, mimes: DataFrame | None = None, keys: list[
     return counted.unionByName(added.groupBy(F.col("mime").alias("counter")).agg(F.count("*").alias("value")))
 
 
+def update_repo(
+    spark: SparkSession, root: str, log: DataFrame, repo: str, decode: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bring the log of one repo up to date with the files below `root`, a directory that all executors mount.
+
+    Returns (records to append, statistics, problems): records of new, changed, returned and deleted files with the next
+    sequence number, in the columns of the file record; `counter, value` of what the scan found; and `path, message` of all files and directories that could
+    not be read. Unreadable files keep the record they have. Entries below directories that failed are not deleted, and
+    nothing is if the root itself could not be read. `decode` may add the columns of decoders (see `enrich`) to the hashed
+    files; then live images without a fingerprint are read again, and logged again if they got one.
+    """
+    mine = checkpointed(latest(log.filter(F.col("repo") == repo)))
+    entries = scan_files(spark, root)
+    kinds = {r["kind"]: r["n"] for r in entries.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    check_scan(kinds.get("file", 0), kinds.get("dir", 0), kinds.get("failed", 0))
+    failed = entries.filter("kind = 'failed'").select("path", "message")
+    listing = entries.filter("kind = 'file'").select("path", "size", "last_modified")
+    changes = checkpointed(classify_changes(listing, mine, failed=failed))
+    wanted = to_read(changes).select("path", "size", "last_modified")
+    if decode is not None:
+        again = changes.filter(F.col("status").isin("unchanged", "reappeared"))
+        again = again.join(needs_fingerprint(mine).select("path"), "path", "left_semi")
+        wanted = wanted.unionByName(again.select("path", "size", "last_modified"))
+    hashed = checkpointed(hash_files(root, wanted))
+    number = F.lit(next_seq(log)).cast("bigint")
+    decoded = hashed if decode is None else decode(hashed)
+    read = normalise(file_records(enrich(decoded.withColumn("repo", F.lit(repo)))))
+    news = to_read(changes).select("path")
+    read = read.join(news, "path", "left_semi").unionByName(
+        read.filter(F.col("fingerprint").isNotNull()).join(news, "path", "left_anti")
+    )
+    back = reappeared(changes, mine).join(read.select("path"), "path", "left_anti")
+    gone = mine.join(changes.filter("status = 'deleted'").select("path"), "path", "left_semi")
+    gone = gone.withColumn("missing", F.lit(True))
+    records = read.unionByName(file_records(back)).unionByName(file_records(gone))
+    problems = failed.unionByName(unreadable(hashed).select("path", "message"))
+    return records.withColumn("seq", number), update_stats(changes), problems
+
+
 def mime_histogram(rows: DataFrame) -> DataFrame:
     """Rows per type, the most frequent first."""
     return rows.groupBy("mime").agg(F.count("*").alias("value")).orderBy(F.col("value").desc(), "mime")

@@ -176,18 +176,19 @@ def _jump(rows: DataFrame) -> DataFrame:
     Before and after it edges end at nodes that are undecided, or whose decision is among `rows`.
     """
     edges = rows.filter(F.col("earlier").isNotNull()).select("pos", "earlier", "inv")
+    common, many = find_hot_keys(edges, ["earlier"]), find_hot_keys(edges, ["pos"])
     alone = rows.groupBy("pos").agg(
         F.count("*").alias("n"), F.first("earlier").alias("_up"), F.first("inv").alias("_value")
     )
     alone = alone.filter(F.col("n") == 1).select(F.col("pos").alias("earlier"), "_up", "_value")
     # A decision is stored for one round only, so what hangs on a decided node is decided here and not jumped to.
     known = rows.filter(F.col("earlier").isNull()).select(F.col("pos").alias("_up"), F.col("inv").alias("_leads"))
-    alone = skewed_join(alone, known, ["_up"], "left", ["earlier"]).select(
+    alone = skewed_join(alone, known, ["_up"], "left", ["earlier"], common).select(
         "earlier",
         F.when(F.col("_leads").isNull(), F.col("_up")).alias("_up"),
         F.when(F.col("_leads").isNull(), F.col("_value")).otherwise(F.col("_leads") == F.col("_value")).alias("_value"),
     )
-    joined = skewed_join(edges, alone, ["earlier"], "left", ["pos"])
+    joined = skewed_join(edges, alone, ["earlier"], "left", ["pos"], common)
     same = F.col("_value") == F.col("inv")
     ended = F.col("_value").isNotNull() & F.col("_up").isNull()
     led = joined.select(
@@ -205,7 +206,7 @@ def _jump(rows: DataFrame) -> DataFrame:
     )
     ends = led.groupBy("pos").agg(F.max("blocked").alias("blocked"), F.count("earlier").alias("left"))
     ends = ends.filter(F.col("blocked") | (F.col("left") == 0)).select("pos", (~F.col("blocked")).alias("inv"))
-    left = skewed_join(led.filter(F.col("earlier").isNotNull()), ends, ["pos"], "left_anti", ["earlier"])
+    left = skewed_join(led.filter(F.col("earlier").isNotNull()), ends, ["pos"], "left_anti", ["earlier"], many)
     nothing = F.lit(None).cast(rows.schema["earlier"].dataType)
     ended_now = ends.select("pos", nothing.alias("earlier"), "inv", F.lit(True).alias("moved"))
     return left.select("pos", "earlier", "inv", "moved").unionByName(ended_now)

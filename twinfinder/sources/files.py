@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from typing import BinaryIO
 from urllib.parse import urlparse
 
@@ -17,6 +18,9 @@ from twinfinder.functions.media import detect_mime
 from twinfinder.session import checkpointed
 
 HEAD_BYTES = 64
+FILES_PER_TASK = 1000
+DIRECTORIES_PER_TASK = 100
+ENTRIES_TOGETHER = 10_000
 _HASHED = (
     "path string, size bigint, last_modified bigint, hash string, head binary, fallback_hash string, "
     "audio_hash string, message string"
@@ -66,14 +70,15 @@ def _hashes(path: str) -> tuple[str, bytes, str | None, str | None]:
     )
 
 
-def hash_files(root: str, wanted: DataFrame, partitions: int = 64) -> DataFrame:
+def hash_files(root: str, wanted: DataFrame, partitions: int | None = None) -> DataFrame:
     """Hash the `wanted(path, size, last_modified)` files below a mounted directory, and no others.
 
     Adds `hash`, `mime`, `fallback_hash`, `audio_hash` and `message` (why a file could not be read). Files are
     streamed inside the tasks, so their size is no limit and no contents are shuffled. `update.enrich` picks what
-    applies to each type.
+    applies to each type. Without `partitions` there is a task for every FILES_PER_TASK files, and `wanted` is counted.
     """
     base = os.path.abspath(root)
+    partitions = partitions or 1 + wanted.count() // FILES_PER_TASK
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,42 +96,53 @@ def hash_files(root: str, wanted: DataFrame, partitions: int = 64) -> DataFrame:
     return hashed.withColumn("mime", detect_mime("head", "path")).drop("head")
 
 
-def scan_files(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """Everything below a mounted directory as `kind, path, size, last_modified, message`.
 
     `file` rows are regular files; links to files and directories are skipped. `failed` rows are directories that
-    could not be listed, the rest of the tree is still read. `dir` rows are the directories seen. The tree is
-    walked level by level, each level spread over the executors.
+    could not be listed, and entries that could not be examined or whose names are no text (shown with "?"); the rest of
+    the tree is still read. `dir` rows are the directories seen. The tree is walked level by level, each level spread
+    over the executors, and entries leave a task in portions, however many one directory has. Without `partitions` there
+    is a task for every DIRECTORIES_PER_TASK directories.
     """
     base = os.path.abspath(root)
     if not os.path.isdir(base):
         raise FileNotFoundError(base)
 
+    def entry_row(directory: str, entry: os.DirEntry) -> tuple | None:
+        name = os.path.join(directory, entry.name)
+        try:
+            name.encode()
+            if entry.is_symlink():
+                return None
+            if entry.is_dir():
+                return "dir", name, None, None, None
+            if entry.is_file():
+                stat = entry.stat()
+                return "file", name, stat.st_size, stat.st_mtime_ns // 1_000_000, None
+            return None
+        except (OSError, UnicodeEncodeError) as e:
+            return "failed", name.encode(errors="replace").decode(), None, None, type(e).__name__
+
+    def entries_of(directory: str) -> Iterator[tuple]:
+        try:
+            with os.scandir(os.path.join(base, directory)) as entries:
+                yield from filter(None, (entry_row(directory, e) for e in entries))
+        except OSError as e:
+            yield "failed", directory, None, None, repr(e)
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for directory in batch["path"]:
-                try:
-                    with os.scandir(os.path.join(base, directory)) as entries:
-                        for entry in entries:
-                            name = os.path.join(directory, entry.name)
-                            if entry.is_symlink():
-                                continue
-                            if entry.is_dir():
-                                rows.append(("dir", name, None, None, None))
-                            elif entry.is_file():
-                                stat = entry.stat()
-                                rows.append(("file", name, stat.st_size, stat.st_mtime_ns // 1_000_000, None))
-                except OSError as e:
-                    rows.append(("failed", directory, None, None, repr(e)))
-            frame = pd.DataFrame(rows, columns=["kind", "path", "size", "last_modified", "message"])
+        rows = (row for batch in batches for directory in batch["path"] for row in entries_of(directory))
+        while portion := list(islice(rows, ENTRIES_TOGETHER)):
+            frame = pd.DataFrame(portion, columns=["kind", "path", "size", "last_modified", "message"])
             yield frame.astype({"size": "Int64", "last_modified": "Int64"})
 
     levels = [spark.createDataFrame([("dir", "")], "kind string, path string")]
     found = []
     while True:
         directories = levels[-1].filter("kind = 'dir'").select("path")
-        level = checkpointed(directories.repartition(partitions, "path").mapInPandas(expand, _ENTRY))
+        tasks = partitions or 1 + directories.count() // DIRECTORIES_PER_TASK
+        level = checkpointed(directories.repartition(tasks, "path").mapInPandas(expand, _ENTRY))
         if level.isEmpty():
             break
         found.append(level)
