@@ -134,11 +134,16 @@ def training_windows(docs: DataFrame, learn: Column, text: str, lang: str, doc:
     """Windows, labels and languages of a sample of at most TRAIN_DOCS documents of each language.
 
     Documents are chosen by a hash of their id, on narrow columns; only the chosen texts are then read. The driver
-    gets TRAIN_WINDOWS windows of each, from random places of the whole text.
+    gets TRAIN_WINDOWS windows of each, from random places of the whole text. Only ids whose hash is among the lowest share
+    that surely holds TRAIN_DOCS ids of their language are sorted, so a common language is no burden to one task.
     """
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(doc).isNotNull())
     order = Window.partitionBy("_lang").orderBy("_hash", "_doc")
     narrow = known.select(F.col(doc).alias("_doc"), F.col(lang).alias("_lang"), F.xxhash64(doc, F.lit(3)).alias("_hash"))
+    # One row for each class of the network.
+    share = narrow.groupBy("_lang").agg((2.0 * TRAIN_DOCS / F.approx_count_distinct("_doc")).alias("_share"))
+    low = (F.col("_hash") / F.lit(2.0**64) + 0.5) <= F.col("_share")
+    narrow = narrow.join(F.broadcast(share), "_lang").filter(low).select("_doc", "_lang", "_hash").distinct()
     chosen = narrow.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= TRAIN_DOCS)
     ids = [r["_doc"] for r in chosen.select("_doc").distinct().collect()]
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], narrow.select("_doc").schema)
