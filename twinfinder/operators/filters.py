@@ -64,4 +64,4 @@ def dim_filter(width: str | None = None, height: str | None = None) -> Column:
 def valid_name(name: Column | str) -> Column:
     """Letters, digits and underscore only."""
     c = F.col(name) if isinstance(name, str) else name
-    return c.rlike(r"^[\p{L}\p{Nd}_]+$")
+    return c.rlike(r"\A[\p{L}\p{Nd}_]+\z")

@@ -363,10 +363,22 @@ ORACLE: dict[str, str] = {
     WITH {DOCS}
     SELECT CASE repo WHEN 'a' THEN 'first' ELSE 'third' END AS repo, path, hash, size, missing FROM docs
     WHERE repo = 'b' OR NOT missing""",
+    "catalog_changes": f"""
+    WITH {TWO},
+    about AS (
+      SELECT * FROM (VALUES ('first', '/data/first', 'parquet', FALSE), ('copy', '/archive/copy', 'json', TRUE))
+      AS t(repo, base, codec, compressed)
+    )
+    SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "valid_names": r"""
+    SELECT doc_id, regexp_full_match(source, '[\p{L}\p{Nd}_]+') AS source_valid,
+           regexp_full_match(split_part(text, ' ', 1), '[\p{L}\p{Nd}_]+') AS word_valid
+    FROM documents""",
+    "first_seen_stream": f"WITH {LOG} SELECT DISTINCT hash, size FROM log",
     "filter_mime": f"WITH {IDX} {_PLAIN} WHERE contains(mime, '/fr')",
     "filter_name": f"WITH {IDX} {_PLAIN} WHERE contains(path, 'src1/')",
     "filter_size": f"WITH {IDX} {_PLAIN} WHERE size >= 2000",
-    "filter_size_equal": f"WITH {IDX} {_PLAIN} WHERE size = 1024",
+    "filter_size_equal": f"WITH {IDX} {_PLAIN} WHERE size = 613",
     "filter_unknown": f"WITH {IDX} {_PLAIN} WHERE FALSE",
     "filter_none": f"WITH {IDX} {_PLAIN}",
     "files_ls": f"""

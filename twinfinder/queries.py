@@ -352,6 +352,31 @@ def q_catalog(spark, sf):
     return result
 
 
+def q_catalog_changes(spark, sf):
+    """A repo copied to another name and place, the copy stored in another form and moved; both opened together."""
+    database = f"twinfinder_{uuid.uuid4().hex}"
+    a, _ = two_repos(spark, sf)
+    catalog.create_repo(spark, "first", "/data/first", database=database)
+    catalog.append_records(spark, "first", a, database)
+    catalog.copy_repo(spark, "first", "copy", "/data/copy", database)
+    catalog.configure_repo(spark, "copy", codec="json", compressed=True, database=database)
+    catalog.relocate_repo(spark, "copy", "/archive/copy", database)
+    about = catalog.list_repos(spark, verbose=True, database=database).withColumnRenamed("path", "base")
+    records = catalog.open_repos(spark, database=database).join(about, F.col("repo") == F.col("name"))
+    result = checkpointed(records.select("repo", "path", "hash", "size", "missing", "base", "codec", "compressed"))
+    for name in ("first", "copy"):
+        catalog.drop_repo(spark, name, database)
+    spark.sql(f"DROP DATABASE {database}")
+    return result
+
+
+def q_valid_names(spark, sf):
+    """Which sources and which first words of documents could name a repo."""
+    word = F.substring_index("text", " ", 1)
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", filters.valid_name("source").alias("source_valid"), filters.valid_name(word).alias("word_valid"))
+
+
 def _filtered(expression: str) -> Query:
     def run(spark, sf):
         rows = from_documents_metadata(spark, sf)
@@ -665,6 +690,16 @@ def q_duplicates_stream(spark, sf):
     return found.select("path", "seq", "hash", "size", "first_seq")
 
 
+def q_first_seen_stream(spark, sf):
+    """The first record of every content in the stream of events, with state that is dropped after ten years."""
+    log, folder = _event_stream(spark, sf)
+    timed = log.withColumn("at", F.timestamp_millis("last_modified"))
+    first = streams.first_seen_within(timed, "at", "3650 days").select("hash", "size")
+    writer = first.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/offsets")
+    writer.format("parquet").option("path", f"{folder}/first").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(first.schema).parquet(f"{folder}/first")
+
+
 QUERIES: dict[str, Query] = {
     "exact_groups": q_exact_groups,
     "exact_ranked": q_exact_ranked,
@@ -694,10 +729,13 @@ QUERIES: dict[str, Query] = {
     "quarantine": q_quarantine,
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
+    "catalog_changes": q_catalog_changes,
+    "valid_names": q_valid_names,
+    "first_seen_stream": q_first_seen_stream,
     "filter_mime": _filtered("mime:/fr"),
     "filter_name": _filtered("name:src1/"),
     "filter_size": _filtered("size:>=2000"),
-    "filter_size_equal": _filtered("size: = 1024"),
+    "filter_size_equal": _filtered("size: = 613"),
     "filter_unknown": _filtered("kind:x"),
     "filter_none": _filtered(" "),
     "files_ls": q_files_ls,
