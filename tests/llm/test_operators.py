@@ -177,6 +177,31 @@ def test_probabilities_add_up_and_base_is_exact(odd):
     assert lm.score_texts(odd, F.lit(False)).filter("train_tokens = 0").count() == odd.count()
 
 
+@pytest.mark.parametrize("rest", range(4))
+def test_every_training_text_is_learned_from(spark, monkeypatch, rest):
+    monkeypatch.setattr(lm, "WARM_TOKENS", 0)  # no text is in the driver's start
+    texts = spark.createDataFrame([("deep blue sea " * 50,)] * 4, "_text string").withColumn("_hash", F.lit(4 + rest).cast("bigint"))
+    shared = spark.sparkContext.broadcast(lm.vocabulary(lm.count_words(texts.select("_text"))))
+    model, start = lm.fit(texts, shared, "_text"), lm.LogBilinear(len(shared.value.class_tokens), lm.noise_of(shared.value))
+    assert all(not np.allclose(p, q) for p, q in zip(model.parameters(), start.parameters()))
+
+
+def test_step_equals_one_over_all_rows():
+    rng, noise = np.random.default_rng(3), np.full(9, 1 / 9)
+    context, target = rng.integers(0, 30, (50, lm.CONTEXT)), rng.integers(0, 9, 50)
+    model, same = lm.LogBilinear(9, noise), lm.LogBilinear(9, noise)
+    model.train(context, target, noise, [np.full_like(p, 1e-3) for p in model.parameters()], np.random.default_rng(1))
+    drawn, shift = np.random.default_rng(1).choice(9, lm.NOISE, p=noise), np.log(lm.NOISE * noise)
+    vectors = same.predicted(context)
+    true = (vectors * same.outputs[target]).sum(axis=1) + same.bias[target, 0] - shift[target]
+    false = vectors @ same.outputs[drawn].T + same.bias[drawn, 0] - shift[drawn]
+    back = (1 / (1 + np.exp(-true)) - 1)[:, None] * same.outputs[target] + 1 / (1 + np.exp(-false)) @ same.outputs[drawn]
+    grad = np.zeros_like(same.inputs)
+    for i in range(lm.CONTEXT):
+        np.add.at(grad, context[:, i], back * same.places[i] / 50)
+    assert np.allclose(model.inputs, same.inputs - lm.RATE * grad / np.sqrt(1e-3 + grad * grad + 1e-8), atol=1e-5)
+
+
 # --- 6
 
 

@@ -7,8 +7,8 @@ leaves is the probability of a word that was never seen. So probabilities add up
 unknown word per ending class, and the end of the text.
 
 Words are counted over all training texts. Vectors are fitted by noise-contrastive estimation: first on a bounded
-sample, then every task passes over its part of a fixed share of the training texts, and the tasks' vectors are
-averaged by tokens after each round; that share grows with the input. Scoring multiplies batches of contexts with all class vectors, and normalises exactly.
+sample, then every task passes over all training texts of its part, and the tasks' vectors are averaged by tokens after
+each round. Scoring multiplies batches of contexts with all class vectors, and normalises exactly.
 
 The counts of the most frequent words (a fixed number) are broadcast. The other words of a text are looked up by a
 join, so the vocabulary may have any size.
@@ -36,7 +36,7 @@ CONTEXT, DIMS = 4, 16
 DISCOUNT = 0.5
 # The driver starts the vectors on a sample of about so many tokens, at most WARM_ROWS texts of WARM_LONGEST tokens.
 WARM_TOKENS, WARM_ROWS, WARM_LONGEST, WARM_RATE = 500_000, 4000, 4096, 0.3
-ROUNDS, SHARE = 1, 4  # each round trains on another 1/SHARE of the training texts
+ROUNDS = 1  # each round passes over all training texts
 NOISE, BATCH, RATE = 64, 256, 0.1
 HASHES = 1 << 20
 HELD_WORDS = 200_000
@@ -152,6 +152,14 @@ START = INPUTS + ENDINGS  # the input row of places before the text
 ROWS = START + 1
 
 
+def _rows_summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in `at`, and the sum of the rows of `values` for each."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[starts], np.add.reduceat(values[order], starts, axis=0)
+
+
 class LogBilinear:
     """Input vectors, a weight vector per context place, class vectors, and class biases."""
 
@@ -183,7 +191,8 @@ class LogBilinear:
 
     def train(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, sums: list[np.ndarray], rng, rate: float = RATE) -> None:
         """One step of noise-contrastive estimation; all tokens of the batch share their noise classes."""
-        drawn = rng.choice(len(noise), NOISE, p=noise)
+        total = noise.cumsum()
+        drawn = np.searchsorted(total / total[-1], rng.random(NOISE), side="right")
         shift = np.log(NOISE * noise).astype(np.float32)
         vectors = self.predicted(context)
         true = (vectors * self.outputs[target]).sum(axis=1) + self.bias[target, 0] - shift[target]
@@ -191,18 +200,20 @@ class LogBilinear:
         d_true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1
         d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
         back = d_true[:, None] * self.outputs[target] + d_false @ self.outputs[drawn]
-        grads = [np.zeros_like(p) for p in self.parameters()]
+        places, outputs, bias = (np.zeros_like(p) for p in self.parameters()[1:])
         for i in range(CONTEXT):
-            np.add.at(grads[0], context[:, i], back * self.places[i])
-            grads[1][i] = (back * self.inputs[context[:, i]]).sum(axis=0)
-        np.add.at(grads[2], target, d_true[:, None] * vectors)
-        np.add.at(grads[2], drawn, d_false.T @ vectors)
-        np.add.at(grads[3][:, 0], target, d_true)
-        np.add.at(grads[3][:, 0], drawn, d_false.sum(axis=0))
-        for p, g, s in zip(self.parameters(), grads, sums):
+            places[i] = (back * self.inputs[context[:, i]]).sum(axis=0)
+        np.add.at(outputs, target, d_true[:, None] * vectors)
+        np.add.at(outputs, drawn, d_false.T @ vectors)
+        np.add.at(bias[:, 0], target, d_true)
+        np.add.at(bias[:, 0], drawn, d_false.sum(axis=0))
+        # Most input vectors are in no context of a batch, and stay.
+        rows, inputs = _rows_summed(context.T.ravel(), (back * self.places[:, None, :]).reshape(-1, DIMS))
+        every = slice(None)
+        for p, g, s, at in zip(self.parameters(), (inputs, places, outputs, bias), sums, (rows, every, every, every)):
             g /= len(target)
-            s += g * g
-            p -= rate * g / np.sqrt(s + 1e-8)
+            s[at] += g * g
+            p[at] -= rate * g / np.sqrt(s[at] + 1e-8)
 
 
 def numbered(tokens: list[bytes], number: dict[bytes, int], classes: np.ndarray, inputs: np.ndarray, singles: int):
@@ -241,13 +252,14 @@ def warm_start(texts: DataFrame, shared, text: str) -> LogBilinear:
                 for t in batch.column(0).to_pylist()
             ]
             yield pa.RecordBatch.from_pydict(
-                {"target": pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()),
+                {"hash": batch.column(1),
+                 "target": pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()),
                  "context": pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())}
             )
 
     most = int(HASHES * min(1.0, WARM_TOKENS / max(1, v.tokens)))
-    sample = texts.filter(F.col("_hash") < most).select(text).mapInArrow(prepare, "target binary, context binary")
-    rows = sorted((r["target"], r["context"]) for r in sample.limit(WARM_ROWS).collect())
+    sample = texts.filter(F.col("_hash") < most).select(text, "_hash").mapInArrow(prepare, "hash bigint, target binary, context binary")
+    rows = sorted((r["target"], r["context"]) for r in sample.orderBy("hash", "target", "context").limit(WARM_ROWS).collect())
     if rows:
         rng = np.random.default_rng(0)
         target = np.concatenate([np.frombuffer(t, dtype="<i4") for t, _ in rows])
@@ -261,14 +273,14 @@ def warm_start(texts: DataFrame, shared, text: str) -> LogBilinear:
 
 
 def fit(texts: DataFrame, shared, text: str) -> LogBilinear:
-    """A model of the training `texts` (with `_hash`, a number below HASHES that parts them evenly)."""
+    """A model of all training `texts` (with `_hash`, a number below HASHES, by which the sample of the start is chosen)."""
     v: Vocabulary = shared.value
     noise = noise_of(v)
     model = warm_start(texts, shared, text)
     columns = [f"w{i}" for i in range(DIMS)]
     schema = "id int, tokens double, " + ", ".join(f"{c} double" for c in columns)
 
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         known = [p.copy() for p in model.parameters()]
 
         def learn(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
@@ -297,8 +309,7 @@ def fit(texts: DataFrame, shared, text: str) -> LogBilinear:
                 out = {"id": pa.array(np.arange(len(rows)), pa.int32()), "tokens": pa.array(np.full(len(rows), float(seen)))}
                 yield pa.RecordBatch.from_pydict(out | {c: pa.array(rows[:, i] * float(seen)) for i, c in enumerate(columns)})
 
-        part = texts.filter(F.col("_hash") % SHARE == turn).select(text)
-        sums = part.mapInArrow(learn, schema).groupBy("id").agg(F.sum("tokens").alias("tokens"), *[F.sum(c).alias(c) for c in columns])
+        sums = texts.select(text).mapInArrow(learn, schema).groupBy("id").agg(F.sum("tokens").alias("tokens"), *[F.sum(c).alias(c) for c in columns])
         found = sums.toArrow().sort_by("id")  # one row per vector of the model
         if not found.num_rows:
             continue
