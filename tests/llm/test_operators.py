@@ -156,6 +156,19 @@ def test_urls(spark):
     assert url_reputation.host_reputation(empty(outcomes)).count() == 0
 
 
+def test_a_host_without_outcomes_has_the_bound_of_its_domain(spark):
+    data = [(f"h{i}.bad.com", 1) for i in range(50) for _ in range(4)] + [(f"h{i}.good.org", 0) for i in range(50) for _ in range(4)]
+    reputation = url_reputation.host_reputation(spark.createDataFrame(data, "host string, bad int"))
+    assert reputation.count() == 100
+    urls = {"http://h50.bad.com/": "block", "http://h7.bad.com/": "block", "http://h50.good.org/": "allow", "http://other.org/": "allow", "no host": "allow"}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = {r["url"]: r for r in url_reputation.judge_urls(pages, reputation, [], 0.3).collect()}
+    assert {u: r["verdict"] for u, r in found.items()} == urls
+    known, unseen = found["http://h7.bad.com/"]["bound"], found["http://h50.bad.com/"]["bound"]
+    assert known > unseen > 0.9 and max(found["http://other.org/"]["bound"], found["http://h50.good.org/"]["bound"]) < 0.1
+    assert found["no host"]["bound"] is None
+
+
 # --- 5
 
 

@@ -3,7 +3,9 @@
 Labelled outcomes of pages are counted per host. The share of bad pages of a suffix is shrunk towards that of all
 pages, that of a registered domain towards its suffix, and that of a host towards its domain: each level is a
 beta-binomial whose prior mean is the posterior mean of the level above, and whose concentration is fitted by moments
-to all members of the level. A host is blocked when even the lower bound of its posterior is above the limit.
+to all members of the level. A host is blocked when even the lower bound of its posterior is above the limit. A host
+without outcomes is judged by what its domain, else its suffix, else all pages say of a new host, with the spread of
+every level on the way down.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ def _rho(level: DataFrame) -> float:
 def host_reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645) -> DataFrame:
     """One row per host: `n`, `bad` pages, `mean` and `bound` (lower) of the posterior share of bad pages.
 
+    `domain` and `suffix` are those of the host; `domain_bound`, `suffix_bound` and `all_bound` are the bounds of a host
+    without outcomes in the domain, in another domain of the suffix, and elsewhere.
     `outcomes` has a host and 0 or 1 per labelled page; null outcomes and null hosts take no part. The counts are
     aggregated before anything is joined, so no host is too large. Without outcomes the table is empty.
     """
@@ -69,7 +73,7 @@ def host_reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z
     hosts = checkpointed(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))}))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = (total["bad"] + 0.5) / (total["n"] + 1.0) if total["n"] else 0.5
-    means = None
+    means, above_host, rhos = None, {}, {}
     for level, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
         keys = [level] if above is None else [level, above]
         counts = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -78,27 +82,57 @@ def host_reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z
         else:
             counts = counts.join(means, above)
         counts = checkpointed(counts)
-        weight = 1.0 / _rho(counts) - 1.0
+        rhos[level] = _rho(counts)
+        weight = 1.0 / rhos[level] - 1.0
         a, b = F.col("mean") * weight + F.col("bad"), (1 - F.col("mean")) * weight + F.col("n") - F.col("bad")
         counts = counts.withColumns({"a": a, "b": b})
         means = counts.select(level, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
+        above_host[level] = counts.select(level, (a / (a + b)).alias("_mean"), (a + b).alias("_size"))
     size = F.col("a") + F.col("b")
     mean = F.col("a") / size
+
     deviation = F.sqrt(mean * (1 - mean) / (size + 1))
-    return counts.select("host", "n", "bad", mean.alias("mean"), (mean - z * deviation).alias("bound"))
+    counts = counts.select("host", "n", "bad", "domain", mean.alias("mean"), (mean - z * deviation).alias("bound"))
+    counts = counts.withColumn("suffix", suffix(F.col("host")))
+
+    def of_new(mean: Column, sure: Column | float) -> Column:
+        # `sure` is the product of 1 - rho of all levels between the mean and the host.
+        return mean - z * F.sqrt(mean * (1 - mean) * (1 - sure))
+
+    sure = 1 - rhos["host"]
+    for level in ("domain", "suffix"):
+        bound = of_new(F.col("_mean"), (1 - 1 / (F.col("_size") + 1)) * sure)
+        counts = counts.join(above_host[level].select(level, bound.alias(f"{level}_bound")), level)
+        sure *= 1 - rhos[level]
+    return counts.withColumn("all_bound", of_new(F.lit(overall), sure))
+
+
+def bounds_of(hosts: DataFrame, reputation: DataFrame) -> DataFrame:
+    """`_host` and `bound` of every distinct host of `hosts`; null for the empty host, and for all without outcomes at all."""
+    found = hosts.select(F.col("host").alias("_host")).distinct()
+    found = found.withColumns({"_domain": registered_domain(F.col("_host")), "_suffix": suffix(F.col("_host"))})
+    found = found.join(reputation.select(F.col("host").alias("_host"), "bound"), "_host", "left")
+    for level in ("domain", "suffix"):
+        bound = F.first(f"{level}_bound").alias(f"_{level}_bound")  # one value in the group
+        found = found.join(reputation.groupBy(F.col(level).alias(f"_{level}")).agg(bound), f"_{level}", "left")
+    found = found.crossJoin(F.broadcast(reputation.agg(F.first("all_bound").alias("_all_bound"))))
+    unseen = F.when(F.col("_host") != "", F.coalesce("_domain_bound", "_suffix_bound", "_all_bound"))
+    return found.select("_host", F.coalesce("bound", unseen).alias("bound"))
 
 
 def judge_urls(
     pages: DataFrame, reputation: DataFrame, rules: list[tuple[str, str]], limit: float, url: str = "url"
 ) -> DataFrame:
-    """`pages` with `host`, `path`, `rule`, `verdict` and the `bound` of the host (null if none of its pages is known).
+    """`pages` with `host`, `path`, `rule`, `verdict` and the `bound` of the host.
 
-    A fitting rule decides, else the host is blocked if its bound is above `limit`. Hosts without outcomes are
-    allowed. Null urls have an empty host and path. Columns of these names are replaced.
+    A fitting rule decides, else the host is blocked if its bound is above `limit`. A host without outcomes has the
+    bound of its domain, else of its suffix, else of all pages. The empty host has none without outcomes of its own,
+    and is allowed. Null urls have an empty host and path. Columns of these names are replaced.
     """
     new = ("host", "path", "rule", "verdict", "bound")
     kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    bounds = reputation.select(F.col("host").alias("_host"), "bound")
+    # Stored, so that the planner knows its size.
+    bounds = checkpointed(bounds_of(kept, reputation))
     joined = kept.join(bounds, F.col("host") == F.col("_host"), "left").drop("_host")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > limit, "block").otherwise("allow")
