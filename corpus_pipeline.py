@@ -27,12 +27,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is in no language: without a letter, or not like any language that was learned."""
     configure(spark)
-    network = language.language_model(docs, fold("doc_id") > 0)
+    network = language.language_model(docs, fold("doc_id") > 0, outside=True)
     if not network.languages:
         return docs
     found = language.language_of(network, "text")
-    # One column, so that the text is scored once.
-    return docs.filter(F.when(found["score"] >= SURE_LANGUAGE, found["lang"] != language.UNKNOWN).otherwise(False))
+    # The share of no language is the score of `und`, which is 0 without a letter. One column, so that the text is scored once.
+    inside = (found["score"] > 0) & (found["score"] <= 1 - SURE_LANGUAGE)
+    return docs.filter(F.when(found["lang"] != language.UNKNOWN, True).otherwise(inside))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,6 +297,22 @@ def test_bpe_equals_the_library(odd, spark):
 # --- the pipeline
 
 
+def test_texts_in_no_language_are_dropped(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    data = [(i, prose(rng, "en" if i % 2 else "de", 60), "en" if i % 2 else "de") for i in range(400)]
+    data += [(1000 + i, prose(rng, lang, 6), lang) for i in range(30) for lang in WORDS]
+    data += [(2000, base64.b64encode(rng.randbytes(900)).decode(), "en"), (2001, rng.randbytes(500).hex(), "de"),
+             (2002, " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшыьэюя") for _ in range(6)) for _ in range(90)), "en"),
+             (2003, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300)), "de")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in data if i < 2000}
+
+
 def test_pipeline_keeps_and_drops(spark, odd, tmp_path):
     import corpus_pipeline
 

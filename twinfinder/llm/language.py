@@ -174,6 +174,31 @@ def training_windows(docs: DataFrame, learn: Column, text: str, lang: str, doc:
     return data, np.array([number[lang] for lang, _ in rows], dtype=np.int64), languages
 
 
+def outside_windows(cut: np.ndarray, count: int, seed: int = 0) -> np.ndarray:
+    """`count` windows of no language: runs of characters of any script, of letters and digits, of bytes, and windows of
+    `cut` with their letters exchanged. Softmax shares alone are high for such texts, whatever the languages."""
+    rng, size = np.random.default_rng(seed), WINDOW + OVERLAP
+    signs = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", dtype=np.uint8)
+    out = np.zeros((count, size), dtype=np.uint8)
+    for i in range(count):
+        spaces = rng.random(size) < rng.choice([0.0, 0.1, 0.2])
+        if i % 4 == 0:
+            start, width = rng.integers(0x250, 0xC000), int(rng.choice([30, 100, 1000, 8000]))
+            codes = np.where(spaces, 32, np.minimum(start + rng.integers(0, width, size), 0xD7FF))
+            raw = "".join(map(chr, codes.tolist())).encode()[:size]
+            out[i] = np.frombuffer(raw, dtype=np.uint8)
+        elif i % 4 == 1:
+            drawn = rng.choice(signs, rng.integers(12, len(signs)), replace=False)
+            out[i] = np.where(spaces, 32, rng.choice(drawn, size))
+        elif i % 4 == 2:
+            to, letters = np.arange(256, dtype=np.uint8), rng.permutation(26).astype(np.uint8)
+            to[65:91], to[97:123] = 65 + letters, 97 + letters
+            out[i] = to[cut[rng.integers(len(cut))]]
+        else:
+            out[i] = np.where(spaces, 32, rng.integers(1, 256, size))
+    return out
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -216,9 +241,20 @@ def predict(texts: list[str | None], network: Network, pairs: np.ndarray) -> tup
     return langs, scores
 
 
-def language_model(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> Network:
-    """A network trained on the rows where `learn` holds; without any it knows no language."""
+def language_model(
+    docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc: str = "doc_id", outside: bool = False
+) -> Network:
+    """A network trained on the rows where `learn` holds; without any it knows no language.
+
+    With `outside` it also learns from made windows what is in no language, and then may answer `und` with a score.
+    """
     data, labels, languages = training_windows(docs, learn, text, lang, doc)
+    if outside and languages:
+        made = outside_windows(data, -(-len(data) // len(languages)))
+        if UNKNOWN not in languages:
+            languages = [*languages, UNKNOWN]
+        data = np.concatenate([data, made])
+        labels = np.concatenate([labels, np.full(len(made), languages.index(UNKNOWN))])
     return train(data, labels, languages) if languages else Network([])
 
 

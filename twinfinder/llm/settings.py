@@ -9,7 +9,7 @@ from twinfinder.llm import mixing
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 GOOD = 0.3  # the least probability of good quality of a document that is kept
-SURE_LANGUAGE = 0.25  # the least probability of its language of a document that is kept
+SURE_LANGUAGE = 0.25  # the least probability of being in any learned language of a document that is kept
 
 DOMAINS = {"d0": 1.0, "d1": 2.0, "d2": 3.0}
 LANGUAGES = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 4.0}
