@@ -128,9 +128,106 @@ SELECT conv_id, count(*) AS n_turns,
 FROM u GROUP BY conv_id
 """
 
+OP12 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(first_doc < doc_id, false)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(first_doc < doc_id, false)), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
+
+# The CRC of a feature, byte by byte over its hexadecimal form, with a table of 256 registers.
+OP11 = r"""
+WITH RECURSIVE z AS (
+  SELECT b, b::BIGINT AS c, 0 AS i FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i + 1 FROM z WHERE i < 8
+), crc AS (SELECT list(c ORDER BY b) AS tab FROM z WHERE i = 8),
+w AS MATERIALIZED (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+), f AS MATERIALIZED (
+  SELECT kind, id, unnest(list_concat(words, list_concat(
+    list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+    list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])))) AS feature
+  FROM w
+), d AS MATERIALIZED (
+  SELECT feature, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(feature)) // 2),
+      lambda i: ('0x' || substr(hex(feature), 2 * i::BIGINT + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c & 255, b) + 1)::INT]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM f), crc
+), n AS (SELECT kind, bucket, count(*) AS n FROM f JOIN d USING (feature) GROUP BY ALL),
+g AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain
+  FROM range(10000) r(b) LEFT JOIN n s ON s.kind = 0 AND s.bucket = b LEFT JOIN n t ON t.kind = 1 AND t.bucket = b,
+       (SELECT coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS ss, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS tt FROM n)
+), m AS (
+  SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM f JOIN d USING (feature) JOIN g USING (bucket) WHERE kind = 0 GROUP BY id
+), q AS (
+  SELECT id AS doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN m USING (id) WHERE kind = 0
+), e AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM q WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM q LEFT JOIN e USING (doc_id)
+"""
+
+
+
+def _square(a: str, b: str) -> str:
+    return " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, 9))
+
+
+def _ball_codes() -> str:
+    """Lloyd's rounds without any bounds: every part against all entries of its codebook."""
+    nearest = f"""
+  SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT *, {_square("x", "c")} AS d FROM parts JOIN {{book}} USING (part)) GROUP BY ALL"""
+    steps = ["""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, p AS part, e[8 * p + 1 : 8 * p + 8] AS x FROM v, range(8) r(p)
+), b0 AS MATERIALIZED (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)
+)"""]
+    for turn in range(6):
+        means = ", ".join(f"floor(sum(x[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, 9))
+        steps.append(f"""a{turn} AS MATERIALIZED ({nearest.format(book=f"b{turn}")}
+), b{turn + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c
+  FROM b{turn} LEFT JOIN (SELECT part, entry, [{means}] AS m FROM a{turn} GROUP BY part, entry) USING (part, entry)
+)""")
+    steps.append(f"""a6 AS MATERIALIZED ({nearest.format(book="b6")}
+), r AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a6 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
+FROM r""")
+    return ", ".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_topk": OP1,
     "op4_url_filter": OP4,
     "op6_mixing": OP6,
     "op7_chat": OP7,
+    "op11_importance": OP11,
+    "op12_line_dedup": OP12,
+    "op13_ball_codes": _ball_codes(),
 }

@@ -8,7 +8,10 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfinder.llm import bpe, chat, digest, language, lm, mixing, ngram_join, quality, topk, url_reputation
+from twinfinder.llm import (
+    ball_codes, bpe, chat, digest, importance, language, line_dedup, lm, mixing, ngram_join, quality, topk,
+    url_reputation,
+)
 from twinfinder.llm.common import fold, table
 from twinfinder.llm.oracle import ORACLE  # noqa: F401  (read by the driver's entry)
 from twinfinder.llm.settings import GOOD, MIXTURE, RANKS, bpe_digests, mix_levels
@@ -120,6 +123,26 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_digests(bpe.encoded(docs, public_tokenizers.path(RANKS)))
 
 
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    found = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kept = line_dedup.kept_text(F.col("_in.text"), F.col("keep"))
+    return line_dedup.with_bitmaps(docs).select(
+        F.col("_in.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
+def op13_ball_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes = ball_codes.compress(table(spark, sf, "embeddings"))
+    return codes.rows.select(
+        F.col("vec").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_ngram_join": op2_ngram_join,
@@ -131,5 +154,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_importance": op11_importance,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_ball_codes": op13_ball_codes,
     "pipeline": corpus_pipeline.run,
 }
