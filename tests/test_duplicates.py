@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -113,6 +114,37 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(stored) <= 40
 
 
+def waiting(kind, n):
+    """Graphs whose nodes wait for several earlier ones: (pos, earlier) of a grid, a ladder and a dense cloud."""
+    if kind == "grid":
+        side = int(n**0.5)
+        return [(p, q) for p in range(side * side) for q in ([p - side] if p >= side else []) + ([p - 1] if p % side else [])]
+    if kind == "ladder":
+        return [(p, p - d) for p in range(n) for d in (1, 2, 3) if p >= d]
+    return [(p, q) for p in range(n) for q in range(p - p % 20, p)]
+
+
+@pytest.mark.parametrize("kind", ["grid", "ladder", "cloud"])
+def test_nodes_that_wait_for_several_take_few_rounds(spark, monkeypatch, kind):
+    n, stored = 100_000, []
+    edges = waiting(kind, n)
+    earlier = {}
+    for p, q in edges:
+        earlier.setdefault(p, []).append(q)
+    leads = {}
+    for p in range(n):
+        leads[p] = not any(leads[q] for q in earlier.get(p, ()))
+    frame = checkpointed(spark.createDataFrame(pd.DataFrame(edges, columns=["pos", "earlier"])))
+    nodes = spark.range(n).withColumnRenamed("id", "pos")
+    monkeypatch.setattr(leaders, "checkpointed", lambda df: stored.append(1) or checkpointed(df))
+    for block, most in ((leaders.ROWS_PER_WALK, 10), (100_000, 2 * 17 + 6)):
+        monkeypatch.setattr(leaders, "ROWS_PER_WALK", block)
+        stored.clear()
+        got = leaders._decide(nodes, frame)
+        assert {r["pos"] for r in got.collect()} == {p for p in leads if leads[p]}
+        assert len(stored) <= most
+
+
 def fingerprints(seed, n, bits, spread):
     rng = random.Random(seed)
     centres = [rng.getrandbits(bits) for _ in range(5)]
@@ -150,18 +182,38 @@ def test_hamming_groups_equal_the_loop(make, heads, threshold):
     assert grouped(got) == sorted(g for g in expected.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("bits", [64, 192])
 @pytest.mark.parametrize("k, nodes", [(0, 10), (6, 10**3), (6, 10**9), (19, 2000), (57, 500), (3, 10**10)])
-def test_chosen_bands_cannot_miss(k, nodes):
-    m, r = similar.choose_bands(192, k, nodes)
-    assert 1 <= r <= m - k
-    masks = similar._band_masks(192, m)
-    total = 0
-    for band in masks:
-        for w, word in enumerate(band):
-            bits = (word & (2**64 - 1)) << (64 * w)
-            assert total & bits == 0
-            total |= bits
-    assert total == 2**192 - 1
+def test_chosen_bands_cannot_miss(bits, k, nodes):
+    bands = similar.choose_bands(bits, k, nodes)
+    used = [0] * (bits // 64)
+    for band in bands:
+        mask = band.mask & (2**64 - 1)
+        assert mask.bit_count() == band.width and used[band.word] & mask == 0
+        used[band.word] |= mask
+        flips = band.neighbours()
+        assert len(set(flips)) == len(flips) == band.probes <= similar.MOST_PROBES
+        assert all(f & ~band.mask == 0 and (f & (2**64 - 1)).bit_count() <= band.radius for f in flips)
+    # A pair that is too far apart in all bands differs in at least this many bits (all of a band count if it is full).
+    assert sum(b.radius + 1 for b in bands) >= k + 1 or any(b.radius == b.width for b in bands)
+
+
+@pytest.mark.parametrize("bits, threshold", [(64, 90), (64, 80), (192, 85), (64, 70)])
+def test_candidates_are_counted(spark, make, bits, threshold):
+    """Pairs that are compared, against all pairs; at 70 % of 64 bits about as many, which is what such a distance costs."""
+    rng = random.Random(bits + threshold)
+    values = [f"{rng.getrandbits(bits):0{bits // 4}x}" for _ in range(2000)]
+    df = make(*[{"path": f"{i:04}", "video_hash": v} for i, v in enumerate(values)])
+    usable, words = similar.with_words(df, "video_hash", bits)
+    nodes = checkpointed(similar.distinct_nodes(usable, words, ["path"]))
+    k = max_distance(bits, threshold)
+    blocking = similar.hamming_blocking(words, bits, k, 2000)
+    lying = blocking.lying(nodes).select(F.col("pos").alias("earlier"), "bucket")
+    met = blocking.probing(nodes).select("pos", "bucket").join(lying, "bucket").filter("earlier < pos").count()
+    share = met / (2000 * 1999 / 2)
+    expected = similar.candidate_share(similar.choose_bands(bits, k, 2000))
+    assert abs(share - expected) < 0.1 * expected + 0.01
+    assert share < (1.5 if threshold == 70 else 0.1)
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -182,6 +234,27 @@ def test_tolerance_groups_equal_the_loop(make, items, heads):
     assert grouped(similar.audio_groups(df, heads=heads)) == sorted(g for g in expected.values() if len(g) > 1)
 
 
+def test_one_key_with_gaps_is_swept_in_segments(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [("hot", round(rng.uniform(0, 400), 2)) for _ in range(500)] + [("cold", float(i)) for i in range(20)] + [(None, 1.0)]
+    rows_ = [(i, k, v) for i, (k, v) in enumerate(data)]
+    table = spark.createDataFrame(rows_, "seq long, key string, v double").withColumns({"repo": F.lit("r"), "path": F.col("seq")})
+    leader = greedy(len(data), lambda a, b: data[a][0] == data[b][0] and data[a][0] and abs(data[a][1] - data[b][1]) <= 1.5)
+    expected = {}
+    for i, h in leader.items():
+        expected.setdefault(h, []).append(i)
+    for most in (10, None):
+        found = similar.tolerance_groups(table, "key", "v", 1.5, "audio", ["seq"], most)
+        groups = {}
+        for r in found.collect():
+            groups.setdefault(r["group_key"], []).append(r["seq"])
+            assert r["copies"] == len(expected[leader[r["seq"]]])
+        assert sorted(map(sorted, groups.values())) == sorted(g for g in expected.values() if len(g) > 1)
+    nodes = similar._segments(table.select(F.col("key").alias("_key"), F.col("v").alias("_value")), 1.5, 10)
+    assert nodes.filter("_key = 'hot'").select("_segment").distinct().count() > 5
+    assert nodes.filter("_key = 'cold' AND _segment > 0").isEmpty() and nodes.count() == len(data)
+
+
 def test_durations_that_are_no_numbers(make):
     df = make(
         {"path": "a", "audio_hash": "h", "attributes": {"duration": "NaN"}},

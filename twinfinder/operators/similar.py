@@ -2,111 +2,119 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import comb, floor
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfinder.functions.hashing import hamming, hex_words, is_fallback, max_distance, word_hex
 from twinfinder.functions.media import parse_duration
 from twinfinder.operators.exact import candidates, exact_groups, text_groups
 from twinfinder.plans.leaders import Blocking, bucket_pairs, leader_clusters
 from twinfinder.plans.numbering import numbered
-from twinfinder.plans.skew import find_hot_keys, skewed_join
+from twinfinder.plans.skew import ROWS_PER_TASK, HotKeys, key_hash, skewed_join
 from twinfinder.schema import FILE_RECORD
 from twinfinder.session import checkpointed
 
 DURATION_TOLERANCE = 2.0
 IMAGE_BITS = 64
 VIDEO_BITS = 192
-MAX_BUCKETS_PER_NODE = 256
+# Values that a node probes in one band, at most, and what a probe costs in candidates.
+MOST_PROBES, PROBE_COST = 20_000, 1
+# Distinct values of a key from which on it is cut into segments.
+KEY_NODES = 1_000_000
 DEFAULT_ORDER = ["repo", "path"]
 
 
-def choose_bands(bits: int, k: int, nodes: int) -> tuple[int, int]:
-    """(m, r): cut a fingerprint into m bands and block on every choice of r of them.
+@dataclass(frozen=True)
+class Band:
+    """`width` bits of a word from bit `low` on, and how many of them may differ."""
 
-    With at most k differing bits at least m-k bands agree, so any r <= m-k finds all pairs. More selective keys
-    cost more copies of each node but pair up fewer strangers; the choice minimises both together.
-    """
-    if not 0 <= k < bits:
-        raise ValueError("a threshold above 0 and up to 100 percent is needed")
+    word: int
+    low: int
+    width: int
+    radius: int
 
-    def cost(m: int, r: int) -> float:
-        copies = comb(m, r)
-        return copies * nodes + copies * nodes * nodes / 2 ** (1 + r * (bits // m))
+    @property
+    def mask(self) -> int:
+        bits = ((1 << self.width) - 1) << self.low
+        return bits - (1 << 64) if bits >> 63 else bits
 
-    options = [
-        (cost(m, r), m, r)
-        for m in range(k + 1, min(bits, k + 12) + 1)
-        for r in range(1, m - k + 1)
-        if comb(m, r) <= MAX_BUCKETS_PER_NODE
-    ]
-    return min(options)[1:]
+    @property
+    def probes(self) -> int:
+        """Number of values within the radius of a value."""
+        return sum(comb(self.width, d) for d in range(self.radius + 1))
 
+    def neighbours(self) -> list[int]:
+        """What to flip, at the place of the band, to reach all values within the radius."""
+        flips = (reduce(or_, (1 << self.low + b for b in bits), 0) for d in range(self.radius + 1) for bits in combinations(range(self.width), d))
+        return [f - (1 << 64) if f >> 63 else f for f in flips]
 
-def _band_masks(bits: int, m: int) -> list[list[int]]:
-    """For each band, its bits as one signed mask per 64-bit word."""
-    edges = [bits * i // m for i in range(m + 1)]
-    masks = []
-    for low, high in zip(edges, edges[1:]):
-        words = [0] * (bits // 64)
-        for bit in range(low, high):
-            words[bit // 64] |= 1 << (bit % 64)
-        masks.append([w - (1 << 64) if w >> 63 else w for w in words])
-    return masks
 
+def make_bands(bits: int, k: int, per_word: int) -> list[Band]:
+    """Cut every word into `per_word` bands whose radii let no pair within distance k pass.
 
-def hamming_blocking(words: list[str], bits: int, k: int, nodes: int) -> Blocking:
-    """Blocking of fingerprints held in 64-bit word columns, for distances up to k."""
-    m, r = choose_bands(bits, k, nodes)
-    masks = _band_masks(bits, m)
-    choices = list(combinations(range(m), r))
-    buckets = []
-    for number, chosen in enumerate(choices):
-        kept = [reduce(lambda a, b: a | b, [masks[b][w] for b in chosen]) for w in range(len(words))]
-        parts = ", ".join(f"{word} & {mask}L AS k{i}" for i, (word, mask) in enumerate(zip(words, kept)))
-        buckets.append(f"struct({number} AS no, {parts})")
-    bands = ", ".join(f"array({', '.join(f'{mask}L' for mask in band)})" for band in masks)
-    # Bands in front of the last chosen one that were not chosen: where one of them agrees as well, an earlier
-    # choice has already brought the pair together.
-    skipped = ", ".join(
-        f"cast(array({', '.join(str(b) for b in range(chosen[-1]) if b not in chosen)}) AS array<int>)"
-        for chosen in choices
-    )
-    bands, skipped = F.expr(f"array({bands})"), F.expr(f"array({skipped})")
+    If each band i had more than radius i differing bits, the sum of (radius + 1) would be exceeded by k; the radii
+    are spread so that this sum is k + 1. With more than k + 1 bands the first k + 1 do, without radii.
+    """
+    edges = [64 * i // per_word for i in range(per_word + 1)]
+    spans = [(word, low, high - low) for low, high in zip(edges, edges[1:]) for word in range(bits // 64)]
+    spans = spans[: k + 1]
+    radius, wider = divmod(k + 1 - len(spans), len(spans))
+    order = sorted(range(len(spans)), key=lambda i: -spans[i][2])  # the widest bands take the larger radius
+    radii = {i: radius + (place < wider) for place, i in enumerate(order)}
+    return [Band(*span, min(radii[i], span[2])) for i, span in enumerate(spans)]
 
-    def similar(a: Callable[[str], Column], b: Callable[[str], Column], bucket: Column) -> Column:
-        left, right = [a(w) for w in words], [b(w) for w in words]
 
-        def agrees(band: Column) -> Column:
-            same = [
-                x.bitwiseXOR(y).bitwiseAND(F.get(F.get(bands, band), F.lit(i))) == 0
-                for i, (x, y) in enumerate(zip(left, right))
-            ]
-            return reduce(lambda p, q: p & q, same)
+def candidate_share(bands: list[Band]) -> float:
+    """The candidates of evenly spread fingerprints as a share of all ordered pairs."""
+    return sum(band.probes / 2.0**band.width for band in bands)
 
-        met_before = F.exists(F.get(skipped, bucket["no"]), agrees)
-        return (hamming(left, right) <= k) & ~met_before
 
-    return Blocking(words, F.expr(f"array({', '.join(buckets)})"), similar, len(choices))
+def choose_bands(bits: int, k: int, nodes: int) -> list[Band]:
+    """Few wide bands with a radius cost probes, many narrow ones bring strangers together; takes the cheapest cut."""
+    if not 0 <= k < bits:
+        raise ValueError("a threshold above 0 and up to 100 percent is needed")
 
+    def cost(bands: list[Band]) -> float:
+        return PROBE_COST * nodes * sum(b.probes for b in bands) + candidate_share(bands) * nodes * nodes
 
-def tolerance_blocking(key: str, value: str, tolerance: float) -> Blocking:
-    """Blocking of equal keys with values at most `tolerance` apart: each node joins its cell and the next one.
+    options = [make_bands(bits, k, per_word) for per_word in range(1, 33)]
+    return min((o for o in options if max(b.probes for b in o) <= MOST_PROBES), key=cost)
+
+
+def hamming_blocking(words: list[str], bits: int, k: int, nodes: int) -> Blocking:
+    """Multi-index blocking of fingerprints held in 64-bit word columns, for distances up to k.
 
-    Cells are slightly wider than the tolerance, so rounding cannot put a close pair two cells apart.
+    A node lies in the bucket of its own value of every band and probes those of all values within the band's radius.
+    A pair is accepted in the first of the bands in which it is that close.
     """
-    width = tolerance * (1 + 1e-6) if tolerance > 0 else 1.0
-    cell = F.floor(F.col(value) / F.lit(width)).cast("double")
-    buckets = F.array(*[F.struct(F.col(key).alias("key"), (cell + F.lit(d)).alias("cell")) for d in (0.0, 1.0)])
+    bands = choose_bands(bits, k, nodes)
+    buckets, probes = [], []
+    for number, band in enumerate(bands):
+        value = F.col(words[band.word]).bitwiseAND(F.lit(band.mask))
+        buckets.append(F.struct(F.lit(number).alias("no"), value.alias("value")))
+        flips = F.split(F.lit(",".join(map(str, band.neighbours()))), ",").cast("array<bigint>")
+        probes.append((number, value, flips))
+
+    def around(number: int, value: Column, flips: Column) -> Column:
+        return F.transform(flips, lambda f: F.struct(F.lit(number).alias("no"), value.bitwiseXOR(f).alias("value")))
 
     def similar(a: Callable[[str], Column], b: Callable[[str], Column], bucket: Column) -> Column:
-        return F.abs(a(value) - b(value)) <= tolerance
+        left, right = [a(w) for w in words], [b(w) for w in words]
+        met = F.lit(None).cast("int")
+        for number, band in reversed(list(enumerate(bands))):
+            apart = F.bit_count(left[band.word].bitwiseXOR(right[band.word]).bitwiseAND(F.lit(band.mask)))
+            met = F.when(apart <= band.radius, number).otherwise(met)
+        return (hamming(left, right) <= k) & (met == bucket["no"])
 
-    return Blocking([key, value], buckets, similar, 2)
+    reach = max(b.probes for b in bands)
+    return Blocking(words, F.array(*buckets), F.concat(*[around(*p) for p in probes]), similar, reach)
 
 
 def distinct_nodes(rows: DataFrame, features: list[str], order: list[str]) -> DataFrame:
@@ -153,21 +161,18 @@ def hamming_pairs(
 
 
 def _grouped(
-    rows: DataFrame,
-    nodes: DataFrame,
-    clusters: DataFrame,
-    features: list[str],
-    kind: str,
-    key: Column,
+    rows: DataFrame, nodes: DataFrame, clusters: DataFrame, features: list[str], kind: str
 ) -> DataFrame:
-    """Rows of clusters with more than one row; the group key is made from the leader's node."""
-    labelled = nodes.join(clusters, "pos")
-    sizes = labelled.groupBy("leader").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 1)
-    named = nodes.select(F.col("pos").alias("leader"), key.alias("group_key"))
-    members = (
-        labelled.drop("copies").join(sizes, "leader").join(named, "leader").select(*features, "group_key", "copies")
-    )
-    hot = find_hot_keys(rows, features)
+    """Rows of clusters with more than one row.
+
+    `nodes` has the features and how many `copies` each stands for, `clusters` the features and their `group_key`.
+    """
+    labelled = clusters.select(*features, "group_key").join(nodes.select(*features, F.col("copies").alias("_own")), features)
+    sizes = labelled.groupBy("group_key").agg(F.sum("_own").alias("copies")).filter(F.col("copies") > 1)
+    members = labelled.drop("_own").join(sizes, "group_key")
+    # The nodes already know which feature values stand for too many rows.
+    many = nodes.filter(F.col("copies") > ROWS_PER_TASK).select(key_hash(features).alias("key"), "copies").collect()
+    hot = HotKeys(features, {r["key"]: r["copies"] // ROWS_PER_TASK + 1 for r in many})
     joined = skewed_join(rows, members, features, "inner", DEFAULT_ORDER, hot)
     return joined.withColumn("kind", F.lit(kind)).drop(*[f for f in features if f.startswith("_")])
 
@@ -189,9 +194,10 @@ def hamming_groups(
         # Nothing reaches such a threshold, not even equal fingerprints.
         clusters = nodes.select("pos", F.col("pos").alias("leader")).limit(0)
     else:
-        count = nodes.count()
-        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, count), heads, count)
-    return _grouped(usable, nodes, clusters, words, kind, F.concat(*[word_hex(w) for w in words]))
+        clusters = leader_clusters(nodes, hamming_blocking(words, bits, k, nodes.count()), heads)
+    named = nodes.select(F.col("pos").alias("leader"), F.concat(*[word_hex(w) for w in words]).alias("group_key"))
+    labelled = nodes.select("pos", *words).join(clusters, "pos").join(named, "leader")
+    return _grouped(usable, nodes, labelled, words, kind)
 
 
 def image_groups(state: DataFrame, threshold: float, **options) -> DataFrame:
@@ -204,6 +210,49 @@ def video_groups(state: DataFrame, threshold: float, **options) -> DataFrame:
     return hamming_groups(rows, "video_hash", VIDEO_BITS, threshold, "video", **options)
 
 
+def _sweep(nodes: DataFrame, tolerance: float) -> DataFrame:
+    """`_key`, `_value` and `group_key` (the `_name` of the leader) of nodes, by one pass in order over each key.
+
+    Leaders of a key lie more than the tolerance apart, so a cell a little wider than that holds one or two, and the
+    leaders in reach of a value lie in three cells. `nodes` come by `_key` and `_segment`, sorted by `_first`.
+    """
+    width = tolerance * (1 + 1e-6)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, leaders = None, {}
+        for batch in batches:
+            names = []
+            for key, segment, value, name in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if (key, segment) != current:
+                    current, leaders, turn = (key, segment), {}, 0
+                cell = floor(value / width) if tolerance > 0 else value
+                near = (cell - 1, cell, cell + 1) if tolerance > 0 else (cell,)
+                found = [held for c in near for held in leaders.get(c, ()) if abs(value - held[1]) <= tolerance]
+                if not found:
+                    found = [(turn, value, name)]
+                    leaders.setdefault(cell, []).append(found[0])
+                    turn += 1
+                names.append(min(found)[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string())], ["_key", "_value", "group_key"])
+
+    spread = nodes.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_first")
+    key = nodes.schema["_key"].dataType.simpleString()
+    return spread.select("_key", "_segment", "_value", "_name").mapInArrow(sweep, f"_key {key}, _value double, group_key string")
+
+
+def _segments(nodes: DataFrame, tolerance: float, most: int) -> DataFrame:
+    """`_segment` for the nodes of keys with more than `most` of them: values across an empty cell never meet."""
+    crowded = checkpointed(nodes.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_key"))
+    if tolerance <= 0 or crowded.isEmpty():
+        return nodes.withColumn("_segment", F.lit(0).cast("bigint"))
+    nodes = nodes.withColumn("_cell", F.floor(F.col("_value") / F.lit(tolerance * (1 + 1e-6))).cast("double"))
+    cells = nodes.join(crowded, "_key", "left_semi").select("_key", "_cell").distinct()
+    in_order = Window.partitionBy("_key").orderBy("_cell")
+    gap = F.coalesce((F.col("_cell") - F.lag("_cell").over(in_order) > 1).cast("bigint"), F.lit(0))
+    cells = checkpointed(cells.withColumn("_gap", gap).withColumn("_segment", F.sum("_gap").over(in_order)).drop("_gap"))
+    return nodes.join(cells, ["_key", "_cell"], "left").withColumn("_segment", F.coalesce("_segment", F.lit(0)))
+
+
 def tolerance_groups(
     rows: DataFrame,
     key: str,
@@ -213,11 +262,18 @@ def tolerance_groups(
     order: list[str] | None = None,
     heads: int | None = None,
 ) -> DataFrame:
-    """Leader clusters of rows with an equal key and values at most `tolerance` from the leader's."""
+    """Leader clusters of rows with an equal key and values at most `tolerance` from the leader's.
+
+    One pass in order over each key, without rounds. Keys with more than `heads` distinct values are cut at gaps wider
+    than the tolerance, so that their parts can be swept apart; a key without gaps is one sorted stream.
+    """
     usable = rows.filter(F.abs(value) < float("inf"))  # neither NaN nor infinite: those are close to nothing
-    nodes = distinct_nodes(usable, [key, value], order or DEFAULT_ORDER)
-    clusters = leader_clusters(nodes, tolerance_blocking(key, value, tolerance), heads)
-    return _grouped(usable, nodes, clusters, [key, value], kind, F.concat_ws("@", key, F.to_json("first_row")))
+    first = F.min(F.struct(*(order or DEFAULT_ORDER))).alias("_first")
+    nodes = usable.groupBy(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value")).agg(first, F.count("*").alias("copies"))
+    nodes = checkpointed(nodes.withColumn("_name", F.concat_ws("@", "_key", F.to_json("_first"))))
+    found = checkpointed(_sweep(_segments(nodes, tolerance, heads or KEY_NODES), tolerance))
+    renamed = {"_key": key, "_value": value}
+    return _grouped(usable, nodes.withColumnsRenamed(renamed), found.withColumnsRenamed(renamed), [key, value], kind)
 
 
 def audio_groups(state: DataFrame, **options) -> DataFrame:

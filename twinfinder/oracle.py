@@ -93,6 +93,19 @@ emb AS (
 )"""
 
 
+def _hamming_pairs(words: list[str], bits: int, threshold: int) -> str:
+    """All pairs of distinct fingerprints, tested one by one."""
+    distance = " + ".join(f"bit_count(xor(a.{w}, b.{w}))::INTEGER" for w in words)
+    shown = {side: " || ".join(_hex16(f"{side}.{w}") for w in words) for side in "ab"}
+    return f"""
+    WITH {EMB},
+    nodes AS (SELECT {", ".join(words)}, min(seq) AS seq, count(*) AS copies FROM emb GROUP BY {", ".join(words)})
+    SELECT {shown["a"]} AS earlier, {shown["b"]} AS later, ({distance})::INTEGER AS distance,
+           a.copies AS earlier_copies, b.copies AS later_copies
+    FROM nodes a JOIN nodes b ON a.seq < b.seq
+    WHERE (1.0::DOUBLE - ({distance}) / {bits}.0::DOUBLE) * 100.0 >= {threshold}"""
+
+
 def _hamming_clusters(words: list[str], bits: int, threshold: int, kind: str) -> str:
     """Greedy leaders in row order: the recursion carries the list of leaders."""
     distance = " + ".join(f"bit_count(xor(l.{w}, n.{w}))::INTEGER" for w in words)
@@ -472,13 +485,10 @@ ORACLE: dict[str, str] = {
                 THEN 'fallback:' || sha256(unhex(substr(hex(encode(text)), 2097153, 204800))) END AS fallback_hash,
            sha1(lower(hex(encode(text)))) AS hex_sha1
     FROM documents""",
-    "hamming_pairs": f"""
-    WITH {EMB},
-    nodes AS (SELECT w0, min(seq) AS seq, count(*) AS copies FROM emb GROUP BY w0)
-    SELECT {_hex16('a.w0')} AS earlier, {_hex16('b.w0')} AS later, bit_count(xor(a.w0, b.w0))::INTEGER AS distance,
-           a.copies AS earlier_copies, b.copies AS later_copies
-    FROM nodes a JOIN nodes b ON a.seq < b.seq
-    WHERE (1.0::DOUBLE - bit_count(xor(a.w0, b.w0)) / 64.0::DOUBLE) * 100.0 >= 70""",
+    "hamming_pairs": _hamming_pairs(["w0"], 64, 70),
+    "hamming_pairs_90": _hamming_pairs(["w0"], 64, 90),
+    "hamming_pairs_80": _hamming_pairs(["w0"], 64, 80),
+    "video_pairs_85": _hamming_pairs(["w0", "w1", "w2"], 192, 85),
     "hamming_clusters": f"WITH RECURSIVE {_hamming_clusters(['w0'], 64, 70, 'image')} SELECT * FROM clusters",
     "hamming_clusters_crowded": f"WITH RECURSIVE {_hamming_clusters(['w0'], 64, 70, 'image')} SELECT * FROM clusters",
     "temporal_clusters": f"""

@@ -548,6 +548,18 @@ def q_hamming_pairs(spark, sf):
     return similar.hamming_pairs(embedding_index(spark, sf), "fingerprint", 64, 70, order=["seq"])
 
 
+def q_hamming_pairs_90(spark, sf):
+    return similar.hamming_pairs(embedding_index(spark, sf), "fingerprint", 64, 90, order=["seq"])
+
+
+def q_hamming_pairs_80(spark, sf):
+    return similar.hamming_pairs(embedding_index(spark, sf), "fingerprint", 64, 80, order=["seq"])
+
+
+def q_video_pairs_85(spark, sf):
+    return similar.hamming_pairs(embedding_index(spark, sf), "video_hash", 192, 85, order=["seq"])
+
+
 def _clusters(groups: DataFrame) -> DataFrame:
     return groups.select("kind", "group_key", "copies", "seq")
 
@@ -763,6 +775,9 @@ QUERIES: dict[str, Query] = {
     "text_hash_groups": q_text_hash_groups,
     "content_hash": q_content_hash,
     "hamming_pairs": q_hamming_pairs,
+    "hamming_pairs_90": q_hamming_pairs_90,
+    "hamming_pairs_80": q_hamming_pairs_80,
+    "video_pairs_85": q_video_pairs_85,
     "hamming_clusters": q_hamming_clusters,
     "hamming_clusters_crowded": q_hamming_clusters_crowded,
     "temporal_clusters": q_temporal_clusters,
