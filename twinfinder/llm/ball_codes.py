@@ -247,7 +247,7 @@ def compress(
         taken = rows.orderBy(*order).limit(entries).collect()
         seeds = np.zeros((len(taken), parts * width))
         seeds[:, :dims] = [r["_vector"] for r in taken]
-    books = np.floor(seeds * scale).astype(np.int64).reshape(-1, parts, width).transpose(1, 0, 2)
+    books = np.floor(seeds * scale).astype(np.int64).reshape(len(seeds), parts, width).transpose(1, 0, 2)
     if not first:
         empty = rows.select(F.col("_vec").alias("vec"), F.col("_label").alias("label"), F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error"))
         return Codes(empty.withColumn("label_error", F.col("error")), books)
