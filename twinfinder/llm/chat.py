@@ -30,11 +30,12 @@ TURN = rf"\G({OPEN})\n(?s:(.*?))\n({CLOSE})\n"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)({CONTROL})", r"\\$1$2")
+    """One more backslash before each control string; where in a run of backslashes it is added makes no difference."""
+    return F.regexp_replace(text, f"({CONTROL})", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\\(\\*)({CONTROL})", "$1$2")
+    return F.regexp_replace(text, rf"\\({CONTROL})", "$1")
 
 
 def _bare(text: Column) -> Column:
@@ -94,12 +95,13 @@ def format_conversations(
 
     `loss_spans` holds the place and length (in code points) of each assistant's content within `formatted`.
     `source` is array<struct<role, text>>. Turns are ordered by `turn` (nulls first), equal ones by role and text, so
-    repeated rows stay repeated turns. Null texts and roles count as empty; null conversation ids are one
-    conversation. A conversation is one string, so it must fit into a row; its turns are gathered once. Other
-    columns of the input play no part.
+    repeated rows stay repeated turns. Null texts and roles count as empty; each row without a conversation id is a
+    conversation of its own, with a null id. A conversation is one string, so it must fit into a row; its turns are
+    gathered once. Other columns of the input play no part.
     """
     rows = turns.select(
         F.col(conv).alias("_conv"),
+        F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("_alone"),
         F.col(turn).alias("_turn"),
         F.coalesce(F.col(role), F.lit("")).alias("_role"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
@@ -117,7 +119,7 @@ def format_conversations(
     calm = ~F.col("_text").rlike(CONTROL)
     rows = rows.withColumn("_content", F.when(calm | F.coalesce(same, F.lit(False)), F.col("_text")).otherwise(escape(F.col("_text"))))
     rows = rows.withColumn("_turn_text", render(F.col("_role"), F.col("_content")))
-    order = Window.partitionBy("_conv").orderBy("_turn", "_role", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_conv", "_alone").orderBy("_turn", "_role", "_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.coalesce(F.sum(F.length("_turn_text")).over(order), F.lit(0)))
     rows = rows.withColumn("_start", F.col("_start") + F.length(_by_role(F.col("_role"), 0)) + 1)
     item = F.struct(
@@ -125,7 +127,7 @@ def format_conversations(
         F.col("_start").alias("start"), F.length("_content").cast("bigint").alias("length"),
         (F.col("_content") != F.col("_text")).alias("escaped"),
     )
-    found = rows.groupBy("_conv").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    found = rows.groupBy("_conv", "_alone").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     spoken = F.filter("_items", lambda i: i["role"] == "assistant")
     return found.select(
         F.col("_conv").alias(conv),
