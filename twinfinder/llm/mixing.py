@@ -2,7 +2,8 @@
 
 Every node shares its tokens among its children by weight. A child cannot take more than its own tokens times the
 number of epochs that are allowed; what it lacks goes to its siblings, and only what all of them together lack is
-missing at the parent, whose siblings take it. A leaf gives its whole documents for every full epoch, and for the rest
+missing at the parent, whose siblings take it. A child of weight 0 takes nothing, so its tokens are no room of its
+parent either. A leaf gives its whole documents for every full epoch, and for the rest
 the longest prefix of documents, in the seeded order of that epoch, whose tokens fit.
 
 All columns are computed by Spark's own functions.
@@ -74,21 +75,26 @@ def _fill(children: DataFrame, parents: list[str], name: str, weight: Column) ->
 def leaf_budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     """Leaves (`_<level>` columns, `_supply`, `_docs`) with their tokens `_allot`, whole epochs and rest."""
     keys = [f"_{n}" for n in mixture.names]
-    room = (F.col("_supply") * mixture.epochs).alias("_room")
-    leaves = leaves.select(*keys, "_supply", "_docs", room)
+    # `_room<d>` is what a leaf gives to its ancestor at depth d (0: the root): nothing through a node of weight 0.
+    room, rooms = F.col("_supply") * mixture.epochs, []
+    for name in reversed(mixture.names):
+        rooms.append(room)
+        room = F.when(mixture.weight(name) > 0, room).otherwise(0)
+    rooms = [r.cast("bigint").alias(f"_room{d}") for d, r in enumerate([room, *reversed(rooms)])]
+    leaves = leaves.select(*keys, "_supply", "_docs", *rooms)
     budget = leaves.agg(
-        F.least(F.floor(F.sum("_supply") * mixture.share), F.sum("_room")).cast("bigint").alias("budget")
+        F.least(F.floor(F.sum("_supply") * mixture.share), F.sum("_room0")).cast("bigint").alias("budget")
     ).first()["budget"]
     nodes, parents = None, []
     for depth, name in enumerate(mixture.names):
         here = keys[: depth + 1]
-        level = leaves.groupBy(*here).agg(F.sum("_room").alias("_room"))
+        level = leaves.groupBy(*here).agg(F.sum(f"_room{depth + 1}").alias("_room"))
         if nodes is None:
             level = level.withColumn("_allot", F.lit(budget or 0).cast("bigint"))
         else:
             level = level.join(nodes.select(*parents, "_allot"), parents)
         nodes, parents = _fill(level, parents, f"_{name}", mixture.weight(name)), here
-    plan = leaves.drop("_room").join(nodes.select(*keys, "_allot"), keys)
+    plan = leaves.select(*keys, "_supply", "_docs").join(nodes.select(*keys, "_allot"), keys)
     supply = F.greatest("_supply", F.lit(1))
     whole = F.floor(F.col("_allot") / supply)
     return plan.withColumn("_whole", whole.cast("int")).withColumn("_rest", F.col("_allot") - whole * supply)

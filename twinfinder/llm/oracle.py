@@ -22,41 +22,60 @@ WITH p AS (
                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
+), names AS (
+  SELECT host,
+    CASE WHEN numeric THEN '' WHEN kind THEN two ELSE labels[-1] END AS suffix,
+    CASE WHEN numeric THEN name WHEN kind THEN array_to_string(labels[-3:], '.') ELSE two END AS dom
+  FROM (
+    SELECT *, regexp_matches(two, '^(ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$') AS kind
+    FROM (
+      SELECT host, name, string_split(name, '.') AS labels, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+             regexp_matches(name, '^[0-9.]+$|^\[') AS numeric
+      FROM (SELECT DISTINCT host, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') AS name FROM p)))
 ), o AS (
   SELECT host, (quality = 0)::INT AS bad
   FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[/.]|$)', 1) AS BIGINT) AS doc_id FROM p)
   JOIN labels USING (doc_id) WHERE quality IS NOT NULL
 ), h AS (
-  SELECT host, count(*) AS n, sum(bad) AS bad, split_part(host, '.', -1) AS suffix,
-         CASE WHEN host LIKE '%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS dom
-  FROM o GROUP BY host
+  SELECT host, count(*) AS n, sum(bad) AS bad, any_value(suffix) AS suffix, any_value(dom) AS dom
+  FROM o JOIN names USING (host) GROUP BY host
 ), t AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, t GROUP BY suffix),
 s1 AS (
   SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
     sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM s0
 ),
-s AS (SELECT suffix, (m * w + bad) / (w + n) AS m FROM s0, s1),
-d0 AS (SELECT dom, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h JOIN s USING (suffix) GROUP BY dom, suffix),
+s AS (SELECT suffix, (m * w + bad) / (w + n) AS m, w + n AS size FROM s0, s1),
+d0 AS (SELECT dom, suffix, sum(n) AS n, sum(bad) AS bad, any_value(s.m) AS m FROM h JOIN s USING (suffix) GROUP BY dom, suffix),
 d1 AS (
   SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
     sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM d0
 ),
-d AS (SELECT dom, (m * w + bad) / (w + n) AS m FROM d0, d1),
+d AS (SELECT dom, (m * w + bad) / (w + n) AS m, w + n AS size FROM d0, d1),
 h0 AS (SELECT host, n, bad, m FROM h JOIN d USING (dom)),
 h1 AS (
   SELECT 1.0 / greatest(0.001, least(0.5, coalesce(
     sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) - 1 AS w FROM h0
 ),
 b AS (SELECT host, (m * w + bad) / (w + n) AS m, w + n AS size FROM h0, h1),
-r AS (
+-- A host without outcomes has the mean of its domain, else its suffix, else all pages, and the spread of all levels between.
+k AS (
+  SELECT 1 - 1 / (h1.w + 1) AS of_host, 1 - 1 / (d1.w + 1) AS of_domain, 1 - 1 / (s1.w + 1) AS of_suffix, t.m AS m
+  FROM h1, d1, s1, t WHERE (SELECT count(*) FROM h) > 0
+), unseen AS (
+  SELECT host, coalesce(
+    d.m - 1.645 * sqrt(d.m * (1 - d.m) * (1 - (1 - 1 / (d.size + 1)) * of_host)),
+    s.m - 1.645 * sqrt(s.m * (1 - s.m) * (1 - (1 - 1 / (s.size + 1)) * of_host * of_domain)),
+    k.m - 1.645 * sqrt(k.m * (1 - k.m) * (1 - of_host * of_domain * of_suffix))) AS bound
+  FROM names JOIN k ON true LEFT JOIN d ON d.dom = names.dom LEFT JOIN s ON s.suffix = names.suffix WHERE host <> ''
+), r AS (
   SELECT page_id, p.host, path,
     CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    m - 1.645 * sqrt(m * (1 - m) / (size + 1)) AS bound
-  FROM p LEFT JOIN b ON p.host = b.host
+    coalesce(m - 1.645 * sqrt(m * (1 - m) / (size + 1)), unseen.bound) AS bound
+  FROM p LEFT JOIN b ON p.host = b.host LEFT JOIN unseen ON p.host = unseen.host
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
@@ -91,8 +110,13 @@ WITH r AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
   FROM documents
 ), leaf AS (SELECT domain, l, s, sum(n_tokens)::BIGINT AS supply, 3 * sum(n_tokens)::BIGINT AS room FROM r GROUP BY ALL),
-b AS (SELECT least(floor(sum(supply)::BIGINT * 0.6::DOUBLE), sum(room))::BIGINT AS budget FROM leaf),
-t0 AS (SELECT domain, sum(room)::BIGINT AS room, any_value(budget) AS allot FROM leaf, b GROUP BY domain),
+b AS (
+  SELECT least(floor(sum(supply)::BIGINT * 0.6::DOUBLE),
+               coalesce(sum(room) FILTER (({_DOMAIN}) > 0 AND ({_LANG}) > 0), 0))::BIGINT AS budget FROM leaf
+),
+t0 AS (
+  SELECT domain, coalesce(sum(room) FILTER (({_LANG}) > 0), 0)::BIGINT AS room, any_value(budget) AS allot FROM leaf, b GROUP BY domain
+),
 t1 AS ({_fill("", "domain", _DOMAIN, "t0")}),
 u0 AS (SELECT domain, l, sum(leaf.room)::BIGINT AS room, any_value(allot) AS allot FROM leaf JOIN t1 USING (domain) GROUP BY ALL),
 u1 AS ({_fill("domain", "l", _LANG, "u0")}),

@@ -17,6 +17,9 @@ from twinfinder.session import checkpointed
 # Overdispersion is kept within these bounds, so that priors count for something and never for everything.
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 
+# Labels by which countries sort the names under them.
+TWO_LABELS = r"^(?:ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,13 +33,30 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host, or all of it."""
-    return F.substring_index(host, ".", -2)
+def _name(host: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.$", "")
+
+
+def _numeric(name: Column) -> Column:
+    return name.rlike(r"^[0-9.]+$|^\[")
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The part under which strangers register names: the last label, or two under countries that sort names by kind.
+
+    All numeric hosts share the empty suffix.
+    """
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_numeric(name), "").when(two.rlike(TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def registered_domain(host: Column) -> Column:
+    """The suffix of a host and one label more, or all there is; a numeric host as it is."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_numeric(name), name).when(two.rlike(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -63,7 +83,7 @@ def _rho(level: DataFrame) -> float:
 def host_reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645) -> DataFrame:
     """One row per host: `n`, `bad` pages, `mean` and `bound` (lower) of the posterior share of bad pages.
 
-    `domain` and `suffix` are those of the host; `domain_bound`, `suffix_bound` and `all_bound` are the bounds of a host
+    `domain` and `suffix` are those of the host without user and port; `domain_bound`, `suffix_bound` and `all_bound` are the bounds of a host
     without outcomes in the domain, in another domain of the suffix, and elsewhere.
     `outcomes` has a host and 0 or 1 per labelled page; null outcomes and null hosts take no part. The counts are
     aggregated before anything is joined, so no host is too large. Without outcomes the table is empty.
