@@ -321,3 +321,32 @@ def test_duplicates_within_event_time(spark, tmp_path):
     )
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "seq") == [(0,), (4,)]
+
+
+def test_repeats_are_emitted_on_arrival(spark, tmp_path):
+    """Three runs over a growing folder, from one checkpoint; a content whose time has passed counts as new."""
+    start = datetime(2024, 1, 1)
+    folder, out, offsets = (str(tmp_path / n) for n in ("in", "out", "c"))
+    schema = "repo string, path string, seq bigint, hash string, size bigint, at timestamp, more string"
+
+    def arrive(*entries):
+        data = [("r", f"p{seq}", seq, content, 1, start + timedelta(minutes=m), None) for seq, content, m in entries]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = streams.read_stream(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        streams.write_repeats(streams.repeats_stream(stream, "at", "5 minutes", "60 minutes"), out, offsets).awaitTermination()
+        return rows(spark.read.parquet(out), "seq", "hash", "first_seq")
+
+    arrive((3, "a", 0), (1, "a", 1), (2, "b", 2), (None, "a", 2), (9, None, 2))
+    assert run() == [(3, "a", 1)]
+    arrive((4, "b", 20), (5, "c", 20))
+    arrive((6, "a", 30))
+    assert run() == [(3, "a", 1), (4, "b", 2), (6, "a", 1)]
+    arrive((7, "d", 600))  # moves the watermark past all that is held
+    arrive((8, "a", 610), (10, "d", 611))
+    arrive((11, "a", 620))
+    assert run() == [(3, "a", 1), (4, "b", 2), (6, "a", 1), (10, "d", 7), (11, "a", 8)]
+    assert run() == [(3, "a", 1), (4, "b", 2), (6, "a", 1), (10, "d", 7), (11, "a", 8)]
+    states = spark.read.format("statestore").option("path", offsets).option("stateVarName", "held").load()
+    assert {r["key"]["hash"] for r in states.collect()} <= {"a", "d"}

@@ -581,4 +581,5 @@ ORACLE: dict[str, str] = {
     SELECT path, seq, hash, size, min(seq) OVER (PARTITION BY hash, size) AS first_seq
     FROM log QUALIFY seq > first_seq""",
 }
+ORACLE["contents_stream"] = ORACLE["duplicates_stream"]
 ORACLE = {name: sql if "<style>" in sql else dedent(sql).strip() for name, sql in ORACLE.items()}

@@ -694,6 +694,16 @@ def q_latest_stream(spark, sf):
 
 
 def q_duplicates_stream(spark, sf):
+    """Repeated contents in the stream of events, read from what the stream itself emits."""
+    log, folder = _event_stream(spark, sf)
+    timed = log.withColumn("at", F.timestamp_millis("last_modified"))
+    found = streams.repeats_stream(timed, "at", "3650 days", "3650 days")
+    streams.write_repeats(found, f"{folder}/repeats", f"{folder}/offsets").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/repeats").select("path", "seq", "hash", "size", "first_seq")
+
+
+def q_contents_stream(spark, sf):
+    """The same duplicates by counting contents in the stream and joining the records afterwards."""
     log, folder = _event_stream(spark, sf)
     updates = streams.contents_stream(log)
     streams.write_contents(updates, f"{folder}/state", f"{folder}/offsets").awaitTermination()
@@ -794,6 +804,7 @@ QUERIES: dict[str, Query] = {
     "report_html": q_report_html,
     "latest_stream": q_latest_stream,
     "duplicates_stream": q_duplicates_stream,
+    "contents_stream": q_contents_stream,
 }
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from twinfinder.operators.index import latest
 from twinfinder.plans.skew import HotKeys, skewed_join
 
 KEYS = ["repo", "path"]
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(
@@ -75,6 +81,77 @@ def read_contents(spark: SparkSession, table_path: str) -> DataFrame:
     return stored.groupBy("hash", "size").agg(F.max("copies").alias("copies"), F.min("first_seq").alias("first_seq"))
 
 
+class Repeats(StatefulProcessor):
+    """Emits each record whose content has come before, when it arrives.
+
+    The state of a content is one value: the number of its first record, and until when it is held. A timer takes it
+    away as soon as the watermark has passed that time; every record of the content moves the time on by `keep_ms`.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "first_seq bigint, until bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # The records of one content in one batch, as narrow rows; what a batch holds is bounded by its trigger.
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "repo", "path"], kind="stable")
+        known = self.held.get() if self.held.exists() else None
+        if known and known[1] <= timerValues.getCurrentWatermarkInMs():  # its timer comes after the rows of this batch
+            self.handle.deleteTimer(int(known[1]))
+            known = None
+        first, until = (int(known[0]), int(known[1])) if known else (int(new["seq"].iloc[0]), None)
+        latest = int(new["at_ms"].max()) + self.keep_ms
+        if until is None or latest > until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(latest)
+            until = latest
+        self.held.update((first, until))
+        repeated = new if known else new.iloc[1:]
+        yield repeated[["repo", "path", "seq", "hash", "size"]].assign(first_seq=first)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def repeats_stream(records: DataFrame, event_time: str, delay: str, keep: str) -> DataFrame:
+    """Records whose (hash, size) has come before, with the number of its first record, for append mode.
+
+    Within a batch the first is the one with the lowest `seq`. Records later than the watermark (`delay` behind the
+    newest) are dropped, as are those without hash, size, `seq` or time. A content is held for `keep` of event time
+    after its last record, so state is bounded; one that comes again later counts as new.
+    """
+    spark = records.sparkSession
+    keep_ms = int(spark.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {keep}"))).alias("ms")).first()["ms"])
+    timed = records.withWatermark(event_time, delay)
+    narrow = timed.filter(F.col("seq").isNotNull() & F.col("hash").isNotNull() & F.col("size").isNotNull()).select(
+        *KEYS, "seq", "hash", "size", F.unix_millis(event_time).alias("at_ms"), event_time
+    )
+    schema = T.StructType([records.schema[c] for c in (*KEYS, "seq", "hash", "size")]).add("first_seq", T.LongType())
+    return narrow.groupBy("hash", "size").transformWithStateInPandas(
+        Repeats(keep_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def write_repeats(found: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write what `repeats_stream` finds as Parquet files; started again, it goes on from its checkpoint."""
+    spark = found.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)  # read when the query starts; timers need it
+    try:
+        writer = found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+        return writer.option("path", folder).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(STORE, before)
+
+
 def exact_duplicates(records: DataFrame, contents: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Records whose (hash, size) was seen earlier, with the number of that first record."""
     repeated = contents.filter(F.col("copies") > 1).select("hash", "size", "first_seq")
