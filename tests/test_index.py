@@ -6,9 +6,10 @@ from conftest import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from twinfinder.operators import files, filters, index
+from twinfinder.operators import diff, exact, files, filters, index
 from twinfinder.schema import JSON_KEYS
 from twinfinder.sources import catalog, log as logs
+from twinfinder.sources.versions import Conflict, Versions
 from twinfinder.sources.table import from_table
 
 
@@ -193,6 +194,80 @@ def test_parquet_log_and_prune(spark, make, tmp_path):
         logs.read_log(spark, path, "yaml")
 
 
+def test_writers_never_share_numbers_or_lose_parts(spark, make, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    numbered = [F.col("path").asc()]
+    assert logs.append_log(make({"path": "b", "size": 1}, {"path": "a", "size": 2}), path, order=numbered) == {"rows": 2, "last_seq": 2}
+    commit, others = Versions.commit, [make({"path": "c", "size": 3}), make({"path": "d", "size": 4})]
+
+    def late(self, number, content):
+        """Somebody else appends between the reading and the writing of the state."""
+        if others:
+            logs.append_log(others.pop(), path, order=numbered)
+        commit(self, number, content)
+
+    monkeypatch.setattr(Versions, "commit", late)
+    assert logs.append_log(make({"path": "e", "size": 5}), path, order=numbered)["last_seq"] == 5
+    assert rows(logs.read_log(spark, path), "seq", "path")[:2] == [(1, "a"), (2, "b")]
+    found = rows(logs.read_log(spark, path), "seq", "path")
+    assert [s for s, _ in found] == [1, 2, 3, 4, 5] and sorted(p for _, p in found) == list("abcde")
+    # Pruning keeps what is appended while it runs.
+    others.append(make({"path": "late", "size": 6}))
+    assert logs.prune_log(spark, path, buckets=2) == {"files": 5, "failed": 0}
+    assert [p for _, p in rows(logs.read_log(spark, path), "seq", "path")][-1] == "late"
+    assert logs.read_log(spark, path).count() == 6
+    assert len(logs.clean_log(spark, path)) == 4 and logs.read_log(spark, path).count() == 6
+    versions = Versions(spark, path)
+    with pytest.raises(Conflict):
+        commit(versions, versions.current()[0] - 1, {})
+
+
+def test_repair_loses_no_line_whenever_it_fails(spark, make, tmp_path, monkeypatch):
+    source, path = tmp_path / "json", str(tmp_path / "log")
+    source.mkdir()
+    lines = [json.dumps({"h": f"h{i}", "p": f"p{i % 40}", "s": i, "l": i}) for i in range(100)]
+    lines[10], lines[55], lines[99] = lines[10][:9], "what", json.dumps({"p": "nohash"})
+    (source / "0.json").write_text("\n".join(lines[:60]) + "\n")
+    (source / "1.json").write_text("\n".join(lines[60:]) + "\n")
+    logs.append_log(make({"path": "before", "hash": "x", "size": 1, "seq": 7}), path)
+    with pytest.warns(UserWarning, match="3 undecodable lines"):
+        assert logs.read_log(spark, str(source), "json").count() == 97
+
+    class Crash(RuntimeError):
+        pass
+
+    def crash(*args):
+        raise Crash
+
+    for owner, step in ((logs, "_write_part"), (logs, "_empty"), (Versions, "commit")):
+        with monkeypatch.context() as patch:
+            patch.setattr(owner, step, crash)
+            with pytest.raises(Crash):
+                logs.repair_log(spark, str(source), path, "r")
+        assert rows(logs.read_log(spark, path), "path") == [("before",)] and logs.bad_lines(spark, path).count() == 0
+    assert logs.repair_log(spark, str(source), path, "r") == {"good": 97, "bad": 3}
+    assert sorted(t for t in (r["text"] for r in logs.bad_lines(spark, path).collect()) if t) == sorted([lines[10], "what"])
+    assert rows(logs.bad_lines(spark, path), "line") == [(10,), (39,), (55,)]
+    log = logs.read_log(spark, path)
+    assert log.count() == 98 and log.agg(F.min("seq"), F.max("seq")).first()[:] == (7, 104)
+    imported = logs.quarantine(logs.read_json_log(spark, str(source), "r"))[0]
+    assert rows(index.latest(log).filter("repo = 'r'").filter("path != 'before'"), "path", "hash") == rows(index.latest(imported, "shard"), "path", "hash")
+    assert len(list(source.iterdir())) == 2
+
+
+def test_log_without_states_is_taken_over(spark, make, tmp_path):
+    path = str(tmp_path / "log")
+    make({"path": "a", "hash": "1", "size": 1, "seq": 5}).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(path)
+    assert rows(logs.read_log(spark, path), "path", "bucket") == [("a", 1)]
+    assert logs.append_log(make({"path": "b", "size": 2}), path, order=[F.col("path")])["last_seq"] == 6
+    assert rows(logs.read_log(spark, path), "seq", "path") == [(5, "a"), (6, "b")]
+    logs.prune_log(spark, path)
+    logs.clean_log(spark, path)
+    assert rows(logs.read_log(spark, path), "seq", "path") == [(5, "a"), (6, "b")]
+    assert logs.append_log(make({"path": "c"}).filter("false"), path) == {"rows": 0, "last_seq": 6}
+    assert logs.prune_log(spark, str(tmp_path / "nothing")) == {"files": 0, "failed": 0}
+
+
 # --- catalog -----------------------------------------------------------------------------------------------------
 
 def test_catalog(spark, make):
@@ -251,3 +326,42 @@ def test_files_ls_and_plans(make):
     ]
     clash = make({"path": "d/x.a"}, {"path": "d/x.b"})
     assert rows(files.files_mv_plan(clash, "/t", "c"), "action", "path") == [("conflict", "d/x.b"), ("move", "d/x.a")]
+
+
+def test_stored_states_need_no_exchange_of_contents(spark, make):
+    database = "twinfinder_states"
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+    first = make(*[{"path": f"p{i}", "hash": f"h{i % 7}", "size": i % 3} for i in range(60)], {"path": "v", "hash": "x", "size": 1, "video_hash": "fallback:1"},
+                 {"path": "w", "hash": "y", "size": 1, "video_hash": "fallback:1"}, repo="first")
+    second = make(*[{"path": f"q{i}", "hash": f"h{i % 11}", "size": i % 3} for i in range(40)], repo="second")
+    for name, part in (("first", first), ("second", second)):
+        catalog.create_repo(spark, name, f"/data/{name}", database=database)
+        catalog.append_records(spark, name, part, database)
+    catalog.store_states(spark, ["first", "second"], buckets=4, database=database)
+    both = catalog.read_states(spark, ["first", "second"], database)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        groups = exact.stored_groups(both)
+        status = diff.diff_status(*(catalog.read_states(spark, [n], database) for n in ("first", "second")))
+        for df in (groups, status):
+            assert "hashpartitioning(hash" not in plan(df) and "Bucketed: true" in plan(df)
+        assert plan(groups).count("Exchange") == 1  # of the fallback rows
+        assert "Exchange" not in plan(status)
+        whole = first.unionByName(second)
+        columns = ("kind", "group_key", "copies", "repo", "path")
+        assert rows(groups, *columns) == rows(exact.exact_groups(whole), *columns)
+        assert rows(status, "path", "status", "match") == rows(diff.diff_status(first, second), "path", "status", "match")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # A grown log is compacted again when its state is read; other repos stay.
+    catalog.append_records(spark, "first", make({"path": "p1", "seq": 99, "missing": True}, {"path": "new", "seq": 100, "hash": "h1", "size": 1}), database)
+    again = catalog.read_states(spark, ["first"], database)
+    assert again.count() == 63 and rows(again.filter("missing"), "path") == [("p1",)]
+    assert catalog.read_states(spark, ["second"], database).count() == 40
+    assert catalog.drop_repo(spark, "first", database)
+    assert rows(spark.table(f"{database}.{catalog.STATES}").select("repo").distinct(), "repo") == [("second",)]
+    spark.sql(f"DROP DATABASE {database} CASCADE")

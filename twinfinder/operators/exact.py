@@ -67,6 +67,22 @@ def exact_groups(
     return repeated(content_keys(candidates(state, width, height)), hot)
 
 
+def stored_groups(state: DataFrame, width: str | None = None, height: str | None = None) -> DataFrame:
+    """`exact_groups` of a state that is stored in buckets of (hash, size), such as `catalog.read_states`.
+
+    Groups are counted where they lie, without an exchange of contents; fallback groups, which have another key,
+    shuffle their own few rows. A content is in one bucket, so one that holds a large share of all rows is one long
+    task; `exact_groups` cuts such contents up.
+    """
+    rows = candidates(state, width, height)
+    counted = F.count("*").over(Window.partitionBy("hash", "size"))
+    alike = rows.filter(was_read()).withColumn("copies", counted).filter(F.col("copies") > 1)
+    alike = alike.withColumns({"kind": F.lit("exact"), "group_key": F.concat_ws(":", "hash", "size")})
+    fallback = rows.filter(is_fallback("video_hash"))
+    fallback = fallback.withColumns({"kind": F.lit("fallback"), "group_key": F.concat_ws(":", "video_hash", "size")})
+    return alike.unionByName(repeated(fallback))
+
+
 def text_groups(
     state: DataFrame, width: str | None = None, height: str | None = None, hot: HotKeys | None = None
 ) -> DataFrame:

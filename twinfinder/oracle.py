@@ -383,6 +383,19 @@ ORACLE: dict[str, str] = {
       AS t(repo, base, codec, compressed)
     )
     SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "repaired_log": f"""
+    WITH {LOG},
+    lines AS (
+      SELECT *, '{{"h":"' || hash || '","p":"' || path || '","s":' || size || ',"l":' || last_modified || ',"d":' || missing || '}}' AS line
+      FROM log
+    )
+    SELECT 'good' AS kind, path, hash, size, last_modified, missing, NULL::VARCHAR AS text FROM lines WHERE seq % 7 <> 0
+    UNION ALL
+    SELECT 'bad', NULL, NULL, NULL, NULL, NULL, left(line, length(line) // 2) FROM lines WHERE seq % 7 = 0""",
+    "stored_groups": f"""
+    WITH {DOCS}
+    SELECT 'exact' AS kind, hash || ':' || size AS group_key, count(*) OVER (PARTITION BY hash, size) AS copies, repo, path
+    FROM docs WHERE NOT missing QUALIFY copies > 1""",
     "valid_names": r"""
     SELECT doc_id, regexp_full_match(source, '[\p{L}\p{Nd}_]+') AS source_valid,
            regexp_full_match(split_part(text, ' ', 1), '[\p{L}\p{Nd}_]+') AS word_valid
@@ -581,5 +594,6 @@ ORACLE: dict[str, str] = {
     SELECT path, seq, hash, size, min(seq) OVER (PARTITION BY hash, size) AS first_seq
     FROM log QUALIFY seq > first_seq""",
 }
+ORACLE["stored_status"] = ORACLE["diff_status"]
 ORACLE["contents_stream"] = ORACLE["duplicates_stream"]
 ORACLE = {name: sql if "<style>" in sql else dedent(sql).strip() for name, sql in ORACLE.items()}

@@ -335,6 +335,25 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def q_repaired_log(spark, sf):
+    """Events as JSON lines, every seventh cut off in the middle, taken over by a repair: records, and lines kept aside."""
+    folder = _new_folder(spark)
+    lines = event_log(spark, sf).select("seq", F.to_json(F.struct(
+        F.col("hash").alias("h"), F.col("path").alias("p"), F.col("size").alias("s"), F.col("last_modified").alias("l"),
+        F.col("missing").alias("d"),
+    )).alias("line"))
+    half = F.substring("line", F.lit(1), (F.length("line") / 2).cast("int"))
+    lines.select(F.when(F.col("seq") % 7 == 0, half).otherwise(F.col("line")).alias("line")).write.text(f"{folder}/json")
+    logs.repair_log(spark, f"{folder}/json", f"{folder}/log", "events")
+    good = logs.read_log(spark, f"{folder}/log").select(
+        F.lit("good").alias("kind"), "path", "hash", "size", "last_modified", "missing", F.lit(None).cast("string").alias("text"))
+    bad = logs.bad_lines(spark, f"{folder}/log").select(
+        F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("hash"),
+        F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("last_modified"),
+        F.lit(None).cast("boolean").alias("missing"), "text")
+    return good.unionByName(bad)
+
+
 def q_catalog(spark, sf):
     """Two repos registered in the catalog, filled, opened together and pruned there."""
     database = f"twinfinder_{uuid.uuid4().hex}"
@@ -370,6 +389,31 @@ def q_catalog_changes(spark, sf):
     return result
 
 
+def _stored_repos(spark, sf, use) -> DataFrame:
+    """What `use` makes of two repos whose states the catalog stores; one of them grows after it was stored first."""
+    database = f"twinfinder_{uuid.uuid4().hex}"
+    a, b = two_repos(spark, sf)
+    for name in ("a", "b"):
+        catalog.create_repo(spark, name, f"/data/{name}", database=database)
+    catalog.append_records(spark, "a", a.filter("seq % 3 > 0"), database)
+    catalog.append_records(spark, "b", b, database)
+    catalog.store_states(spark, ["a", "b"], buckets=8, database=database)
+    catalog.append_records(spark, "a", a.filter("seq % 3 = 0"), database)
+    result = checkpointed(use(lambda *names: catalog.read_states(spark, list(names), database)))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return result
+
+
+def q_stored_groups(spark, sf):
+    """Equal contents across two repos, counted in the buckets of their stored states."""
+    return _stored_repos(spark, sf, lambda read: exact.stored_groups(read("a", "b")).select("kind", "group_key", "copies", "repo", "path"))
+
+
+def q_stored_status(spark, sf):
+    """One repo against another, compared in the buckets of their stored states."""
+    return _stored_repos(spark, sf, lambda read: diff.diff_status(read("a"), read("b")))
+
+
 def q_valid_names(spark, sf):
     """Which sources and which first words of documents could name a repo."""
     word = F.substring_index("text", " ", 1)
@@ -752,6 +796,9 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "repaired_log": q_repaired_log,
+    "stored_groups": q_stored_groups,
+    "stored_status": q_stored_status,
     "valid_names": q_valid_names,
     "first_seen_stream": q_first_seen_stream,
     "filter_mime": _filtered("mime:/fr"),

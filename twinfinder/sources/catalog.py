@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfinder.operators.index import prune
+from twinfinder.operators.index import latest, prune
 from twinfinder.schema import DEFAULT_BUCKETS, FILE_RECORD, bucket_of, normalise, records
 
 DATABASE = "twinfinder"
+# One table holds the current states of all repos, in buckets of their contents.
+STATES, STATE_BUCKETS = "current_states", 64
 PREFIX = "twinfinder."
 CODECS = ("parquet", "json")
 
@@ -94,9 +96,11 @@ def list_repos(spark: SparkSession, verbose: bool = False, database: str = DATAB
 
 
 def drop_repo(spark: SparkSession, name: str, database: str = DATABASE) -> bool:
-    """Forget a repo and its log, not the files it describes. False if there was none."""
+    """Forget a repo, its log and stored state, not the files it describes. False if there was none."""
     found = exists(spark, name, database)
     spark.sql(f"DROP TABLE IF EXISTS {_table(name, database)}")
+    if spark.catalog.tableExists(f"`{database}`.`{STATES}`"):
+        spark.sql(f"ALTER TABLE `{database}`.`{STATES}` DROP IF EXISTS PARTITION (repo = {_quoted(name)})")
     return found
 
 
@@ -194,3 +198,54 @@ def prune_repo(
     drop_repo(spark, name, database)
     rename_repo(spark, other, name, database)
     return spark.table(table).count()
+
+
+def _log_size(spark: SparkSession, name: str, database: str) -> int:
+    return spark.table(_table(name, database)).count()
+
+
+def store_states(
+    spark: SparkSession, names: list[str], buckets: int = STATE_BUCKETS, database: str = DATABASE
+) -> None:
+    """Compact the logs of repos into the table of current states, each replacing what it holds of that repo.
+
+    The table is partitioned by repo, and bucketed and sorted by (hash, size): contents are shuffled here once, and
+    grouping them (`exact.stored_groups`) or comparing repos (`operators.diff`) needs no exchange any more. `buckets`
+    counts when the table is made; it should make files of a few hundred MB.
+    """
+    for name in names:
+        _require(spark, name, database)
+    table = f"`{database}`.`{STATES}`"
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FILE_RECORD if f.name != "repo")
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}, repo string) USING parquet PARTITIONED BY (repo) "
+            f"CLUSTERED BY (hash, size) SORTED BY (hash, size) INTO {buckets} BUCKETS"
+        )
+        _set(spark, table, state_buckets=buckets)
+    buckets = int(_properties(spark, table)["state_buckets"])
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for name in names:
+            size = _log_size(spark, name, database)
+            state = latest(read_repo(spark, name, database))
+            state = state.select(*[f.name for f in FILE_RECORD if f.name != "repo"], F.lit(name).alias("repo"))
+            if state.isEmpty():
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (repo = {_quoted(name)})")
+            else:
+                state.repartition(buckets, "hash", "size").write.mode("overwrite").insertInto(table)
+            _set(spark, _table(name, database), state_of=size)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def read_states(spark: SparkSession, names: list[str], database: str = DATABASE) -> DataFrame:
+    """The stored states of repos, refreshed where the log has grown or shrunk since; `repo` tells them apart."""
+    stale = [
+        n for n in names
+        if _properties(spark, _require(spark, n, database)).get("state_of") != str(_log_size(spark, n, database))
+    ]
+    if stale:
+        store_states(spark, stale, database=database)
+    return spark.table(f"`{database}`.`{STATES}`").filter(F.col("repo").isin(names)).select(*[f.name for f in FILE_RECORD])
