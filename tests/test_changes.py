@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,10 +7,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from twinfinder.functions import hashing, media
-from twinfinder.operators import diff, files, filters, index, rank, update
+from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, update
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.session import checkpointed
 from twinfinder.sources import files as scan
+from twinfinder.sources.versions import Versions
 from twinfinder.streaming import state as streams
 
 
@@ -350,3 +352,51 @@ def test_repeats_are_emitted_on_arrival(spark, tmp_path):
     assert run() == [(3, "a", 1), (4, "b", 2), (6, "a", 1), (10, "d", 7), (11, "a", 8)]
     states = spark.read.format("statestore").option("path", offsets).option("stateVarName", "held").load()
     assert {r["key"]["hash"] for r in states.collect()} <= {"a", "d"}
+
+
+# --- incremental counts ------------------------------------------------------------------------------------------
+
+def test_incremental_counts_equal_the_whole_log(spark, make, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(incremental, "MERGED", 2)
+    kept = incremental.ContentIndex(spark, str(tmp_path / "index"), buckets=8)
+    assert kept.group_counts().count() == 0 and kept.state().count() == 0 and kept.stats().count() == 0
+    whole, numbers = None, rng.sample(range(1, 1000), 160)
+    for batch in range(1, 5):
+        entries = [{"path": f"p{rng.randrange(30)}", "hash": rng.choice(["a", "b", "c", "", None]), "size": rng.randrange(2), "seq": numbers.pop(), "missing": rng.random() < 0.3} for _ in range(40)]
+        part = make(*entries[:30], repo="r").unionByName(make(*entries[30:], repo="s"))
+        assert kept.apply(batch, part) and not kept.apply(batch, part)
+        whole = part if whole is None else whole.unionByName(part)
+        state = index.latest(whole)
+        assert rows(kept.state(), "repo", "path", "seq", "missing") == rows(state, "repo", "path", "seq", "missing")
+        expected = exact.exact_groups(state).groupBy("hash", "size").agg(F.count("*").alias("copies"))
+        assert rows(kept.group_counts(), "hash", "size", "copies") == rows(expected, "hash", "size", "copies")
+        assert rows(kept.groups(), "repo", "path", "copies") == rows(exact.exact_groups(state), "repo", "path", "copies")
+        assert rows(kept.stats(), "repo", "counter", "value") == rows(index.index_stats(whole), "repo", "counter", "value")
+
+
+def test_a_batch_touches_only_its_buckets(spark, make, tmp_path, monkeypatch):
+    kept = incremental.ContentIndex(spark, str(tmp_path / "index"), buckets=50)
+    kept.apply(1, make(*[{"path": f"p{i}", "hash": "h", "size": i % 3, "seq": i} for i in range(500)]))
+    before = kept.versions.current()[1]["generations"]
+    read = []
+    plain = incremental.ContentIndex._read_state
+    monkeypatch.setattr(incremental.ContentIndex, "_read_state", lambda self, generations: read.append(generations) or plain(self, generations))
+    kept.apply(2, make({"path": "p3", "hash": "other", "size": 1, "seq": 900}))
+    after = kept.versions.current()[1]["generations"]
+    assert len(before) == 50 and len(read[0]) == 1 and sum(before[b] != after[b] for b in before) == 1
+    assert rows(kept.group_counts(), "hash", "size", "copies") == [("h", 0, 166), ("h", 1, 167), ("h", 2, 166)]
+
+
+def test_two_writers_apply_both_batches(spark, make, tmp_path, monkeypatch):
+    kept = incremental.ContentIndex(spark, str(tmp_path / "index"), buckets=4)
+    commit, others = Versions.commit, [make({"path": "a", "hash": "h", "size": 1, "seq": 1})]
+
+    def late(self, number, content):
+        if others:
+            incremental.ContentIndex(spark, str(tmp_path / "index")).apply(1, others.pop())
+        commit(self, number, content)
+
+    monkeypatch.setattr(Versions, "commit", late)
+    assert kept.apply(2, make({"path": "b", "hash": "h", "size": 1, "seq": 2}))
+    assert rows(kept.group_counts(), "hash", "size", "copies") == [("h", 1, 2)]

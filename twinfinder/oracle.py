@@ -383,6 +383,9 @@ ORACLE: dict[str, str] = {
       AS t(repo, base, codec, compressed)
     )
     SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "incremental_groups": f"""
+    WITH {STATE}
+    SELECT hash, size, count(*) AS copies FROM state WHERE NOT missing GROUP BY hash, size HAVING count(*) > 1""",
     "repaired_log": f"""
     WITH {LOG},
     lines AS (
@@ -594,6 +597,7 @@ ORACLE: dict[str, str] = {
     SELECT path, seq, hash, size, min(seq) OVER (PARTITION BY hash, size) AS first_seq
     FROM log QUALIFY seq > first_seq""",
 }
+ORACLE["incremental_stats"] = ORACLE["index_stats"]
 ORACLE["stored_status"] = ORACLE["diff_status"]
 ORACLE["contents_stream"] = ORACLE["duplicates_stream"]
 ORACLE = {name: sql if "<style>" in sql else dedent(sql).strip() for name, sql in ORACLE.items()}

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinfinder.functions import hashing, image, media, text
-from twinfinder.operators import diff, exact, files, filters, index, rank, similar, update
+from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, similar, update
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.schema import records
 from twinfinder.session import checkpoint_folder, checkpointed, configure
@@ -335,6 +335,25 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def _three_batches(spark, sf) -> incremental.ContentIndex:
+    """The events in three batches, each a third of them all over the time, so that later ones bring older records."""
+    kept = incremental.ContentIndex(spark, _new_folder(spark), buckets=16)
+    events = event_log(spark, sf)
+    for batch in range(3):
+        kept.apply(batch + 1, events.filter(F.col("seq") % 3 == batch))
+    return kept
+
+
+def q_incremental_groups(spark, sf):
+    """Contents with more than one live path, from signed counts of three batches with deletions."""
+    return _three_batches(spark, sf).group_counts().select("hash", "size", "copies")
+
+
+def q_incremental_stats(spark, sf):
+    """Statistics of the index from the same counts."""
+    return _three_batches(spark, sf).stats()
+
+
 def q_repaired_log(spark, sf):
     """Events as JSON lines, every seventh cut off in the middle, taken over by a repair: records, and lines kept aside."""
     folder = _new_folder(spark)
@@ -796,6 +815,8 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "incremental_groups": q_incremental_groups,
+    "incremental_stats": q_incremental_stats,
     "repaired_log": q_repaired_log,
     "stored_groups": q_stored_groups,
     "stored_status": q_stored_status,
