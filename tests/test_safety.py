@@ -5,10 +5,11 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import rows
-from twinfinder.operators import diff, exact, index, rank, update
+from twinfinder.operators import diff, exact, index, rank, update, verified
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.session import checkpointed
 from twinfinder.sources import log as logs
+from twinfinder.sources.table import from_table
 
 
 def test_unreadable_files_are_no_duplicates(spark, make):
@@ -111,3 +112,66 @@ def test_only_what_was_done_is_logged(spark, make):
     target = make({"path": "z", "hash": "9", "size": 9}, repo="t")
     done = spark.createDataFrame([("copy", "r", "a", "done"), ("copy", "r", "b", "error"), ("delete", "t", "z", "skipped")], result)
     assert rows(diff.sync_records(state, target, done), "repo", "path", "missing") == [("t", "a", False)]
+
+
+def scanned(spark, folder):
+    """The files of a folder as records."""
+    data = [(str(p.relative_to(folder)), p.read_bytes(), int(p.stat().st_mtime * 1000)) for p in sorted(folder.rglob("*")) if p.is_file()]
+    table = spark.createDataFrame(data, "path string, content binary, at bigint")
+    return from_table(table, path="path", content="content", mtime="at", repo=F.lit("r"))
+
+
+def test_nothing_is_removed_without_its_survivor(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for name in "abcdefg":
+        for copy in (1, 2, 3):
+            (root / f"{name}{copy}").write_bytes(name.encode() * 40)
+            os.utime(root / f"{name}{copy}", (copy, copy))
+    groups = checkpointed(exact.exact_groups(scanned(spark, root)))
+    claimed = checkpointed(verified.claims(groups))
+    assert claimed.count() == 14 and rows(claimed.filter("path = 'a2'"), "keep_path", "size") == [("a1", 40)]
+    roots = {"r": str(root)}
+    assert {r["status"] for r in verified.apply_claims(claimed, roots).collect()} == {"planned"} and len(list(root.iterdir())) == 21
+    (root / "b1").unlink()  # survivor vanished
+    (root / "c1").write_bytes(b"x" * 40)  # survivor changed, same size
+    (root / "d2").write_bytes(b"new")  # victim changed
+    (root / "e2").unlink()  # victim gone already
+    (root / "f1").unlink()
+    os.symlink(root / "f2", root / "f1")  # the survivor is the victim itself
+    done = verified.apply_claims(claimed, roots, dry_run=False, partitions=3)
+    status = {r["path"]: (r["status"], r["message"]) for r in done.collect()}
+    expected = {n: ("done", "") for n in ("a2", "a3", "d3", "e3", "g2", "g3")}
+    expected |= {n: ("skipped", "the copy to keep is missing") for n in ("b2", "b3")}
+    expected |= {n: ("skipped", "the copy to keep has another content") for n in ("c2", "c3")}
+    expected |= {"d2": ("skipped", "the file has another size"), "e2": ("gone", "already removed"), "f2": ("skipped", "the file is the copy to keep")}
+    assert {k: v for k, v in status.items() if k != "f3"} == expected
+    left = {p.name for p in root.iterdir()}
+    assert left >= {"a1", "b2", "b3", "c1", "c2", "c3", "d1", "d2", "e1", "f2", "g1"} and not left & {"a2", "a3", "d3", "e3", "g2", "g3"}
+    again = {r["path"]: r["status"] for r in verified.apply_claims(claimed, roots, dry_run=False).collect()}
+    assert set(again.values()) == {"gone", "skipped"} and {p.name for p in root.iterdir()} == left
+    state = scanned(spark, root)
+    log = rank.plan_records(groups, verified.results_for_log(done))
+    assert {r["path"] for r in log.collect()} == {n for n, (s, _) in status.items() if s in ("done", "gone")}
+    assert state.count() == len([p for p in root.iterdir()])
+
+
+def test_claimed_moves_know_their_own_work(spark, make, tmp_path):
+    root, out = tmp_path / "root", tmp_path / "out"
+    root.mkdir()
+    out.mkdir()
+    for name in ("k", "m1", "m2", "m3"):
+        (root / name).write_bytes(b"same content of all")
+        os.utime(root / name, (1 + (name != "k"), 1 + (name != "k")))
+    groups = checkpointed(exact.exact_groups(scanned(spark, root)))
+    plan = rank.move_plan(groups, "bin")
+    claimed = checkpointed(verified.claims(groups, plan))
+    (out / "bin").mkdir()
+    (out / "bin" / "m2").write_bytes(b"somebody else's")
+    roots = {"r": str(root)}
+    done = {r["path"]: (r["status"], r["message"]) for r in verified.apply_claims(claimed, roots, dry_run=False, target_root=str(out)).collect()}
+    assert done == {"m1": ("done", ""), "m2": ("skipped", "target exists"), "m3": ("done", "")}
+    (root / "m2").unlink()
+    again = {r["path"]: (r["status"], r["message"]) for r in verified.apply_claims(claimed, roots, dry_run=False, target_root=str(out)).collect()}
+    assert again == {"m1": ("gone", "already moved"), "m2": ("skipped", "the file is missing, its target has another size"), "m3": ("gone", "already moved")}
+    assert (out / "bin" / "m1").read_bytes() == b"same content of all" and sorted(p.name for p in (out / "bin").iterdir()) == ["m1", "m2", "m3"]

@@ -383,6 +383,18 @@ ORACLE: dict[str, str] = {
       AS t(repo, base, codec, compressed)
     )
     SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "verified_removal": f"""
+    WITH d AS (SELECT lang || '/' || doc_id AS path, doc_id, {HASH.format(t='text')} AS hash, strlen(text) AS size, lang FROM documents),
+    g AS (
+      SELECT *, first_value(path) OVER w AS keep_path, row_number() OVER w AS rank, count(*) OVER (PARTITION BY hash, size) AS copies
+      FROM d WINDOW w AS (PARTITION BY hash, size ORDER BY doc_id, lower(path), path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    )
+    SELECT run::INTEGER AS run, path,
+           CASE WHEN left(keep_path, 2) IN ('fr', 'es') THEN 'skipped' WHEN run = 1 THEN 'done' ELSE 'gone' END AS status,
+           CASE left(keep_path, 2) WHEN 'fr' THEN 'the copy to keep has another content' WHEN 'es' THEN 'the copy to keep is missing'
+                ELSE CASE WHEN run = 1 THEN '' ELSE 'already removed' END END AS message,
+           keep_path
+    FROM g, (VALUES (1), (2)) t(run) WHERE rank > 1 AND copies > 1""",
     "incremental_groups": f"""
     WITH {STATE}
     SELECT hash, size, count(*) AS copies FROM state WHERE NOT missing GROUP BY hash, size HAVING count(*) > 1""",

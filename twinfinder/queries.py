@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -9,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinfinder.functions import hashing, image, media, text
-from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, similar, update
+from twinfinder.operators import (
+    diff, exact, files, filters, incremental, index, rank, similar, update, verified,
+)
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.schema import records
 from twinfinder.session import checkpoint_folder, checkpointed, configure
@@ -335,6 +339,57 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def q_verified_removal(spark, sf):
+    """Duplicates among documents written out as files, removed there after a look at the copies to keep.
+
+    Of the copies to keep, those of French documents are changed and those of Spanish ones taken away before that.
+    """
+    folder = _local_folder(spark)
+    docs = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "doc_id").alias("path"), "text", "doc_id")
+    records_ = checkpointed(from_table(docs, path="path", content="text", mtime=F.col("doc_id") * 1000, repo=F.lit("docs")))
+    groups = checkpointed(rank.rank_group(exact.exact_groups(records_)))
+    kept = groups.filter("rank = 1").select("path", (F.substring("path", 1, 2)).alias("lang"))
+    _write_files(docs.join(groups.select("path"), "path"), folder)
+    _spoil(kept, folder)
+    done = verified.apply_claims(verified.claims(groups), {"docs": folder}, dry_run=False)
+    again = verified.apply_claims(verified.claims(groups), {"docs": folder}, dry_run=False)
+    both = done.select(F.lit(1).alias("run"), "path", "status", "message", "keep_path")
+    return both.unionByName(again.select(F.lit(2).alias("run"), "path", "status", "message", "keep_path"))
+
+
+def _local_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors mount: below the shared one, without its scheme."""
+    return re.sub("^file:/*", "/", _new_folder(spark))
+
+
+def _write_files(texts: DataFrame, folder: str) -> None:
+    """Each `text` as the file `path` below a folder that the executors mount."""
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
+                with open(f"{folder}/{path}", "w", encoding="utf-8", newline="") as file:
+                    file.write(text)
+            yield batch[["path"]]
+
+    texts.select("path", "text").mapInPandas(write, "path string").count()
+
+
+def _spoil(kept: DataFrame, folder: str) -> None:
+    def spoil(batches):
+        for batch in batches:
+            for path, lang in zip(batch["path"], batch["lang"]):
+                if lang == "fr":
+                    with open(f"{folder}/{path}", "a", encoding="utf-8") as file:
+                        file.write("!")
+                if lang == "es" and os.path.exists(f"{folder}/{path}"):
+                    os.remove(f"{folder}/{path}")
+            yield batch[["path"]]
+
+    kept.select("path", "lang").mapInPandas(spoil, "path string").count()
+
+
 def _three_batches(spark, sf) -> incremental.ContentIndex:
     """The events in three batches, each a third of them all over the time, so that later ones bring older records."""
     kept = incremental.ContentIndex(spark, _new_folder(spark), buckets=16)
@@ -815,6 +870,7 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "verified_removal": q_verified_removal,
     "incremental_groups": q_incremental_groups,
     "incremental_stats": q_incremental_stats,
     "repaired_log": q_repaired_log,
