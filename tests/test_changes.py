@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from twinfinder.functions import hashing, media
-from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, update
+from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, reconcile, update
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.session import checkpointed
 from twinfinder.sources import files as scan
@@ -400,3 +400,38 @@ def test_two_writers_apply_both_batches(spark, make, tmp_path, monkeypatch):
     monkeypatch.setattr(Versions, "commit", late)
     assert kept.apply(2, make({"path": "b", "hash": "h", "size": 1, "seq": 2}))
     assert rows(kept.group_counts(), "hash", "size", "copies") == [("h", 1, 2)]
+
+
+# --- reconciliation ----------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("changed, read", [(0, False), (6, False), (400, True)])
+def test_only_buckets_that_differ_are_read(spark, make, tmp_path, changed, read):
+    """Few differences are decoded from the sketches alone; where they are many, their buckets are read."""
+    rng = random.Random(changed)
+    entries = [{"path": f"p{i}", "hash": f"h{i // 2}", "size": i % 4, "missing": i % 11 == 0} for i in range(900)]
+    other = [dict(e) for e in entries]
+    for i in rng.sample(range(900), changed):
+        kind = i % 3
+        if kind == 0:
+            other[i]["hash"] = f"new{i}"
+        elif kind == 1:
+            other[i]["missing"] = not other[i]["missing"]
+        else:
+            entries[i]["hash"] = f"own{i}"
+    a, b = checkpointed(make(*entries, repo="a")), checkpointed(make(*other, repo="b"))
+    stored = [reconcile.store_contents(part, str(tmp_path / name), 8) for name, part in (("a", a), ("b", b))]
+    status, looked = reconcile.reconciled_status(a, *stored)
+    assert rows(status, "path", "status") == rows(diff.diff_status(a, b), "path", "status")
+    assert looked["buckets"] == 8 and (looked["differing"] == 0) == (changed == 0)
+    assert (looked["read"] > 0) == read and looked["read_buckets"] <= looked["differing"]
+    found, _ = reconcile.differences(*stored)
+    keys = {side: {(r["k1"], r["k2"]) for r in c.contents().collect()} for side, c in zip((1, -1), stored)}
+    got = {side: {(r["k1"], r["k2"]) for r in found.filter(F.col("side") == side).collect()} for side in (1, -1)}
+    assert got == {1: keys[1] - keys[-1], -1: keys[-1] - keys[1]}
+
+
+def test_reconciling_empty_indexes(spark, make, tmp_path):
+    a = make({"path": "p", "hash": "h", "size": 1}, {"path": "q", "hash": "h", "size": 1}, repo="a")
+    stored = [reconcile.store_contents(part, str(tmp_path / n), 4) for n, part in (("a", a), ("none", a.filter("false")))]
+    assert rows(reconcile.reconciled_status(a, *stored)[0], "path", "status") == [("p", "new"), ("q", "new")]
+    assert reconcile.reconciled_status(a.filter("false"), *stored[::-1])[0].count() == 0

@@ -610,6 +610,7 @@ ORACLE: dict[str, str] = {
     FROM log QUALIFY seq > first_seq""",
 }
 ORACLE["incremental_stats"] = ORACLE["index_stats"]
+ORACLE["reconciled_status"] = f"SELECT * EXCLUDE (match) FROM ({ORACLE['diff_status']})"
 ORACLE["stored_status"] = ORACLE["diff_status"]
 ORACLE["contents_stream"] = ORACLE["duplicates_stream"]
 ORACLE = {name: sql if "<style>" in sql else dedent(sql).strip() for name, sql in ORACLE.items()}

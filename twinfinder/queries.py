@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinfinder.functions import hashing, image, media, text
 from twinfinder.operators import (
-    diff, exact, files, filters, incremental, index, rank, similar, update, verified,
+    diff, exact, files, filters, incremental, index, rank, reconcile, similar, update,
+    verified,
 )
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.schema import records
@@ -339,6 +340,14 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def q_reconciled_status(spark, sf):
+    """One repo against another by sketches of their contents: equal buckets of the target are not read."""
+    folder = _new_folder(spark)
+    a, b = two_repos(spark, sf)
+    stored = [reconcile.store_contents(part, f"{folder}/{name}", 64) for name, part in (("a", a), ("b", b))]
+    return reconcile.reconciled_status(a, *stored)[0]
+
+
 def q_verified_removal(spark, sf):
     """Duplicates among documents written out as files, removed there after a look at the copies to keep.
 
@@ -870,6 +879,7 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "reconciled_status": q_reconciled_status,
     "verified_removal": q_verified_removal,
     "incremental_groups": q_incremental_groups,
     "incremental_stats": q_incremental_stats,
