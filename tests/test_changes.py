@@ -10,7 +10,7 @@ from twinfinder.functions import hashing, media
 from twinfinder.operators import diff, exact, files, filters, incremental, index, rank, reconcile, update
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.session import checkpointed
-from twinfinder.sources import files as scan
+from twinfinder.sources import files as scan, formats
 from twinfinder.sources.versions import Versions
 from twinfinder.streaming import state as streams
 
@@ -435,3 +435,62 @@ def test_reconciling_empty_indexes(spark, make, tmp_path):
     stored = [reconcile.store_contents(part, str(tmp_path / n), 4) for n, part in (("a", a), ("none", a.filter("false")))]
     assert rows(reconcile.reconciled_status(a, *stored)[0], "path", "status") == [("p", "new"), ("q", "new")]
     assert reconcile.reconciled_status(a.filter("false"), *stored[::-1])[0].count() == 0
+
+
+# --- formats -----------------------------------------------------------------------------------------------------
+
+def test_scan_format_equals_the_scan(spark, tmp_path):
+    formats.register(spark)
+    for name in ("a/b/c/1", "a/b/2", "a/3", "d/4", "5", ".hidden/_6"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path / "5", tmp_path / "d" / "link")
+    columns = ("kind", "path", "size", "last_modified")
+    expected = rows(scan.scan_files(spark, str(tmp_path)).filter("path != ''"), *columns)
+    for tasks in (1, 2, 64):
+        found = spark.read.format(formats.SCAN).option("path", str(tmp_path)).option("tasks", tasks).load()
+        assert rows(found, *columns) == expected
+    twice = found.filter("kind = 'file'").unionByName(found.filter("path LIKE 'a/%'"))
+    assert twice.count() == 6 + 5  # filters of one place stay out of the other
+    found = spark.read.format(formats.SCAN).option("path", str(tmp_path)).option("push", "true").load()
+    below = found.filter("path LIKE 'a/b/%' AND kind = 'file' AND size > 3")
+    assert rows(below, "path") == [("a/b/2",), ("a/b/c/1",)]
+    found = spark.read.format(formats.SCAN).option("path", str(tmp_path)).option("push", "true").load()
+    assert rows(found.filter("path = 'd/4'"), "path") == [("d/4",)]
+    reader = formats.ScanReader(str(tmp_path), 64, True)
+    left = list(reader.pushFilters([formats.EqualTo(("kind",), "file"), formats.StringStartsWith(("path",), "a/b/")]))
+    listed = [d for p in reader.partitions() for d in p.flat + p.deep]
+    assert left == [] and sorted(listed) == ["", "a", "a/b", "a/b/c"]
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format(formats.SCAN).option("path", str(tmp_path / "nowhere")).load().count()
+
+
+def test_log_format_goes_on_where_it_ended(spark, tmp_path):
+    formats.register(spark)
+    folder, out = tmp_path / "log", str(tmp_path / "out")
+    (folder / "sub").mkdir(parents=True)
+    one, two = folder / "one.json", folder / "sub" / "two.json"
+
+    def run():
+        stream = spark.readStream.format(formats.LOG).option("path", str(folder)).option("span", 50).load()
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        writer.start(out).awaitTermination()
+        return rows(spark.read.parquet(out), "shard", "position", "hash", "corrupt")
+
+    first = ['{"h":"a","p":"x","s":1,"l":5}\n', '{"h":"broken\n', '{"h":"b","p":"é","s":2,"d":true,"is":{"width":3,"height":4},"at":{"k":"v"}}\n']
+    one.write_text("".join(first) + '{"h":"wai')
+    (folder / "other.txt").write_text("no log")
+    expected = [("one.json", 0, "a", None), ("one.json", 30, None, '{"h":"broken'), ("one.json", 43, "b", None)]
+    assert run() == expected
+    with open(one, "a") as file:
+        file.write('ting","p":"y"}\n\n{"h":5}\n[]\n')
+    two.write_text('{"h":"c","p":"z"}\n' * 20)
+    size = len("".join(first).encode())
+    expected += [("one.json", size, "waiting", None), ("one.json", size + 25, None, '{"h":5}'), ("one.json", size + 33, None, "[]")]
+    expected += [("sub/two.json", 18 * i, "c", None) for i in range(20)]
+    assert run() == expected and run() == expected
+    batch = spark.read.format(formats.LOG).option("path", str(folder)).load()
+    assert rows(batch, "shard", "position", "hash", "corrupt") == expected
+    record = batch.filter("hash = 'b'").first()
+    assert (record["path"], record["missing"], record["image_size"]["height"], record["attributes"]) == ("é", True, 4, {"k": "v"})

@@ -383,6 +383,14 @@ ORACLE: dict[str, str] = {
       AS t(repo, base, codec, compressed)
     )
     SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "scan_format": """
+    WITH d AS (SELECT source || '/' || lang || '/' || doc_id AS path, strlen(text)::BIGINT AS size, source, lang FROM documents)
+    SELECT 'file' AS kind, path, size FROM d
+    UNION ALL SELECT 'again', path, size FROM d WHERE source = 'src1'
+    UNION ALL SELECT DISTINCT 'dir', source, NULL::BIGINT FROM d
+    UNION ALL SELECT DISTINCT 'dir', source || '/' || lang, NULL::BIGINT FROM d""",
+    "log_format": f"""
+    WITH {LOG} SELECT path, hash, size, last_modified, missing, NULL::VARCHAR AS corrupt FROM log""",
     "verified_removal": f"""
     WITH d AS (SELECT lang || '/' || doc_id AS path, doc_id, {HASH.format(t='text')} AS hash, strlen(text) AS size, lang FROM documents),
     g AS (

@@ -18,7 +18,7 @@ from twinfinder.operators import (
 from twinfinder.plans.skew import find_hot_keys
 from twinfinder.schema import records
 from twinfinder.session import checkpoint_folder, checkpointed, configure
-from twinfinder.sources import catalog, log as logs, report as reports
+from twinfinder.sources import catalog, formats, log as logs, report as reports
 from twinfinder.sources.table import from_table
 from twinfinder.streaming import state as streams
 
@@ -340,6 +340,50 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def q_scan_format(spark, sf):
+    """Documents written out as files, and scanned there: files by path and size, and directories."""
+    folder = _local_folder(spark)
+    docs = table(spark, sf, "documents")
+    _write_files(docs.select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"), folder)
+    formats.register(spark)
+    scan = spark.read.format(formats.SCAN).option("path", folder).option("tasks", 8)
+    one = scan.option("push", "true").load().filter("kind = 'file' AND path LIKE 'src1/%'")
+    return scan.option("push", "false").load().select("kind", "path", "size").unionByName(
+        one.select(F.lit("again").alias("kind"), "path", "size")
+    )
+
+
+def q_log_format(spark, sf):
+    """Events as log files that grow while a stream reads them: it goes on behind what it has read."""
+    folder = _local_folder(spark)
+    os.makedirs(f"{folder}/log")
+    lines = event_log(spark, sf).select("seq", F.to_json(F.struct(
+        F.col("hash").alias("h"), F.col("path").alias("p"), F.col("size").alias("s"), F.col("last_modified").alias("l"),
+        F.col("missing").alias("d"),
+    )).alias("line"))
+    formats.register(spark)
+    for half in range(2):
+        _append_lines(lines.filter(F.col("seq") % 2 == half).repartition(4, F.col("seq") % 4), f"{folder}/log")
+        stream = spark.readStream.format(formats.LOG).option("path", f"{folder}/log").option("span", 100_000).load()
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets")
+        writer.trigger(availableNow=True).start(f"{folder}/read").awaitTermination()
+    read = spark.read.schema(stream.schema).parquet(f"{folder}/read")
+    return read.select("path", "hash", "size", "last_modified", "missing", "corrupt")
+
+
+def _append_lines(lines: DataFrame, folder: str) -> None:
+    """Add the lines of each partition to a file of its own, in one write."""
+
+    def write(batches):
+        for batch in batches:
+            for number, rows in batch.groupby(batch["seq"] % 4 // 2):
+                with open(f"{folder}/{number}.json", "a", encoding="utf-8") as file:
+                    file.write("".join(line + "\n" for line in rows["line"]))
+            yield batch[["seq"]]
+
+    lines.coalesce(1).mapInPandas(write, "seq bigint").count()
+
+
 def q_reconciled_status(spark, sf):
     """One repo against another by sketches of their contents: equal buckets of the target are not read."""
     folder = _new_folder(spark)
@@ -879,6 +923,8 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "scan_format": q_scan_format,
+    "log_format": q_log_format,
     "reconciled_status": q_reconciled_status,
     "verified_removal": q_verified_removal,
     "incremental_groups": q_incremental_groups,
