@@ -23,7 +23,8 @@ from twinfinder.llm.common import slices
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64  # pieces of up to so many bytes are merged together
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 24_000_000
+UNMERGED = 1 << 62  # above every rank * size + position of a piece, however long
 MERGED_TOGETHER = 4_000
 
 WS, LETTER, NUMBER, OTHER, END = range(5)
@@ -76,12 +77,14 @@ def load_ranks(path: str) -> list[bytes]:
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     """The class of every code point: white space, letter, number, or other."""
-    points = "".join(chr(c) for c in range(0xD800)) + "".join(chr(c) for c in range(0xE000, 0x110000))
     found = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WS, r"\s+")):
-        for match in regex.finditer(pattern, points):
-            a, b = (p if p < 0xD800 else p + 0x800 for p in match.span())
-            found[a:b] = kind
+    for start in range(0, 0x110000, 0x800):  # in slices, of which the surrogates are one
+        if start == 0xD800:
+            continue
+        points = "".join(map(chr, range(start, start + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WS, r"\s+")):
+            for match in regex.finditer(pattern, points):
+                found[start + match.start() : start + match.end()] = kind
     return found
 
 
@@ -200,7 +203,7 @@ def merge_one(piece: bytes, ranks: Ranks) -> bytes:
     """The ids of one long piece, by the same tree in plain lists."""
     n = len(piece)
     size = 1 << (n - 1).bit_length()
-    none, pairs = int(NONE), ranks.pairs
+    none, pairs = UNMERGED, ranks.pairs
     ids = ranks.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
@@ -301,28 +304,37 @@ class ByteBpe:
 
     The token list is broadcast once; it is the vocabulary, whose size does not depend on the data. `encode` gives
     the ids as a binary column of little-endian unsigned 32-bit integers, the format of a token file; a null text
-    counts as empty and gives no ids. `decode` gives the bytes of such a column; null gives null. Texts of any
-    length are encoded whole. Other columns are not touched, so their names cannot clash.
+    counts as empty and gives no ids. `decode` gives the bytes of such a column; null gives null. `round_trip` is a
+    struct of both (`ids`, and `decoded` from these ids) from one pass, so that a task holds one worker with one
+    vocabulary. Texts of any length are encoded whole. Other columns are not touched, so their names cannot clash.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         tokens = spark.sparkContext.broadcast(tuple(load_ranks(path)))
 
+        def ids_of(batch: pa.Array, encoder: Encoder) -> list[bytes]:
+            texts = [t or "" for t in batch.to_pylist()]
+            return [ids for a, b in slices(texts) for ids in encoder.encode(texts[a:b])]
+
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(path, tokens.value)
             for batch in batches:
-                texts = [t or "" for t in batch.to_pylist()]
-                out: list[bytes] = []
-                for a, b in slices(texts):
-                    out += encoder.encode(texts[a:b])
-                yield pa.array(out, pa.binary())
+                yield pa.array(ids_of(batch, encoder), pa.binary())
 
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ranks = _encoder(path, tokens.value).ranks
             for batch in batches:
                 yield pa.array([None if x is None else decode_ids(x, ranks) for x in batch.to_pylist()], pa.binary())
 
+        def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = _encoder(path, tokens.value)
+            for batch in batches:
+                ids = ids_of(batch, encoder)
+                decoded = pa.array((decode_ids(x, encoder.ranks) for x in ids), pa.binary())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
         self._encode = F.arrow_udf(encode, "binary")
+        self._round_trip = F.arrow_udf(round_trip, "struct<ids: binary, decoded: binary>")
         self._decode = F.arrow_udf(decode, "binary")
 
     def encode(self, text: Column | str) -> Column:
@@ -331,8 +343,11 @@ class ByteBpe:
     def decode(self, ids: Column | str) -> Column:
         return self._decode(ids)
 
+    def round_trip(self, text: Column | str) -> Column:
+        return self._round_trip(text)
+
 
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`docs` with the ids of every text and the bytes that they decode to; columns of these names are replaced."""
-    bpe = ByteBpe(docs.sparkSession, path)
-    return docs.withColumn(ids, bpe.encode(F.col(text))).withColumn(decoded, bpe.decode(F.col(ids)))
+    both = ByteBpe(docs.sparkSession, path).round_trip(F.col(text))
+    return docs.withColumns({ids: both["ids"], decoded: both["decoded"]})
