@@ -301,6 +301,16 @@ def test_streams_over_several_batches(spark, make, tmp_path):
     whole = spark.read.parquet(folder)
     assert rows(streams.read_latest(spark, out), "path", "hash", "missing") == rows(index.latest(whole), "path", "hash", "missing")
 
+    assert streams.merge_latest(spark, out) == 2 and streams.clean_latest(spark, out) == 3
+    make({"path": "p", "hash": "h9", "size": 9, "seq": 50}).coalesce(1).write.mode("append").parquet(folder)
+    streams.write_latest(streams.latest_stream(stream), out, str(tmp_path / "c1")).awaitTermination()
+    again = index.latest(spark.read.parquet(folder))
+    assert rows(streams.read_latest(spark, out), "path", "hash", "missing") == rows(again, "path", "hash", "missing")
+    assert streams.merge_latest(spark, out) == 3
+    assert rows(streams.read_latest(spark, out), "path", "hash", "missing") == rows(again, "path", "hash", "missing")
+    stream = streams.read_stream(spark, folder, schema, files_per_batch=1).filter("seq < 50")
+    whole = whole.filter("seq < 50")
+
     out = str(tmp_path / "contents")
     streams.write_contents(streams.contents_stream(stream), out, str(tmp_path / "c2")).awaitTermination()
     contents = streams.read_contents(spark, out)

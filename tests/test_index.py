@@ -365,3 +365,46 @@ def test_stored_states_need_no_exchange_of_contents(spark, make):
     assert catalog.drop_repo(spark, "first", database)
     assert rows(spark.table(f"{database}.{catalog.STATES}").select("repo").distinct(), "repo") == [("second",)]
     spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_a_failed_exchange_is_finished_by_the_next_reader(spark, make, monkeypatch):
+    database = "twinfinder_exchange"
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+    for name in ("plain", "Größe"):
+        catalog.create_repo(spark, name, f"/{name}", database=database)
+        catalog.append_records(spark, name, make({"path": "a", "hash": "1", "size": 1, "seq": 1}, {"path": "a", "hash": "2", "size": 2, "seq": 2}), database)
+
+    class Crash(RuntimeError):
+        pass
+
+    def crash(*args):
+        raise Crash
+
+    for name in ("plain", "Größe"):
+        with monkeypatch.context() as patch:
+            patch.setattr(catalog, "_take_place", crash)
+            with pytest.raises(Crash):
+                catalog.prune_repo(spark, name, database=database)
+    assert rows(catalog.list_repos(spark, database=database), "name", "path") == [("Größe", "/Größe"), ("plain", "/plain")]
+    for name in ("plain", "Größe"):
+        assert rows(catalog.read_repo(spark, name, database), "repo", "hash") == [(name, "2")]
+    # A table that cannot be read does not hide the others.
+    spark.sql(f"CREATE TABLE {database}.broken (a int) USING parquet")
+    catalog._set(spark, f"{database}.broken", name="broken", path="/", buckets=1)
+    plain = catalog._properties
+
+    def broken(session, table):
+        if "broken" in table:
+            raise catalog.AnalysisException("no")
+        return plain(session, table)
+
+    monkeypatch.setattr(catalog, "_properties", broken)
+    with pytest.warns(UserWarning, match="broken cannot be read"):
+        assert catalog.list_repos(spark, database=database).count() == 2
+    monkeypatch.undo()
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_checkpoints_of_a_cluster_need_a_shared_folder():
+    from twinfinder.session import is_local_folder
+    assert is_local_folder("/tmp/x") and is_local_folder("file:/tmp/x") and not is_local_folder("hdfs://host/x")

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from textwrap import dedent
 
-from twinfinder.sources.report import STYLE
+# The style sheet that HTML reports begin with.
+STYLE = (
+    ":root { color-scheme: light dark; font: 1rem/1.5 system-ui; }",
+    ".group + .group { border-top: 2px dotted; }",
+    ".file { display: grid; gap: 0.25rem; padding: 0.5rem 0; }",
+    "img { height: 8rem; object-fit: contain; }",
+    "code { overflow-wrap: anywhere; }",
+)
 
 HASH = "CASE WHEN strlen({t}) < 20 THEN lower(hex(encode({t}))) ELSE sha1({t}) END"
 TEXT_HASH = (
@@ -383,6 +390,17 @@ ORACLE: dict[str, str] = {
       AS t(repo, base, codec, compressed)
     )
     SELECT about.repo, path, hash, size, missing, base, codec, compressed FROM a CROSS JOIN about""",
+    "fallback_hash": """
+    WITH r AS (SELECT doc_id, repeat(text, 100) AS content FROM documents)
+    SELECT doc_id, CASE WHEN strlen(content) > 1048576
+                        THEN 'fallback:' || sha256(encode(content)[1048577:1150976]) END AS fallback_hash
+    FROM r""",
+    "update_repo": f"""
+    WITH d AS (
+      SELECT lang || '/' || doc_id AS path, lang, text, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS now FROM documents
+    )
+    SELECT path, {HASH.format(t='now')} AS hash, strlen(now)::BIGINT AS size, lang = 'es' AS missing
+    FROM d WHERE lang IN ('fr', 'es')""",
     "scan_format": """
     WITH d AS (SELECT source || '/' || lang || '/' || doc_id AS path, strlen(text)::BIGINT AS size, source, lang FROM documents)
     SELECT 'file' AS kind, path, size FROM d

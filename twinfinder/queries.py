@@ -340,6 +340,24 @@ def q_parquet_log(spark, sf):
     return logs.read_log(spark, folder).select("path", "seq", "hash", F.col("bucket").cast("bigint"))
 
 
+def q_fallback_hash(spark, sf):
+    """The hash of what follows the first MiB: texts repeated a hundred times, of which the longer ones reach that far."""
+    content = F.repeat("text", 100).cast("binary")
+    return table(spark, sf, "documents").select("doc_id", hashing.fallback_hash(content).alias("fallback_hash"))
+
+
+def q_update_repo(spark, sf):
+    """The records of a second scan of documents written out as files: French ones have changed, Spanish ones are gone."""
+    folder = _local_folder(spark)
+    docs = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "doc_id").alias("path"), "text", "lang")
+    _write_files(docs, folder)
+    nothing = records(spark.createDataFrame([], "repo string"))
+    first = checkpointed(update.update_repo(spark, folder, nothing, "docs")[0])
+    _spoil(docs, folder)
+    second = update.update_repo(spark, folder, first, "docs")[0]
+    return second.select("path", "hash", "size", "missing")
+
+
 def q_scan_format(spark, sf):
     """Documents written out as files, and scanned there: files by path and size, and directories."""
     folder = _local_folder(spark)
@@ -923,6 +941,8 @@ QUERIES: dict[str, Query] = {
     "parquet_log": q_parquet_log,
     "catalog": q_catalog,
     "catalog_changes": q_catalog_changes,
+    "fallback_hash": q_fallback_hash,
+    "update_repo": q_update_repo,
     "scan_format": q_scan_format,
     "log_format": q_log_format,
     "reconciled_status": q_reconciled_status,

@@ -28,18 +28,26 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of the session's checkpoints, which all executors share.
 
-    It is the one in `spark.checkpoint.dir`. Where that is unset, it is a folder of the warehouse, which a cluster
-    shares as well.
+    It is the one in `spark.checkpoint.dir`. Where that is unset, it is a folder of the warehouse; on a cluster whose
+    warehouse is a folder of some machine, that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if not folder:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not shared and is_local_folder(warehouse) and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
         folder = sc.getCheckpointDir()
     return folder
 
 
+def is_local_folder(path: str) -> bool:
+    """Whether a folder is one of a machine's own file system."""
+    return path.startswith("file:") or "://" not in path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and return a frame that reads it back.
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+import warnings
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfinder.operators.index import latest, prune
@@ -29,6 +32,11 @@ def _table(name: str, database: str) -> str:
     return f"`{database}`.`{'repo_' + name if plain else 'hex_' + name.encode().hex()}`"
 
 
+def _next_name(name: str) -> str:
+    """A name for what is to replace a repo; in the catalog it shows `_next_`, however the repo is called."""
+    return f"{'x' if not re.fullmatch('[a-z0-9_]+', name) else name}_next_{uuid.uuid4().hex}"
+
+
 def _quoted(value: object) -> str:
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
@@ -45,7 +53,40 @@ def _properties(spark: SparkSession, table: str) -> dict[str, str]:
 
 
 def exists(spark: SparkSession, name: str, database: str = DATABASE) -> bool:
-    return spark.catalog.tableExists(_table(name, database))
+    return spark.catalog.tableExists(_table(name, database)) or _finish_exchange(spark, name, database)
+
+
+def _replacements(spark: SparkSession, database: str) -> dict[str, str]:
+    """Tables that are complete and wait to take the place of a repo, by its name."""
+    found = {}
+    for table in spark.catalog.listTables(database):
+        if "_next_" in table.name:
+            target = _properties(spark, f"`{database}`.`{table.name}`").get("replaces")
+            if target:
+                found[target] = f"`{database}`.`{table.name}`"
+    return found
+
+
+def _finish_exchange(spark: SparkSession, name: str, database: str) -> bool:
+    """Put a complete replacement in the place of a repo that is gone: a writer failed between the two steps."""
+    waiting = _replacements(spark, database).get(name) if spark.catalog.databaseExists(database) else None
+    if waiting is not None:
+        _take_place(spark, waiting, name, database)
+    return waiting is not None
+
+
+def _take_place(spark: SparkSession, waiting: str, name: str, database: str) -> None:
+    spark.sql(f"ALTER TABLE {waiting} RENAME TO {_table(name, database)}")
+    _set(spark, _table(name, database), name=name)
+    spark.sql(f"ALTER TABLE {_table(name, database)} UNSET TBLPROPERTIES IF EXISTS ('{PREFIX}replaces')")
+
+
+def _exchange(spark: SparkSession, other: str, name: str, database: str) -> None:
+    """Let `other` take the place of `name`. From the first step on it is known what it replaces, so a failure between
+    dropping and renaming is mended by whoever opens the repo next."""
+    _set(spark, _table(other, database), replaces=name)
+    spark.sql(f"DROP TABLE {_table(name, database)}")
+    _finish_exchange(spark, name, database)
 
 
 def _require(spark: SparkSession, name: str, database: str) -> str:
@@ -81,12 +122,19 @@ def create_repo(
 
 
 def list_repos(spark: SparkSession, verbose: bool = False, database: str = DATABASE) -> DataFrame:
-    """Registered repos by name; `verbose` adds layout. Tables that are no repos are left out."""
+    """Registered repos by name; `verbose` adds layout. Tables that are no repos, or cannot be read, are left out."""
     rows = []
     if spark.catalog.databaseExists(database):
+        for name in _replacements(spark, database):
+            exists(spark, name, database)
         for table in spark.catalog.listTables(database):
-            found = _properties(spark, f"`{database}`.`{table.name}`")
-            if {"name", "path", "buckets"} <= set(found):
+            try:
+                found = _properties(spark, f"`{database}`.`{table.name}`")
+                spark.table(f"`{database}`.`{table.name}`")
+            except (AnalysisException, Py4JJavaError, ParseException) as error:
+                warnings.warn(f"{table.name} cannot be read: {error}", stacklevel=2)
+                continue
+            if {"name", "path", "buckets"} <= set(found) and "_next_" not in table.name:
                 rows.append((
                     found["name"], found["path"], int(found["buckets"]), found.get("codec", "json"),
                     found.get("compressed") == "true",
@@ -159,11 +207,10 @@ def configure_repo(
     new_compressed = (found["compressed"] == "true") if compressed is None else compressed
     if (new_codec, new_compressed) == (found["codec"], found["compressed"] == "true"):
         return
-    other = f"{name}_{uuid.uuid4().hex}"
+    other = _next_name(name)
     create_repo(spark, other, found["path"], int(found["buckets"]), new_codec, new_compressed, database)
     append_records(spark, other, spark.table(table).drop("bucket"), database)
-    drop_repo(spark, name, database)
-    rename_repo(spark, other, name, database)
+    _exchange(spark, other, name, database)
 
 
 def open_repos(
@@ -192,11 +239,10 @@ def prune_repo(
     table = _require(spark, name, database)
     found = _properties(spark, table)
     n = int(found["buckets"]) if buckets is None else buckets
-    other = f"{name}_{uuid.uuid4().hex}"
+    other = _next_name(name)
     create_repo(spark, other, found["path"], n, found["codec"], found["compressed"] == "true", database)
     append_records(spark, other, prune(read_repo(spark, name, database), n, keep_deleted).drop("bucket"), database)
-    drop_repo(spark, name, database)
-    rename_repo(spark, other, name, database)
+    _exchange(spark, other, name, database)
     return spark.table(table).count()
 
 

@@ -25,11 +25,13 @@ def from_table(
 ) -> DataFrame:
     """Records of a table: hash and size of its content, and whatever media columns are given as `extra`.
 
+    Without `seq` a record is as new as its content: of several with one path the last modified wins.
+
     One narrow pass over the table. Store or checkpoint the result, so that contents are read only once.
     """
     given = {
         "repo": F.lit("table") if repo is None else _c(repo),
-        "seq": _c(seq) if seq is not None else F.lit(0),
+        "seq": _c(mtime if seq is None else seq),
         "hash": content_hash(_c(content)),
         "path": _c(path),
         "size": F.octet_length(_c(content)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from twinfinder.operators.index import latest
 from twinfinder.plans.skew import HotKeys, skewed_join
+from twinfinder.sources.versions import Versions
 
 KEYS = ["repo", "path"]
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -48,8 +50,46 @@ def write_latest(updates: DataFrame, table_path: str, checkpoint: str, **trigger
     return writer.foreachBatch(store).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _stored(spark: SparkSession, table_path: str) -> tuple[DataFrame, int]:
+    """What is stored of a stream: the merged part and the batches after it; and the number of the last batch."""
+    versions = Versions(spark, table_path)
+    _, state = versions.current()
+    folders = versions._fs.globStatus(versions._path(f"{versions.folder}/batch=*")) or []
+    numbers = sorted(int(f.getPath().getName()[len("batch="):]) for f in folders)
+    newer = [n for n in numbers if n > state.get("through", -1)]
+    paths = [f"{versions.folder}/batch={n}" for n in newer]
+    if state:
+        paths.append(versions.part_path(state["part"]))
+    return spark.read.parquet(*paths), max([state.get("through", -1), *numbers])
+
+
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
-    return latest(spark.read.parquet(table_path).drop("batch"))
+    return latest(_stored(spark, table_path)[0])
+
+
+def merge_latest(spark: SparkSession, table_path: str) -> int:
+    """Replace the stored batches of `write_latest` by the current state; the number of the last batch in it.
+
+    The merged part counts from the moment its pointer is written; a stream may go on meanwhile, its later batches
+    stay beside it. `clean_latest` deletes what was merged.
+    """
+    stored, through = _stored(spark, table_path)
+    versions, part = Versions(spark, table_path), uuid.uuid4().hex
+    number, _ = versions.current()
+    latest(stored).write.parquet(versions.part_path(part))
+    versions.commit(number, {"part": part, "through": through})
+    return through
+
+
+def clean_latest(spark: SparkSession, table_path: str) -> int:
+    """Delete the batches that are merged; call it when no other job reads the table. How many there were."""
+    versions = Versions(spark, table_path)
+    _, state = versions.current()
+    folders = versions._fs.globStatus(versions._path(f"{versions.folder}/batch=*")) or []
+    merged = [f.getPath() for f in folders if int(f.getPath().getName()[len("batch="):]) <= state.get("through", -1)]
+    for folder in merged:
+        versions._fs.delete(folder, True)
+    return len(merged)
 
 
 def contents_stream(records: DataFrame) -> DataFrame:
