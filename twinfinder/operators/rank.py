@@ -8,8 +8,9 @@ from twinfinder.functions.media import rank_area
 from twinfinder.functions.text import file_name, join_path
 from twinfinder.operators.exact import GROUP, ROW, candidates, content_keys, repeated
 from twinfinder.operators.index import live, with_records
-from twinfinder.plans.numbering import numbered, row_numbers
+from twinfinder.plans.numbering import hot_row_numbers, numbered, row_numbers
 from twinfinder.plans.skew import HotKeys, find_hot_keys, skewed_join
+from twinfinder.session import checkpointed
 
 
 def keep_order(df: DataFrame) -> list[Column]:
@@ -27,17 +28,30 @@ def keep_order(df: DataFrame) -> list[Column]:
 
 def rank_group(groups: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Add `rank`: 1 for the copy to keep, then 2, 3, … in keep order. Very large groups are ranked in parts."""
+    ordered, names = _ordered(groups)
+    return row_numbers(ordered, GROUP, [F.col(n).asc() for n in names], "rank", hot).drop(*names)
+
+
+def _ordered(groups: DataFrame) -> tuple[DataFrame, list[str]]:
     order = keep_order(groups)
     names = [f"_o{i}" for i in range(len(order))]
-    ordered = groups.withColumns(dict(zip(names, order)))
-    return row_numbers(ordered, GROUP, [F.col(n).asc() for n in names], "rank", hot).drop(*names)
+    return groups.withColumns(dict(zip(names, order))), names
 
 
 def ranked_exact(state: DataFrame, width: str | None = None, height: str | None = None, **limits) -> DataFrame:
-    """Exact groups with ranks; large groups are looked for once, for grouping and ranking together."""
+    """Exact groups with ranks; large groups are looked for once, for grouping and ranking together.
+
+    If there are any, records are stored before they are split. The sort that numbers large groups counts them as well.
+    """
     keyed = content_keys(candidates(state, width, height))
     hot = find_hot_keys(keyed, GROUP, **limits)
-    return rank_group(repeated(keyed, hot), hot)
+    none = HotKeys(GROUP, {})
+    if not hot:
+        return rank_group(repeated(keyed, none), none)
+    cold, large = hot.split(checkpointed(keyed))
+    large, names = _ordered(large)
+    large = hot_row_numbers(large, GROUP, [F.col(n).asc() for n in names], "rank", "copies").drop(*names)
+    return rank_group(repeated(cold, none), none).unionByName(large.filter(F.col("copies") > 1))
 
 
 def survivors(groups: DataFrame) -> DataFrame:

@@ -48,7 +48,17 @@ def row_numbers(
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     cold, large = hot.split(df)
     cold = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
+    return cold.unionByName(hot_row_numbers(large, keys, order, name))
+
+
+def hot_row_numbers(
+    large: DataFrame, keys: list[str], order: list[Column], name: str, count: str | None = None
+) -> DataFrame:
+    """`row_numbers` of a few keys with very many rows each; `count` names a column for how many their key has.
+
+    Numbering all rows together tells both where a key starts and how large it is.
+    """
     large = numbered(large, [F.col(k).asc() for k in keys] + order, "_pos")
-    starts = large.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    starts = large.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias(count or "_rows"))
     large = large.join(F.broadcast(starts), keys).withColumn(name, F.col("_pos") - F.col("_first") + 1)
-    return cold.unionByName(large.drop("_pos", "_first"))
+    return large.drop("_pos", "_first", "_rows")
