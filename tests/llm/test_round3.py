@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinfinder.llm import ball_codes, bpe, chat, importance, line_dedup, mixing, url_reputation
+import corpus_pipeline
+from twinfinder.llm import ball_codes, bpe, chat, digest, importance, language, line_dedup, mixing, quality, url_reputation
+from twinfinder.llm.queries import QUERIES
 from twinfinder.llm.settings import RANKS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -280,3 +282,97 @@ def test_names_of_hosts(spark):
         ("example.co.uk", "co.uk"), ("example.com", "com"), ("example.org", "org"), ("10.0.0.1", ""),
         ("localhost", "localhost"), ("co.uk", "co.uk"), ("[::1]", ""), ("", ""),
     ]
+
+
+# --- registered queries without SQL, against brute force ---------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def plain_digest(text):
+    """The quartile digest, byte by byte."""
+    counts, padded = [0] * digest.BUCKETS, b"\0\0" + text + b"\0\0\0"
+    for i in range(len(text) + 2):
+        for places, salt in digest.TRIPLETS:
+            mixed = salt
+            for at, factor in zip(places, digest.BYTE_FACTORS):
+                mixed = (mixed ^ padded[i + at] * factor) * salt % 2**32
+                mixed ^= mixed >> 15
+            counts[mixed >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[64 * k - 1] for k in (1, 2, 3))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    length = min(255, int(math.log(len(text) + 1) / math.log(1.1)))
+    ratios = 16 * int(15 * q1 / q3) + int(15 * q2 / q3) if q3 else 0
+    body = bytes(a << 6 | b << 4 | c << 2 | d for a, b, c, d in zip(*[iter(codes)] * 4))
+    return bytes([length, ratios]).hex() + body.hex()
+
+
+def plain_likeness(a, b):
+    a, b = bytes.fromhex(a), bytes.fromhex(b)
+    quarters = [[x >> s & 3 for x in side[2:] for s in (6, 4, 2, 0)] for side in (a, b)]
+    score = sum((0, 1, 3, 6)[abs(x - y)] for x, y in zip(*quarters)) + min(4 * abs(a[0] - b[0]), 100)
+    score += sum(3 * abs((a[1] >> s & 15) - (b[1] >> s & 15)) for s in (4, 0))
+    return 1 - min(score, digest.MOST) / digest.MOST
+
+
+@needs_data
+def test_op9_equals_the_plain_digest(spark, documents):
+    found = {r["doc_id"]: r for r in QUERIES["op9_fingerprints"](spark, SF).collect()}
+    assert len(found) == len(documents)
+    descending = documents[::-1]
+    for (doc, text), (_, after) in zip(descending, descending[1:] + descending[:1]):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        r = found[doc]
+        prints = [plain_digest(t.encode()) for t in (text, edited, after)]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert [r["fingerprint"], r["edited_fingerprint"]] == prints[:2]
+        assert abs(r["near_edited"] - plain_likeness(*prints[:2])) < 1e-12 and abs(r["near_next"] - plain_likeness(prints[0], prints[2])) < 1e-12
+
+
+@needs_data
+def test_op10_equals_the_public_library(spark, documents):
+    public_tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    tokens = bpe.load_ranks(public_tokenizers.path(RANKS))
+    reference = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    found = {r["doc_id"]: r for r in QUERIES["op10_byte_bpe"](spark, SF).collect()}
+    for doc, text in documents:
+        ids = np.array(reference.encode_ordinary(text), dtype="<u4")
+        assert (found[doc]["n_tokens"], found[doc]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert found[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["op3_language", "op5_lm_score", "op8_quality"])
+def test_trained_queries_answer_for_every_document(spark, documents, name):
+    found = QUERIES[name](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in found) == [d for d, _ in documents]
+    assert all(math.isfinite(r["score"]) for r in found)
+    if name == "op5_lm_score":
+        counts, texts = {}, {d: [w.encode() for w in re.findall(r"[^ \t-\r]+", t.translate(A_TO_Z))] + [b"\n"] for d, t in documents}
+        for r in found:
+            if not r["held_out"]:
+                for w in texts[r["doc_id"]]:
+                    counts[w] = counts.get(w, 0) + 1
+        n, v = sum(counts.values()), len(counts)
+        for r in found:
+            words = texts[r["doc_id"]]
+            base = sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in counts for w in words), n)
+            assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+
+
+@needs_data
+def test_pipeline_runs_all_its_stages(spark, documents):
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    texts = dict(documents)
+    kept = found.collect()
+    assert kept and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in kept)
+    assert QUERIES["pipeline"] is corpus_pipeline.run

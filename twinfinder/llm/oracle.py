@@ -15,6 +15,29 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+# Every two sets of word 5-grams that share one are counted and compared exactly; classes are closed step by step.
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN NULL WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS grams
+  FROM w
+), s AS MATERIALIZED (
+  SELECT grams, min(doc_id) AS id, count(*) AS members, len(grams) AS n FROM g WHERE grams IS NOT NULL GROUP BY grams
+), t AS MATERIALIZED (SELECT id, n, unnest(grams) AS gram FROM s),
+p AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM t a JOIN t b ON a.gram = b.gram AND a.id <> b.id AND a.n * 4 <= b.n * 5 AND b.n * 4 <= a.n * 5 GROUP BY a.id, b.id
+), l AS MATERIALIZED (SELECT a, b FROM p WHERE shared * 5 >= (na + nb - shared) * 4),
+r AS (SELECT id, id AS other FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT id, min(other) AS class_id FROM r GROUP BY id),
+k AS (SELECT a AS id, count(*) AS links FROM l GROUP BY a)
+SELECT g.doc_id, coalesce(class_id, g.doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links,
+       coalesce(members - 1, 0)::BIGINT AS copies, coalesce(class_id, g.doc_id) = g.doc_id AS keep
+FROM g LEFT JOIN s ON g.grams = s.grams LEFT JOIN c ON c.id = s.id LEFT JOIN k ON k.id = s.id
+"""
+
 OP4 = r"""
 WITH p AS (
   SELECT page_id,
@@ -248,6 +271,7 @@ FROM r""")
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": OP1,
+    "op2_ngram_join": OP2,
     "op4_url_filter": OP4,
     "op6_mixing": OP6,
     "op7_chat": OP7,
