@@ -164,12 +164,13 @@ def leaves_of(nodes: DataFrame, runs: int) -> DataFrame:
     """(`_leaf`, `_node`, `_members`): the buckets to compare, of all runs. `nodes` has `_node` and `_sketch`."""
     roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(r), F.lit("run")), F.col("_sketch")) for r in range(runs)]))
     rows = nodes.select("_node", F.explode(F.array_distinct(roots)).alias("_leaf"))
-    sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
+    # Each row meets the one size of its bucket; that so many rows come out, whatever the texts, keeps the work even.
+    sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_members"))
     sized = checkpointed(rows.join(sizes, "_leaf").select("_leaf", "_node", "_members"))
-    small = F.col("_members") <= SMALL
+    small = F.col("_members").between(2, SMALL)
     found = [sized.filter(small)]
     # Rows of buckets to split carry their sketches from here on. There are few of them, so they go into few files.
-    large = sized.filter(~small)
+    large = sized.filter(F.col("_members") > SMALL)
     files = 1 + FAN * large.count() // ROWS_PER_FILE
     large = checkpointed(large.join(nodes.select("_node", "_sketch"), "_node").coalesce(files))
     for _ in range(DEEPEST):
@@ -191,7 +192,7 @@ def leaves_of(nodes: DataFrame, runs: int) -> DataFrame:
         sizes = below.groupBy("_leaf").agg(F.count("*").alias("_members")).filter(F.col("_members") >= 2)
         split = below.join(sizes, "_leaf")
         found.append(split.filter(small).select("_leaf", "_node", "_members"))
-        large = checkpointed(split.filter(~small).coalesce(files))
+        large = checkpointed(split.filter(F.col("_members") > SMALL).coalesce(files))
     return _all_of([*found, large.select("_leaf", "_node", "_members")])
 
 
