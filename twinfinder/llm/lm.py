@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,14 @@ INPUTS, CLASS_WORDS, ENDINGS = 4096, 192, 64
 CONTEXT, DIMS = 4, 16
 DISCOUNT = 0.5
 # The driver starts the vectors on a sample of about so many tokens, at most WARM_ROWS texts of WARM_LONGEST tokens.
-WARM_TOKENS, WARM_ROWS, WARM_LONGEST, WARM_RATE = 500_000, 4000, 4096, 0.3
+WARM_TOKENS, WARM_ROWS, WARM_LONGEST, WARM_BATCH, WARM_RATE = 500_000, 4000, 4096, 256, 0.3
 ROUNDS = 1  # each round passes over all training texts
-NOISE, BATCH, RATE = 64, 256, 0.1
+NOISE, BATCH, RATE = 64, 1024, 0.15
+TOGETHER = 65_536  # tokens that are prepared together
 HASHES = 1 << 20
 HELD_WORDS = 200_000
-SCORED_TOGETHER = 8192
+SAFE = 60.0  # exponents up to here stay far within single precision
+SCORED_TOGETHER = 1024  # contexts with scores for all classes at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -154,10 +157,20 @@ ROWS = START + 1
 
 def _rows_summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers in `at`, and the sum of the rows of `values` for each."""
+    at = at.astype(np.uint16)  # rows and classes are fewer than 65,536; so short numbers are sorted by their digits
     order = np.argsort(at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(values[order], starts, axis=0)
+    return at[starts].astype(np.int64), np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
@@ -175,18 +188,30 @@ class LogBilinear:
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         """The vector of every context (rows of input numbers, the nearest word first)."""
-        return sum(self.inputs[context[:, i]] * self.places[i] for i in range(CONTEXT))
+        found = self.inputs.take(context[:, 0], axis=0) * self.places[0]
+        for i in range(1, CONTEXT):
+            found += self.inputs.take(context[:, i], axis=0) * self.places[i]
+        return found
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities, normalised over all classes."""
         out = np.empty(len(target))
+        # The bias is one more dimension, which is 1 in all contexts.
+        classes = np.concatenate([self.outputs, self.bias], axis=1).T
+        longest, each = float(np.sqrt((classes**2).sum(axis=0)).max()), np.ones(classes.shape[1], dtype=np.float32)
+        vectors = np.ones((SCORED_TOGETHER, DIMS + 1), dtype=np.float32)
         for a in range(0, len(target), SCORED_TOGETHER):
-            scores = self.predicted(context[a : a + SCORED_TOGETHER]) @ self.outputs.T + self.bias[:, 0]
-            top = scores.max(axis=1)
-            chosen = scores[np.arange(len(scores)), target[a : a + SCORED_TOGETHER]]
-            scores -= top[:, None]
+            of = target[a : a + SCORED_TOGETHER]
+            vectors[: len(of), :DIMS] = self.predicted(context[a : a + SCORED_TOGETHER])
+            scores = vectors[: len(of)] @ classes
+            chosen = scores[np.arange(len(of)), of]
+            top = np.float32(0)
+            # Scores are moved down only where their bound does not keep exponentials within single precision.
+            if longest * float(np.sqrt((vectors[: len(of)] ** 2).sum(axis=1)).max()) > SAFE:
+                top = scores.max(axis=1)
+                scores -= top[:, None]
             np.exp(scores, out=scores)
-            out[a : a + SCORED_TOGETHER] = chosen - top - np.log(scores.sum(axis=1))
+            out[a : a + SCORED_TOGETHER] = chosen - top - np.log(scores @ each)
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, sums: list[np.ndarray], rng, rate: float = RATE) -> None:
@@ -195,18 +220,23 @@ class LogBilinear:
         drawn = np.searchsorted(total / total[-1], rng.random(NOISE), side="right")
         shift = np.log(NOISE * noise).astype(np.float32)
         vectors = self.predicted(context)
-        true = (vectors * self.outputs[target]).sum(axis=1) + self.bias[target, 0] - shift[target]
-        false = vectors @ self.outputs[drawn].T + self.bias[drawn, 0] - shift[drawn]
-        d_true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1
-        d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        back = d_true[:, None] * self.outputs[target] + d_false @ self.outputs[drawn]
+        level = self.bias[:, 0] - shift
+        of_target, of_drawn = self.outputs.take(target, axis=0), self.outputs.take(drawn, axis=0)
+        d_true = _sigmoid(np.einsum("ij,ij->i", vectors, of_target) + level[target]) - 1
+        d_false = vectors @ of_drawn.T
+        d_false += level[drawn]
+        d_false = _sigmoid(d_false)
+        back = d_false @ of_drawn
+        of_target *= d_true[:, None]
+        back += of_target
         places, outputs, bias = (np.zeros_like(p) for p in self.parameters()[1:])
         for i in range(CONTEXT):
-            places[i] = (back * self.inputs[context[:, i]]).sum(axis=0)
-        np.add.at(outputs, target, d_true[:, None] * vectors)
-        np.add.at(outputs, drawn, d_false.T @ vectors)
-        np.add.at(bias[:, 0], target, d_true)
-        np.add.at(bias[:, 0], drawn, d_false.sum(axis=0))
+            places[i] = np.einsum("ij,ij->j", back, self.inputs.take(context[:, i], axis=0))
+        # One row for each token's class and one for each noise class, the gradient of the bias in the last column.
+        true_rows = d_true[:, None] * np.concatenate([vectors, np.ones((len(target), 1), dtype=np.float32)], axis=1)
+        false_rows = np.concatenate([d_false.T @ vectors, d_false.sum(axis=0)[:, None]], axis=1)
+        at, summed = _rows_summed(np.concatenate([target, drawn]), np.concatenate([true_rows, false_rows]))
+        outputs[at], bias[at, 0] = summed[:, :DIMS], summed[:, DIMS]
         # Most input vectors are in no context of a batch, and stay.
         rows, inputs = _rows_summed(context.T.ravel(), (back * self.places[:, None, :]).reshape(-1, DIMS))
         every = slice(None)
@@ -216,21 +246,38 @@ class LogBilinear:
             p[at] -= rate * g / np.sqrt(s[at] + 1e-8)
 
 
-def numbered(tokens: list[bytes], number: dict[bytes, int], classes: np.ndarray, inputs: np.ndarray, singles: int):
-    """Of one text: head number (-1 for others), class and context of every token."""
-    n = len(tokens)
-    at = np.fromiter((number.get(w, -1) for w in tokens), dtype=np.int64, count=n)
+def numbered(texts: list[list[bytes]], number: dict[bytes, int], classes: np.ndarray, inputs: np.ndarray, singles: int):
+    """Of all tokens, text after text: head number (-1 for others), class and context."""
+    flat = list(chain.from_iterable(texts))
+    n = len(flat)
+    at = np.fromiter(map(number.get, flat, repeat(-1)), dtype=np.int64, count=n)
     rare = np.flatnonzero(at < 0)
     target = classes[at] if len(classes) else np.zeros(n, dtype=np.int32)
     source = inputs[at] if len(inputs) else np.zeros(n, dtype=np.int32)
     if len(rare):
-        ends = np.fromiter((ending(tokens[i]) for i in rare.tolist()), dtype=np.int32, count=len(rare))
+        ends = np.fromiter((ending(flat[i]) for i in rare.tolist()), dtype=np.int32, count=len(rare))
         target[rare], source[rare] = singles + ends, INPUTS + ends
-    padded = np.concatenate([np.full(CONTEXT, START, dtype=np.int32), source[:-1]])
-    context = np.stack([padded[CONTEXT - 1 - i : CONTEXT - 1 - i + n] for i in range(CONTEXT)], axis=1)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    context = np.full((n, CONTEXT), START, dtype=np.int32)
+    for i in range(CONTEXT):
+        context[i + 1 :, i] = np.where(place[i + 1 :] > i, source[: max(0, n - i - 1)], START)
     return at, target, context
 
 
+def together(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
+    """The tokens of texts, in lists of texts with about TOGETHER tokens; a longer text is alone."""
+    held, size = [], 0
+    for text in texts:
+        held.append(words_of(text))
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def noise_of(v: Vocabulary) -> np.ndarray:
     """Share of every class among the training tokens, never quite zero."""
     share = v.class_tokens + 0.5
@@ -248,7 +295,7 @@ def warm_start(texts: DataFrame, shared, text: str) -> LogBilinear:
         number, classes, inputs, _, _ = v.tables
         for batch in batches:
             found = [
-                numbered(words_of(t)[-WARM_LONGEST:], number, classes, inputs, v.singles)[1:]
+                numbered([words_of(t)[-WARM_LONGEST:]], number, classes, inputs, v.singles)[1:]
                 for t in batch.column(0).to_pylist()
             ]
             yield pa.RecordBatch.from_pydict(
@@ -266,8 +313,8 @@ def warm_start(texts: DataFrame, shared, text: str) -> LogBilinear:
         context = np.concatenate([np.frombuffer(c, dtype="<i4").reshape(-1, CONTEXT) for _, c in rows])
         order = rng.permutation(len(target))
         sums = [np.full_like(p, 1e-3) for p in model.parameters()]
-        for a in range(0, len(order), BATCH):
-            at = order[a : a + BATCH]
+        for a in range(0, len(order), WARM_BATCH):
+            at = order[a : a + WARM_BATCH]
             model.train(context[at], target[at], noise, sums, rng, WARM_RATE)
     return model
 
@@ -291,19 +338,13 @@ def fit(texts: DataFrame, shared, text: str) -> LogBilinear:
             for p, k in zip(mine.parameters(), known):
                 p[...] = k
             sums = [np.full_like(p, 1e-3) for p in mine.parameters()]
-            rng, seen, held, size = np.random.default_rng(1), 0, [], 0
-            for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    held.append(numbered(words_of(value), number, classes, inputs, v.singles)[1:])
-                    size += len(held[-1][0])
-                    if size >= BATCH:
-                        target, context = (np.concatenate(x) for x in zip(*held))
-                        for a in range(0, size, BATCH):
-                            mine.train(context[a : a + BATCH], target[a : a + BATCH], noise, sums, rng)
-                        seen, held, size = seen + size, [], 0
-            if held:
-                mine.train(np.concatenate([h[1] for h in held]), np.concatenate([h[0] for h in held]), noise, sums, rng)
-                seen += size
+            rng, seen = np.random.default_rng(1), 0
+            texts = (value for batch in batches for value in batch.column(0).to_pylist())
+            for tokens in together(texts):
+                _, target, context = numbered(tokens, number, classes, inputs, v.singles)
+                for a in range(0, len(target), BATCH):
+                    mine.train(context[a : a + BATCH], target[a : a + BATCH], noise, sums, rng)
+                seen += len(target)
             if seen:
                 rows = np.concatenate([mine.inputs, mine.places, mine.outputs, np.repeat(mine.bias, DIMS, axis=1)]).astype(float)
                 out = {"id": pa.array(np.arange(len(rows)), pa.int32()), "tokens": pa.array(np.full(len(rows), float(seen)))}
@@ -344,17 +385,24 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc: str = "
             p[...] = k
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "n_known": [], "base": [], "score": [], "rare": []}
-            for value in batch.column(1).to_pylist():
-                tokens = words_of(value)
-                at, target, context = numbered(tokens, number, classes, inputs, v.singles)
-                known = at[at >= 0]
-                natural = mine.log_probabilities(context, target).sum()
-                out["n_tokens"].append(len(tokens))
-                out["n_known"].append(len(known))
-                out["base"].append(float(base[known].sum()))
-                out["score"].append(float(natural / np.log(10) + within[known].sum()))
-                rare = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
-                out["rare"].append([{"word": w, "n": n, "class": v.class_of(w)} for w, n in rare.items()])
+            for texts in together(batch.column(1).to_pylist()):
+                at, target, context = numbered(texts, number, classes, inputs, v.singles)
+                sizes = np.array([len(t) for t in texts])
+                starts = np.cumsum(sizes) - sizes  # every text has at least its end
+                known = at >= 0
+                natural = mine.log_probabilities(context, target) / np.log(10)
+                head = np.where(known, at, 0)
+                inside = np.where(known, within[head], 0.0) if len(within) else np.zeros(len(at))
+                shares = np.where(known, base[head], 0.0) if len(base) else np.zeros(len(at))
+                out["n_tokens"] += sizes.tolist()
+                out["n_known"] += np.add.reduceat(known.astype(np.int64), starts).tolist()
+                out["base"] += np.add.reduceat(shares, starts).tolist()
+                out["score"] += np.add.reduceat(natural + inside, starts).tolist()
+                rare: list[Counter[bytes]] = [Counter() for _ in texts]
+                unknown = np.flatnonzero(~known)
+                for i, of in zip(unknown.tolist(), (np.searchsorted(starts, unknown, side="right") - 1).tolist()):
+                    rare[of][texts[of][i - starts[of]]] += 1
+                out["rare"] += [[{"word": w, "n": n, "class": v.class_of(w)} for w, n in r.items()] for r in rare]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(out[n], t) for n, t in (
                     ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
