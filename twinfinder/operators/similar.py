@@ -25,7 +25,9 @@ DURATION_TOLERANCE = 2.0
 IMAGE_BITS = 64
 VIDEO_BITS = 192
 # Values that a node probes in one band, at most, and what a probe costs in candidates.
-MOST_PROBES, PROBE_COST = 20_000, 1
+MOST_PROBES, PROBE_COST = 20_000, 4
+# A cut that leaves fewer candidates than this share of all pairs is preferred if it takes so few probes.
+FEW_CANDIDATES, FEW_PROBES = 0.09, 256
 # Distinct values of a key from which on it is cut into segments.
 KEY_NODES = 1_000_000
 DEFAULT_ORDER = ["repo", "path"]
@@ -85,7 +87,11 @@ def choose_bands(bits: int, k: int, nodes: int) -> list[Band]:
         return PROBE_COST * nodes * sum(b.probes for b in bands) + candidate_share(bands) * nodes * nodes
 
     options = [make_bands(bits, k, per_word) for per_word in range(1, 33)]
-    return min((o for o in options if max(b.probes for b in o) <= MOST_PROBES), key=cost)
+    options = [o for o in options if max(b.probes for b in o) <= MOST_PROBES]
+    selective = [o for o in options if candidate_share(o) <= FEW_CANDIDATES]
+    if any(sum(b.probes for b in o) <= FEW_PROBES for o in selective):
+        options = selective
+    return min(options, key=cost)
 
 
 def hamming_blocking(words: list[str], bits: int, k: int, nodes: int) -> Blocking:
