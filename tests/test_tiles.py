@@ -118,3 +118,8 @@ IMAGE, VIDEO = [0], [0, 0.05, -0.05]
 def test_temporal_clusters_in_tiles(spark, tables, small_tiles):
     got = QUERIES["temporal_clusters"](spark, tables)
     assert rows(got, "group_key", "copies", "seq") == expected_clusters(spark, tables, VIDEO, 70)
+
+
+def test_hamming_clusters_in_tiles(spark, tables, small_tiles):
+    got = QUERIES["hamming_clusters"](spark, tables)
+    assert rows(got, "group_key", "copies", "seq") == expected_clusters(spark, tables, IMAGE, 70)
