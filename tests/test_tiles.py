@@ -123,3 +123,13 @@ def test_temporal_clusters_in_tiles(spark, tables, small_tiles):
 def test_hamming_clusters_in_tiles(spark, tables, small_tiles):
     got = QUERIES["hamming_clusters"](spark, tables)
     assert rows(got, "group_key", "copies", "seq") == expected_clusters(spark, tables, IMAGE, 70)
+
+
+def test_crowded_clusters_take_few_rounds(spark, tables, small_tiles, monkeypatch):
+    """Rounds start with few nodes; their number does not depend on how crowded buckets are."""
+    rounds = []
+    monkeypatch.setattr(tiles, "_cut", lambda undecided, size, cut=tiles._cut: rounds.append(size) or cut(undecided, size))
+    monkeypatch.setattr(tiles, "BLOCK", 1000)
+    got = QUERIES["hamming_clusters_crowded"](spark, tables)
+    assert rows(got, "group_key", "copies", "seq") == expected_clusters(spark, tables, IMAGE, 70)
+    assert rounds[0] == 48 and len(rounds) <= 4 and rounds == [48 * 2**i for i in range(len(rounds))]
