@@ -133,3 +133,47 @@ def test_crowded_clusters_take_few_rounds(spark, tables, small_tiles, monkeypatc
     got = QUERIES["hamming_clusters_crowded"](spark, tables)
     assert rows(got, "group_key", "copies", "seq") == expected_clusters(spark, tables, IMAGE, 70)
     assert rounds[0] == 48 and len(rounds) <= 4 and rounds == [48 * 2**i for i in range(len(rounds))]
+
+
+@pytest.mark.parametrize("n_words, k", [(1, 19), (3, 57), (1, 63), (4, 80)])
+def test_pairs_in_tiles(spark, small_tiles, n_words, k):
+    values = random_words(k, 90, n_words)
+    names = [f"_w{i}" for i in range(n_words)]
+    found = Tiles(names, k).pairs(as_nodes(spark, values), len(values), ["copies"]).collect()
+    expected = [(b, a, apart(values[a], values[b])) for b in range(len(values)) for a in range(b) if apart(values[a], values[b]) <= k]
+    assert sorted((r["pos"], r["earlier"], r["distance"]) for r in found) == expected
+    for r in found:
+        assert tuple(r[w] % (1 << 64) for w in names) == values[r["pos"]] and r["copies"] == r["pos"] % 3 + 1
+        assert tuple(r[f"_e_{w}"] % (1 << 64) for w in names) == values[r["earlier"]] and r["_e_copies"] == r["earlier"] % 3 + 1
+    none = as_nodes(spark, values).limit(0)
+    assert Tiles(names, k).pairs(none, 0, ["copies"]).count() == 0
+
+
+@pytest.mark.parametrize("per_candidate", [1e-9, 1e9])
+@pytest.mark.parametrize("query, limits, threshold", [("hamming_pairs", IMAGE, 70), ("video_pairs_85", VIDEO, 85)])
+def test_pair_queries_either_way(spark, tables, monkeypatch, query, limits, threshold, per_candidate):
+    """Tiles and buckets find the same pairs, with their copies; by default these 170 nodes take tiles."""
+    assert similar.in_tiles(64 * len(limits), max_distance(64 * len(limits), threshold), 170)
+    monkeypatch.setattr(similar, "WORDS_PER_CANDIDATE", per_candidate)
+    words = words_of(spark, tables, limits)
+    copies, k = {}, max_distance(64 * len(limits), threshold)
+    for seq in sorted(words):
+        copies[words[seq]] = copies.get(words[seq], 0) + 1
+    nodes, shown = list(copies), {w: "".join(f"{x:016x}" for x in w) for w in copies}
+    expected = [
+        (shown[a], shown[b], apart(a, b), copies[a], copies[b]) for i, b in enumerate(nodes) for a in nodes[:i] if apart(a, b) <= k
+    ]
+    got = QUERIES[query](spark, tables)
+    assert rows(got, "earlier", "later", "distance", "earlier_copies", "later_copies") == sorted(expected)
+    assert ("bucket" in got._jdf.queryExecution().optimizedPlan().toString()) == (per_candidate < 1)
+
+
+@pytest.mark.parametrize("n_words", [1, 3])
+def test_leaders_through_buckets_equal_tiles(spark, tables, monkeypatch, n_words):
+    values = random_words(9, 120, n_words)
+    nodes, names, bits = as_nodes(spark, values), [f"_w{i}" for i in range(n_words)], 64 * n_words
+    k = max_distance(bits, 80)
+    blocking = similar.hamming_blocking(names, bits, k, len(values))
+    for heads in (None, 5):
+        found = similar.leader_clusters(nodes, blocking, heads)
+        assert rows(found, "pos", "leader") == rows(Tiles(names, k).clusters(nodes, heads), "pos", "leader")
