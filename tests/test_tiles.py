@@ -177,3 +177,12 @@ def test_leaders_through_buckets_equal_tiles(spark, tables, monkeypatch, n_words
     for heads in (None, 5):
         found = similar.leader_clusters(nodes, blocking, heads)
         assert rows(found, "pos", "leader") == rows(Tiles(names, k).clusters(nodes, heads), "pos", "leader")
+
+
+def test_report_of_clusters_in_tiles(spark, tables, small_tiles):
+    lines = QUERIES["report_html"](spark, tables).orderBy("group_no", "rank").collect()
+    expected = expected_clusters(spark, tables, IMAGE, 70)
+    numbers = {key: i for i, key in enumerate(sorted({e[0] for e in expected}), 1)}
+    shown = [(r["group_no"], int(r["text"].split("<code>")[1].split("</code>")[0])) for r in lines[1:-1]]
+    assert shown == [(numbers[key], seq) for key, _, seq in expected]
+    assert lines[0]["text"].startswith("<!DOCTYPE html>") and lines[-1]["text"].endswith("</html>")
