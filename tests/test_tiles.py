@@ -186,3 +186,11 @@ def test_report_of_clusters_in_tiles(spark, tables, small_tiles):
     shown = [(r["group_no"], int(r["text"].split("<code>")[1].split("</code>")[0])) for r in lines[1:-1]]
     assert shown == [(numbers[key], seq) for key, _, seq in expected]
     assert lines[0]["text"].startswith("<!DOCTYPE html>") and lines[-1]["text"].endswith("</html>")
+
+
+def test_all_kinds_with_tiles(spark, tables, small_tiles):
+    got = QUERIES["find_similar"](spark, tables)
+    for kind, limits in (("image", IMAGE), ("video", VIDEO)):
+        assert rows(got.filter(F.col("kind") == kind), "group_key", "copies", "seq") == expected_clusters(spark, tables, limits, 75)
+    assert rows(got.filter("kind = 'text'"), "copies", "seq") == [(2, i) for i in (0, 1, 2, 5, 6, 7)]
+    assert got.filter("kind = 'audio'").isEmpty()  # the values of a key are three apart
